@@ -50,7 +50,7 @@ class Settings:
     smooth: float = 1.0
 
 
-TOXICITY = Settings("toxic", 4, 2, 0.3, grams.char_grams((3, 4, 5), 18, True), 18, True)
+TOXICITY = Settings("toxic", 4, 2, 0.3, grams.char_grams((3, 4, 5), 18, True), 18, True, cost=0.01)
 QUALITY = Settings("quality", 3, 1, 0.5, grams.quality_grams((1, 2, 3), (1, 2, 3), 16), 16, False, kept=2048)
 
 
