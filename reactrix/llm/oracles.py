@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secrets import ADDED, BASE
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
 
 #: Rule bits as in quality_rules.RULES.
@@ -45,4 +47,27 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op8_quality_rules": OP8}
+def _op5() -> str:
+    """The ownership scan, with whole values in place of hashes."""
+    kinds = {**BASE, **ADDED}
+    quoted = {k: p.replace("'", "''") for k, (p, _, _) in kinds.items()}
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, source, {n} AS kind, {least} AS least, string_split_regex(text, '{quoted[k]}') AS g, regexp_extract_all(text, '{quoted[k]}') AS w, regexp_extract_all(text, '{quoted[k]}', {group}) AS v FROM d WHERE regexp_matches(text, '{quoted[k]}')"
+        for n, (k, (_, group, least)) in enumerate(kinds.items()))
+    names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
+    listing = f"string_agg({names}[kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {n}) AS n_{k}" for n, k in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+c AS ({parts}),
+s AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c),
+x AS (SELECT doc_id, source, kind, (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(w[1:i], lambda x: length(x))))::BIGINT AS e, length(w[i]) AS n, v[i] AS v FROM s WHERE length(v[i]) >= least),
+o AS (SELECT v, count(DISTINCT source) > 2 AS copied FROM x GROUP BY v),
+f AS (SELECT doc_id, kind, e - n AS b, e, NOT copied AS live FROM x JOIN o ON x.v = o.v WHERE kind < {len(BASE)} OR NOT copied),
+a AS (SELECT doc_id, {counts}, {listing} FILTER (WHERE kind < {len(BASE)}) AS base, {listing} AS spans, count(*) FILTER (WHERE live) AS n_live FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+ORACLES = {"op2_decontamination": OP2, "op5_secrets": _op5(), "op8_quality_rules": OP8}
