@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..operators.ranking import distinct_first
 from ..sources import readers, sinks
-from .fixture import POSTS, posts, table
+from .fixture import POSTS, PREDICTIONS, posts, predictions, table
 from .catalog import query
 
 
@@ -75,3 +76,59 @@ def s16_manifest(spark, sf):
     path = scratch(spark, "files")
     table(spark, sf, "region").write.parquet(path)
     return readers.manifest(spark, path)
+
+
+def put_text(spark, path, text):
+    """One small text file, through the file system that owns the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+@query("SELECT region.r_name AS post_content, 'posts_' || r_regionkey % 2 || '.json' AS json_source, r_regionkey::VARCHAR AS post_id FROM region")
+def s2_s3_crawl_folder(spark, sf):
+    """JSON arrays and lines below one folder, comment files skipped."""
+    folder, rows = scratch(spark, "crawl"), table(spark, sf, "region").orderBy("r_regionkey").collect()
+    posts_ = [json.dumps({"post_id": str(r.r_regionkey), "post_content": r.r_name}) for r in rows]
+    put_text(spark, f"{folder}/posts_0.json", "[" + ",".join(p for p, r in zip(posts_, rows, strict=True) if r.r_regionkey % 2 == 0) + "]")
+    put_text(spark, f"{folder}/deep/posts_1.json", "[" + ",".join(p for p, r in zip(posts_, rows, strict=True) if r.r_regionkey % 2) + "]")
+    put_text(spark, f"{folder}/comments.json", '[{"post_id": "9", "post_content": "skipped"}]')
+    put_text(spark, f"{folder}/extra.jsonl", '{"post_id": "8", "post_content": ""}\n')
+    return readers.crawled_posts(spark, folder).select("post_content", "json_source", "post_id")
+
+
+@query("SELECT * FROM (VALUES ('train', 'a_train.csv'), ('val', 'val-1.csv'), ('test', 'my.test.csv')) AS t(split, file)")
+def s5_split_discovery(spark, sf):
+    folder = scratch(spark, "splits")
+    for name in ("a_train.csv", "deep/train.csv", "val-1.csv", "my.test.csv", "latest.csv"):
+        put_text(spark, f"{folder}/{name}", "record_id\n1\n")
+    found = readers.split_paths(spark, folder)
+    return spark.createDataFrame([(k, v.rsplit("/", 1)[-1]) for k, v in found.items()], "split string, file string")
+
+
+@query("SELECT * FROM (VALUES ('ko', 'không', 1), ('dc', 'được', 1), ('hn', NULL, 2)) AS t(word, first, n_details)")
+def s6_tx12_dictionary(spark, sf):
+    path = f"{scratch(spark, 'dictionary')}/d.json"
+    put_text(spark, path, json.dumps({
+        "ko": {"normalized": ["không"], "response": {"ko": {"normalized": [{"word": "không"}]}}}, "dc": {"normalized": ["được", "điện"], "response": {"normalized": {"word": "được"}}},
+        "hn": {"normalized": [], "response": [{"normalized": [{"word": "a"}]}, {"normalized": {"word": "b"}}]}, "OK": {"normalized": ["x"], "response": {}}}))
+    return readers.dictionary(spark, path, ["ok"]).select("word", F.get("candidates", F.lit(0)).alias("first"), F.size("details").alias("n_details"))
+
+
+@query(f"WITH {PREDICTIONS} SELECT record_id::VARCHAR AS record_id, y_true, y_pred, 'S1' AS scenario, 'M1' AS model_name, 'val' AS split FROM p WHERE scenario = 'S1' AND model_name = 'M1' AND split = 'val'")
+def s18_load_predictions(spark, sf):
+    """Prediction files of two splits, one of which is missing, tagged and put together."""
+    base = scratch(spark, "predictions")
+    rows = predictions(spark, sf).where("scenario = 'S1' and model_name = 'M1' and split = 'val'").select("record_id", "y_true", "y_pred", "confidence").collect()
+    put_text(spark, f"{base}/S1/M1/predictions_val.csv", "record_id,y_true,y_pred,confidence\n" + "".join(f"{r.record_id},{r.y_true},{r.y_pred},{r.confidence}\n" for r in rows))
+    both = [readers.predictions(spark, base, "S1", "M1", s) for s in ("val", "test")]
+    return both[0].unionByName(both[1]).drop("confidence")
+
+
+@query("SELECT 'text_clean' AS text_column")
+def f18_l10_text_column(spark, sf):
+    """The first preferred text column that all splits have."""
+    frames = [spark.range(1).selectExpr("id", *[f"'x' as {c}" for c in cols]) for cols in (("text_nosw", "text_clean"), ("text_clean", "text"), ("text", "text_clean"))]
+    return spark.range(1).select(F.lit(readers.text_column(frames, ["text_nosw", "text_clean", "text"])).alias("text_column"))
