@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reactrix.llm import decontam, mixing, quality_rules, secrets, simhash
-from reactrix.llm.common import bounded, materialize, table, text_key
+from reactrix.llm.common import bounded, materialize, packed, table, text_key
 
 
 def quality(spark, docs, sf_dir):
     """Drops what the quality policy rejects."""
-    verdicts = quality_rules.apply_policy(quality_rules.ledger(docs, keep=docs.columns))
-    return verdicts.where("kept").select(*docs.columns)
-
-
-def _marked(docs, flags):
-    """docs joined with flags (of_doc, of_h and more) of each document and text."""
-    keyed = docs.withColumn("of_text", text_key(F.col("text")))
-    return keyed.join(flags, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of_text") == F.col("of_h")), "left")
+    return quality_rules.apply_policy(quality_rules.ledger(docs, whole=True)).where("kept").select("row.*")
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -33,8 +26,11 @@ def near_duplicates(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Drops documents that the benchmark contaminates."""
-    flags = materialize(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h")).distinct(), "contaminated")
-    return _marked(docs, bounded(flags.withColumn("drop", F.lit(True)), flags.count())).where("drop is null").select(*docs.columns)
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    found = materialize(found.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h")).distinct(), "contaminated")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own_doc"), text_key(F.col("text")).alias("own_h"))
+    same = F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_h") == F.col("of_h"))
+    return rows.join(bounded(found, found.count()), same, "left_anti").select("row.*")
 
 
 def secret_redaction(spark, docs, sf_dir):

@@ -92,3 +92,8 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def clean_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra input columns never clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df in the struct ``row``, out of the way of the names that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

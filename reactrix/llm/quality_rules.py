@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, split_words
+from .common import let, packed, split_words
 
 #: Rule names in bit order: rule k sets bit 1 << k. Append only, so that stored ledgers keep their meaning.
 RULES = {
@@ -59,26 +59,24 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return let(words, covered)
 
 
-def ledger(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
+def ledger(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, the measurements, and failed: the bits of all rules that the document fails.
 
-    keep: columns of docs that stay beside the ledger's; the ledger's own names win over theirs.
+    whole: the document's own columns stay too, in the struct ``row``.
     """
     text = F.coalesce("text", F.lit(""))
     kept = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
     words = let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"), words.alias("w"),
+        *([packed(docs)] if whole else []), "doc_id", words.alias("w"),
         kept(r"[ \t-\r]+").alias("word_chars"),
         kept(r"[^#*$%&|<>]+").alias("n_symbols"),
         kept(r"[^A-Z]+").alias("n_capitals"),
         kept(r"[^A-Za-z]+").alias("n_ascii_letters"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
-    own = ["n_words", "n_repeat_words", "word_chars", "n_symbols", "n_capitals", "n_ascii_letters", "n_lines", "n_dup_lines"]
-    others = [F.col(f"kept_columns.`{c}`") for c in keep if c not in (*own, "failed", "kept")]
-    measured = rows.select(*others, "w.*", "word_chars", "n_symbols", "n_capitals", "n_ascii_letters", "l.*")
+    measured = rows.select(*(["row"] if whole else []), "doc_id", "w.*", "word_chars", "n_symbols", "n_capitals", "n_ascii_letters", "l.*")
     failed = sum((F.when(F.coalesce(rule(), F.lit(False)), BIT[name]).otherwise(0) for name, rule in RULES.items()), F.lit(0))
     return measured.withColumn("failed", failed.cast("int"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, clean_of, let, materialize, text_key
+from .common import bounded, clean_of, let, materialize, packed, text_key
 
 # Fixed values of the base kinds: pattern, group that is the value, least length of the value.
 BASE = {
@@ -114,8 +114,8 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     """docs with the live-looking spans of text replaced by a mark; overlapping spans count as one. Other columns stay."""
     live = scan(docs, owner, repository, max_owners).select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h"), F.filter("found", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).distinct()
     live = materialize(live, "live")
-    keyed = docs.withColumn("of_text", text_key(F.col("text")))
-    joined = keyed.join(bounded(live, live.count(), 200_000), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of_text") == F.col("of_h")), "left")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own_doc"), "text", text_key(F.col("text")).alias("own_h"))
+    joined = rows.join(bounded(live, live.count(), 200_000), F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_h") == F.col("of_h")), "left")
     cut = F.aggregate(
         "live",
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
@@ -124,7 +124,8 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("live").isNotNull(), cut).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("live").isNotNull(), cut).otherwise(F.col("text"))
+    return joined.select(*[(clean if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

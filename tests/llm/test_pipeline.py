@@ -58,3 +58,13 @@ def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{none}/benchmark.parquet")
     assert C.run(spark, none).count() == 0
     assert decontam.digest(empty(spark), table(spark, none, "benchmark")).count() == 0
+
+
+def test_extra_columns_stay(spark, tmp_path):
+    rows, items = corpus()
+    d = write(spark, str(tmp_path), rows, items)
+    docs = table(spark, d, "documents").selectExpr("*", "1 as live", "2 as row", "3 as of_doc", "4 as kept", "5 as n_words", "6 as place", "7 as h", "8 as own_h", "9 as failed")
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, d)
+        assert set(docs.columns) <= set(out.columns), name
+        assert out.select("live", "row", "of_doc", "kept", "n_words", "place", "h", "own_h", "failed").distinct().collect() == [(1, 2, 3, 4, 5, 6, 7, 8, 9)], name
