@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluation
+from .ranking import best_in_group
 
 # Most candidates of a model in the quick and in the deep search.
 MOST = {"LogisticRegression": 12, "LinearSVC": 12, "RandomForest": 6, "GradientBoosting": 6}
@@ -48,13 +49,30 @@ def estimator(model: str, **p):
     return OneVsRest(classifier=GBTClassifier(maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 4), stepSize=p.get("learning_rate", 0.1), seed=42), weightCol="weight")
 
 
-def pipeline(model: str, labels: list[str] | None = None, **p) -> Pipeline:
+def pipeline(model: str, **p) -> Pipeline:
     steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=p.get("ngram", 1), inputCol="words", outputCol="grams"),
              CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=p.get("max_features", 2000), minDF=p.get("min_df", 2)), IDF(inputCol="tf", outputCol="features"),
              StringIndexer(inputCol="y_true", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"), estimator(model, **p)]
     return Pipeline(stages=steps)
 
 
+def fit(model: str, train: DataFrame, **p) -> tuple[PipelineModel, str]:
+    """(fitted pipeline, note). A fit that fails is tried once more with plainer features and more iterations."""
+    rows = weighted(train)
+    try:
+        return pipeline(model, **p).fit(rows), ""
+    except Exception as e:
+        plain = p | {"min_df": 1, "ngram": 1, "max_iter": 2 * p.get("max_iter", 50)}
+        return pipeline(model, **plain).fit(rows), f"fallback after {type(e).__name__}"
+
+
+def repairs(finals: DataFrame, trials: DataFrame) -> DataFrame:
+    """For each final experiment that failed, the best successful trial of its scenario and model, to fit it anew."""
+    best = best_in_group(trials.where("status = 'success'"), ["scenario", "model_name"], *evaluation.trial_order())
+    failed = finals.where("status <> 'success'").select("scenario", "model_name").distinct()
+    return failed.join(best, ["scenario", "model_name"])
+
+
 def predict(model: PipelineModel, rows: DataFrame, top: int = 3) -> DataFrame:
     """Rows with y_pred, confidence and the best labels with their scores."""
     names = model.stages[4].labels

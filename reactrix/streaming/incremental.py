@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import distinct_first
 from ..sources.readers import CRAWLED, exists
 
 
@@ -17,7 +18,7 @@ def append_new(target: str):
     """A foreachBatch writer that appends posts whose key the target hasn't, once each."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("post_key", post_key()).dropDuplicates(["post_key"])
+        fresh = distinct_first(batch.withColumn("post_key", post_key()), ["post_key"], "creation_time", "post_id")
         if exists(spark, target):
             fresh = fresh.join(spark.read.parquet(target).select("post_key"), "post_key", "left_anti")
         fresh.write.mode("append").parquet(target)

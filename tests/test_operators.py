@@ -129,3 +129,12 @@ def test_candidates():
     assert len(first) == 12 and {c["C"] for c in first} == {0, 1}
     deep = learning.candidates("LogisticRegression", grid, texts, deep=True)
     assert len(deep) == 40 and deep == learning.candidates("LogisticRegression", grid, texts, deep=True)
+
+
+def test_failed_fits(spark):
+    rows = [(k, f"{'alpha beta' if k % 2 else 'gamma delta'} w{k}", "AB"[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "record_id bigint, text string, y_true string").cache()
+    model, note = learning.fit("LogisticRegression", df, min_df=10**6, max_iter=5)
+    assert note.startswith("fallback") and learning.predict(model, df).where("y_true <> y_pred").count() == 0
+    got = learning.trials(df, df, {"LogisticRegression": [{"max_iter": 5}, {"min_df": 10**6}]}, ["A", "B"]).orderBy("trial_id").collect()
+    assert [r.status.split(":")[0] for r in got] == ["success", "failed"] and got[0].macro_f1_val == 1.0 and got[1].macro_f1_val is None
