@@ -4,19 +4,21 @@ Slots 0, 1, 2, ... are mapped by golden-ratio points through the cumulative targ
 are ranked; slot k of a source takes the k-th block of equal length from the source's shuffled word stream, which starts
 anew when it ends. A document's taken words follow from the blocks that its source has taken.
 
-Prefix sums over a source are two-level (sums of buckets, then inside a bucket), so a source with a third of all
-rows is dealt over many tasks. Only per-source sums are ever in one place.
+A source's order is that of a hash of its rows, so where its taken words end is one hash value, the source's edge. It is found from
+the sums of hash buckets and the rows of a single bucket; every row then tells by itself, without a shuffle, what is taken
+of it. Prefix sums are two-level (sums of buckets, then inside a bucket), so a source with a third of all rows is dealt
+over many tasks.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents of size 0 take nothing;
-repeated rows are each mixed; an empty table gives an empty mix. Only doc_id, text and source are read.
+repeated rows are each mixed, and share evenly what an edge takes of them; an empty table gives an empty mix. Only doc_id, text and source are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clean_of, materialize, split_words, text_key
+from .common import bounded, clean_of, materialize, packed, split_words, text_key
 
 #: Slots of the schedule; a block has total / SLOTS words, one at least.
 SLOTS = 1 << 20
@@ -24,12 +26,21 @@ SLOTS = 1 << 20
 STEP, UNIT = 2654435769, 1 << 32
 #: Coarse parts of the unit interval on which slots and sources meet by an equal key.
 PARTS = 4096
-#: Hash buckets of a source's shuffled order.
-BUCKETS = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return clean_of(docs, "doc_id", "text", "source").select("doc_id", "source", text_key(F.col("text")).alias("h"), F.size(split_words(F.col("text"))).cast("long").alias("size"))
+    """doc_id, source, h, size, place (in the source's shuffled order), bucket of the place."""
+    rows = clean_of(docs, "doc_id", "text", "source").select("doc_id", "source", text_key(F.col("text")).alias("h"), word_total(F.col("text")).alias("size"))
+    return rows.withColumn("place", shuffled_place("doc_id", "h")).withColumn("bucket", F.shiftright("place", 53))
+
+
+def word_total(text: Column) -> Column:
+    return F.size(split_words(text)).cast("long")
+
+
+def shuffled_place(doc_id: str, key: str) -> Column:
+    """63 pseudo-random bits of a document; only rows alike share them."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, key), 1)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -87,27 +98,48 @@ def plan(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2,
     return sized, aims, timetable, block
 
 
-def mix(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, h, source, size, source_size, target, taken, first_word: one row for each input row.
+def edges(sized: DataFrame, taken: DataFrame) -> DataFrame:
+    """of_source, source_size, target, laps, edge, part, tied: where each source's taken words end in its shuffled stream.
 
-    first_word is the document's place in its source's shuffled stream.
+    A source is passed ``laps`` times in full and once more up to the row (or rows alike) at ``edge``, of whose
+    ``tied`` words ``part`` are taken. Only the sums of buckets and the rows of one bucket of a source are looked at.
     """
+    ends = taken.withColumn("rest", F.pmod(F.col("words"), F.greatest("source_size", F.lit(1))))
+    n = ends.count()
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    met = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(w), F.lit(0))).join(bounded(ends, n), F.col("source").eqNullSafe(F.col("of_source")))
+    last = met.where("before <= rest and rest < before + in_bucket").select("of_source", F.col("bucket").alias("of_bucket"), (F.col("rest") - F.col("before")).alias("left"))
+    inside = sized.join(bounded(last, n), F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket"))).groupBy("of_source", "left", "place").agg(F.sum("size").alias("tied"))
+    w = Window.partitionBy("of_source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    found = inside.withColumn("before", F.coalesce(F.sum("tied").over(w), F.lit(0))).where("before <= left and left < before + tied").select(F.col("of_source").alias("at_source"), F.col("place").alias("edge"), (F.col("left") - F.col("before")).alias("part"), "tied")
+    laps = F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))
+    return ends.join(found, F.col("of_source").eqNullSafe(F.col("at_source")), "left").select("of_source", "source_size", "target", laps.alias("laps"), F.coalesce("edge", F.lit(-1).cast("long")).alias("edge"), F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.coalesce("tied", F.lit(1).cast("long")).alias("tied"))
+
+
+def with_taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """rows (source, size, place) with source_size, target and taken. The rows aren't shuffled where the sources can be broadcast."""
+    met = rows.join(bounded(ends, ends.count()), F.col("source").eqNullSafe(F.col("of_source")), "left")
+    part = F.when(F.col("place") < F.col("edge"), F.col("size")).when(F.col("place") == F.col("edge"), F.floor(F.col("size") * F.col("part") / F.col("tied"))).otherwise(0)
+    return met.withColumn("taken", (F.col("laps") * F.col("size") + part).cast("long")).drop("of_source", "laps", "edge", "part", "tied")
+
+
+def ends_of(docs: DataFrame, slots: int, weights: tuple[int, ...], most: int):
+    """(sized documents, edges of the mix)."""
     sized, aims, timetable, block = plan(docs, slots, weights, most)
     if timetable is None:
-        return sized.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), "first_word": F.lit(0).cast("long")})
-    blocks = timetable.groupBy("source").agg((F.count("*") * block).alias("scheduled"))
-    blocks = blocks.select(F.col("source").alias("of_source"), "scheduled")
-    taken = aims.join(blocks, F.col("source").eqNullSafe(F.col("of_source")), "left").select(
+        scheduled = aims.select(F.col("source").alias("of_source"), F.lit(0).cast("long").alias("scheduled"))
+    else:
+        scheduled = timetable.groupBy(F.col("source").alias("of_source")).agg((F.count("*") * block).alias("scheduled"))
+    taken = aims.join(scheduled, F.col("source").eqNullSafe(F.col("of_source")), "left").select(
         F.col("source").alias("of_source"), "source_size", "target", F.least(F.coalesce("scheduled", F.lit(0)), most * F.col("source_size")).alias("words"))
-    taken = materialize(taken, "taken")
-    shuffled = sized.withColumn("order", F.xxhash64("doc_id", "h", "size")).withColumn("bucket", F.floor((F.shiftrightunsigned("order", 32)) / (UNIT // BUCKETS)))
-    # rows that are equal in every column may tie: they are alike, whichever comes first
-    placed = prefix_sums(shuffled, ["source"], [F.shiftrightunsigned("order", 32), "order", "doc_id", "h"], "bucket", "size", "first_word")
-    met = placed.join(bounded(taken, taken.count()), F.col("source").eqNullSafe(F.col("of_source")), "left")
-    rest = F.pmod(F.col("words"), F.greatest("source_size", F.lit(1)))
-    part = F.greatest(F.lit(0), F.least(F.col("first_word") + F.col("size"), rest) - F.col("first_word"))
-    whole = F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))
-    return met.select("doc_id", "h", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), "first_word")
+    return sized, materialize(edges(sized, materialize(taken, "taken")), "edges")
+
+
+def mix(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """doc_id, h, source, size, place, source_size, target, taken: one row for each input row."""
+    sized, ends = ends_of(docs, slots, weights, most)
+    return with_taken(sized, ends).drop("bucket")
 
 
 def blocks(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -116,7 +148,8 @@ def blocks(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2
     Blocks and documents meet on equal parts of the source's stream; a block or document that spans several parts is listed in each.
     """
     sized, aims, timetable, block = plan(docs, slots, weights, most)
-    streams = mix(docs, slots, weights, most).where("size > 0").select(F.col("source").alias("of_source"), "doc_id", "size", "source_size", "first_word")
+    placed = prefix_sums(sized.where("size > 0"), ["source"], ["place", "doc_id", "h"], "bucket", "size", "first_word")
+    streams = placed.select(F.col("source").alias("of_source"), "doc_id", "size", "first_word")
     if timetable is None:
         return streams.select(F.lit(0).cast("long").alias("slot"), F.col("of_source").alias("source"), "doc_id", F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("to_word")).limit(0)
     lengths = aims.select(F.col("source").alias("of_source"), "source_size")
@@ -127,7 +160,7 @@ def blocks(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2
     cut = cut.withColumn("lap", F.explode(laps)).select("slot", "source", (F.greatest(F.col("at"), F.col("lap") * F.col("source_size")) - F.col("lap") * F.col("source_size")).alias("lo"), (F.least(F.col("until"), (F.col("lap") + 1) * F.col("source_size")) - F.col("lap") * F.col("source_size")).alias("hi"))
     grain = max(block, 4096)
     cut = cut.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / grain), F.floor((F.col("hi") - 1) / grain))))
-    streams = streams.drop("source_size").withColumn("of_part", F.explode(F.sequence(F.floor(F.col("first_word") / grain), F.floor((F.col("first_word") + F.col("size") - 1) / grain))))
+    streams = streams.withColumn("of_part", F.explode(F.sequence(F.floor(F.col("first_word") / grain), F.floor((F.col("first_word") + F.col("size") - 1) / grain))))
     met = cut.join(streams, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("part") == F.col("of_part")))
     low, high = F.greatest("lo", "first_word"), F.least(F.col("hi"), F.col("first_word") + F.col("size"))
     # a piece over several parts is reported by the part in which it begins
@@ -136,20 +169,16 @@ def blocks(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2
 
 
 def attach(docs: DataFrame, slots: int = SLOTS, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs that the mix takes words of, with size, source_size, target and taken.
+    """docs that the mix takes words of, with size, source_size, target and taken, which win over columns of such names.
 
-    Rows alike in id, text and source can take different amounts; each such group's amounts are dealt to its rows in order.
-    The groups' arrays hold equal rows only, which are split by row number before they meet, so none grows in a join.
+    The texts are read once more and go nowhere: what is taken of a row follows from its own hash and its source's edge.
     """
-    alike = ["doc_id", "h", "source"]
-    number = Window.partitionBy(*alike)
-    mixed = mix(docs, slots, weights, most).withColumn("n", F.row_number().over(number.orderBy("first_word"))).where("taken > 0")
-    mixed = mixed.select(*[F.col(c).alias(f"of_{c}") for c in [*alike, "n"]], "size", "source_size", "target", "taken")
-    own = ["h", "n", "size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], text_key(F.col("text")).alias("h")).withColumn("n", F.row_number().over(number.orderBy(F.lit(0))))
-    met = keyed.join(mixed, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in [*alike, "n"]])
-    return met.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "taken")
+    _, ends = ends_of(docs, slots, weights, most)
+    added = ["size", "source_size", "target", "taken"]
+    docs = docs.drop(*added)
+    rows = docs.select(packed(docs), "source", "doc_id", text_key(F.col("text")).alias("h"), word_total(F.col("text")).alias("size"))
+    mixed = with_taken(rows.withColumn("place", shuffled_place("doc_id", "h")).drop("doc_id", "h"), ends)
+    return mixed.where("taken > 0").select("row.*", *added)
 
 
 def digest(docs: DataFrame) -> DataFrame:
