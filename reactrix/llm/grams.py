@@ -309,52 +309,89 @@ def gram_cells(t: np.ndarray, size: int, order: int) -> np.ndarray:
     return cell
 
 
-def gram_counts(vocabulary: np.ndarray, size: int, order: int):
-    """Batches (text, target) to (cell, target, background) counts."""
+def merged(cells: np.ndarray, counts: np.ndarray):
+    """Distinct cells, rising, and the sums of their rows of counts."""
+    found, at = np.unique(cells, return_inverse=True)
+    return found, np.stack([np.bincount(at, weights=c, minlength=len(found)) for c in counts.T], 1).astype(np.int64)
+
+
+def gram_counts(vocabulary: np.ndarray, size: int, order: int, most: int = 1 << 20):
+    """Batches (text, target) to (cell, target, background) counts. What a task holds is merged and handed on at ``most`` cells."""
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros((2, size**order), np.int64)
+        held, counts, parts, waiting = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), [], 0
+
+        def taken_in():
+            flags = [np.stack((np.full(len(c), int(target)), np.ones(len(c), np.int64)), 1) for c, target in parts]
+            return merged(np.concatenate([held, *[c for c, _ in parts]]), np.concatenate([counts, *flags]))
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["cell", "target", "background"])
+
         for batch in batches:
             for t, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
                 for piece in tokens(t.as_py() or "", vocabulary, order - 1):
-                    cells = gram_cells(piece, size, order)
-                    np.add.at(counts[1], cells, 1)
-                    if target:
-                        np.add.at(counts[0], cells, 1)
-        at = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["cell", "target", "background"])
+                    parts.append((gram_cells(piece, size, order), target))
+                    waiting += len(parts[-1][0])
+                    if waiting >= most:
+                        held, counts = taken_in()
+                        parts, waiting = [], 0
+                        if len(held) >= most:
+                            yield out()
+                            held, counts = held[:0], counts[:0]
+        if parts:
+            held, counts = taken_in()
+        yield out()
 
     return run
 
 
-def losses(counts: np.ndarray, strength: float) -> np.ndarray:
-    """-log p(last token | those before) for each cell of an order-dimensional table of counts, by interpolation to lower orders."""
-    size = counts.shape[-1]
-    p = (counts.reshape(-1, size).sum(axis=0) + 1.0) / (counts.sum() + size)
-    for keep in range(2, counts.ndim + 1):
-        c = counts.reshape(-1, *[size] * keep).sum(axis=0)
-        p = (c + strength * p) / (c.sum(axis=-1, keepdims=True) + strength)
-    return -np.log(p)
+def finder(keys: np.ndarray, cells: int):
+    """cells -> their places in the rising keys, -1 where they have none. cells: how many there can be."""
+    if cells <= 1 << 24:
+        place = np.full(cells, -1, np.int32)
+        place[keys] = np.arange(len(keys))
+        return lambda c: place[c]
+
+    def find(c):
+        if not len(keys):
+            return np.full(len(c), -1)
+        at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+        return np.where(keys[at] == c, at, -1)
+
+    return find
 
 
 def lm_scorer(vocabulary: np.ndarray, size: int, order: int, tables):
-    """Batches (doc_id, text) to (doc_id, n_tokens, target_loss, background_loss, score). tables: a broadcast of both loss tables."""
+    """Batches (doc_id, h, text) to (doc_id, h, n, x, y, cells, times): tokens, sums of both losses, and the cells not in the tables.
+
+    tables: a broadcast of the rising cells and both their losses.
+    """
     def run(batches):
         import pyarrow as pa
 
-        target, background = tables.value
+        keys, target, background = tables.value
+        find = finder(keys, size**order)
         for batch in batches:
-            n, lt, lb = [], [], []
+            n, lt, lb, cells, times = [], [], [], [], []
             for t in batch.column("text"):
-                k, x, y = 0, 0.0, 0.0
+                k, x, y, rest = 0, 0.0, 0.0, []
                 for piece in tokens(t.as_py() or "", vocabulary, order - 1):
-                    cells = gram_cells(piece, size, order)
-                    k, x, y = k + len(cells), x + float(target[cells].sum(dtype=np.float64)), y + float(background[cells].sum(dtype=np.float64))
+                    c = gram_cells(piece, size, order)
+                    at = find(c)
+                    known = at >= 0
+                    if not known.all():
+                        rest.append(c[~known])
+                        at = at[known]
+                    k, x, y = k + len(c), x + float(target[at].sum(dtype=np.float64)), y + float(background[at].sum(dtype=np.float64))
                 n.append(k)
-                lt.append(x / k if k else None)
-                lb.append(y / k if k else None)
-            score = [x - y if x is not None else None for x, y in zip(lt, lb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                lt.append(x)
+                lb.append(y)
+                c, m = np.unique(np.concatenate(rest), return_counts=True) if rest else ([], [])
+                cells.append(c)
+                times.append(m)
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64()), pa.array(cells, lists), pa.array(times, lists)], ["doc_id", "h", "n", "x", "y", "cells", "times"])
 
     return run

@@ -147,3 +147,59 @@ def test_language_model_query(spark):
     scored = [(r.score, r.doc_id in good) for r in got if r.doc_id and r.doc_id >= 1000]
     assert np.mean([s for s, g in scored if g]) < np.mean([s for s, g in scored if not g])
     assert lm.cross_entropy_difference(empty(spark), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def scripts():
+    """A Latin corpus beside Cyrillic, Han and beyond-16-bit texts: more distinct characters than a fixed vocabulary has room for."""
+    rng = random.Random(5)
+    latin = [(k, prose(k, 40), k % 2 == 0) for k in range(40)]
+    cyrillic = [(100 + k, "".join(rng.choice("абвгдежз" if k % 2 else "ийклмноп") for _ in range(60)), k % 2 == 0) for k in range(10)]
+    han = [(200 + k, "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(80)) + "\U0001D4B3", k % 2 == 0) for k in range(10)]
+    return latin + cyrillic + han + [latin[0], (None, None, None), (300, "", False)]
+
+
+def check_open_model(spark):
+    docs = scripts()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, target boolean")
+    model = lm.train(df)
+    letters = {c for _, t, _ in docs for c in (t or "").lower()}
+    vocabulary = {c: int(model[0][ord(c)]) for c in letters}
+    assert len(letters) > 300 and len(set(vocabulary.values())) == len(letters) and min(vocabulary.values()) > 1
+    counted = sorted(map(tuple, lm.score(df, model, counted=True).collect()), key=repr)
+    found = lm.score(df, model).collect()
+    assert len(found) == len(docs) and [c[:2] for c in counted] == [r[:2] for r in sorted(map(tuple, found), key=repr)]
+    got = {r.doc_id: r for r in found}
+    of_target, of_all, size = [t for _, t, y in docs if y and t], [t for _, t, _ in docs if t], len(letters) + 2
+    for d in (0, 100, 101, 205):
+        text = next(t for i, t, _ in docs if i == d)
+        target, background = (slow_loss(x, text, size, 3, lm.STRENGTH, vocabulary) for x in (of_target, of_all))
+        assert (got[d].target_loss, got[d].background_loss) == pytest.approx((target, background), abs=1e-5) and got[d].n_tokens == len(text)
+    assert got[100].score < 0 < got[101].score  # letters of the target, and letters that it never has
+    new = spark.createDataFrame([(1, "жук ßx 一二 zz"), (2, None)], "doc_id bigint, text string")
+    one = {r.doc_id: r for r in lm.score(new, model).collect()}
+    assert one[1].target_loss == pytest.approx(slow_loss(of_target, "жук ßx 一二 zz", size, 3, lm.STRENGTH, vocabulary), abs=1e-5) and one[2].score is None
+
+
+def test_language_model_has_an_open_vocabulary(spark):
+    check_open_model(spark)
+
+
+def test_language_model_joins_grams_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARED_GRAMS", 50)
+    check_open_model(spark)
+
+
+def test_gram_counts_are_handed_on_whole():
+    import pyarrow as pa
+
+    texts = [prose(k, 50) for k in range(6)]
+    table = np.arange(256, dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 == 0 for k in range(6)])], ["text", "target"])
+    sums = []
+    for most in (1 << 20, 100):
+        total = {}
+        for out in grams.gram_counts(table, 256, 3, most)(iter([batch])):
+            for c, t, b in zip(*[out.column(k).to_pylist() for k in range(3)], strict=True):
+                total[c] = tuple(np.add(total.get(c, (0, 0)), (t, b)))
+        sums.append(total)
+    assert sums[0] == sums[1] and sum(b for _, b in sums[0].values()) == sum(map(len, texts))
