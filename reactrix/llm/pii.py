@@ -6,8 +6,8 @@ valid by check digit, dates stay dates. A permutation is one to one and has no m
 documents get equal pseudonyms, different values get different ones, and nothing is joined or collected. The local parts of
 e-mail addresses go through a Feistel network on their letters and digits.
 
-Defined results: null text stays null; texts without a valid value stay as they are; a value that fails its validation stays; dates
-outside 1800-2199 stay; repeated rows get equal results; an empty table gives an empty result. Only doc_id and text are read.
+Defined results: null text stays null; texts without a valid value stay as they are; a value that fails its validation stays, but valid values among
+its digit groups go; day and month are read in that order where both orders are valid; dates outside 1800-2199 stay; repeated rows get equal results; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,15 +20,20 @@ from .common import clean_of, let
 # Forms of the kinds, in the order in which they are tried.
 FORMS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "date": r"\d{4}-\d{2}-\d{2}",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}",
+    "phone": r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}|\+[1-9](?:[ .-]?\d){7,14}(?![-./@][A-Za-z0-9])"
+             r"|(?:1[ .-])?(?:\d{3}-\d{3}-|\d{3}\.\d{3}\.|[2-9]\d{2} [2-9]\d{2} )\d{4}(?!-?[0-9])|0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![ .-]?[0-9])",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 KINDS = list(FORMS)
+#: Digit groups behind each other, in which cards and other values are looked for; it leaves a group that goes on otherwise to what follows.
+RUN = r"\d[0-9 -]{11,}\d(?![./@%+_][A-Za-z0-9])"
 #: No letter or digit may touch a value.
-ANY = r"(?<![A-Za-z0-9._%+-])(?:" + "|".join(FORMS.values()) + r")(?![A-Za-z0-9])"
+ANY = r"(?<![A-Za-z0-9._%+-])(?:" + "|".join(f"(?:{FORMS[k]})(?![A-Za-z0-9])" for k in FORMS if k != "card") + f"|{RUN})(?![A-Za-z0-9])"
+#: Digit groups that a card may have.
+GROUPS = 19
 #: Days of a 400-year calendar cycle, as the product that the date network needs.
 DATE_LEFT, DATE_RIGHT = 189, 773
 ROUNDS = 8
@@ -91,9 +96,6 @@ def shifted(part: Column, half: Column, key: str, turn: int) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     """(kind, text) of one match; kind is null if it isn't valid."""
-    def is_form(kind):
-        return value.rlike("^(?:" + FORMS[kind] + ")$")
-
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     half = F.greatest(F.lit(1), F.floor(F.length(local) / 2).cast("int"))
 
@@ -106,9 +108,23 @@ def pseudonym(value: Column, key: str) -> Column:
 
     mail = F.concat(let(F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local)).alias("r")), email), F.lit("@"), domain)
 
-    day = F.try_to_date(value, "yyyy-MM-dd")
+    day = day_of(value)
     days = F.datediff(day, F.lit("1800-01-01").cast("date")).cast("bigint")
-    date = let(feistel(F.floor(days / DATE_RIGHT), days % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT), key, "date"), lambda o: F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (o["l"] * DATE_RIGHT + o["r"]).cast("int")), "yyyy-MM-dd"))
+    month_first = ~value.rlike(r"^\d{4}") & in_order(value, 3, 2, 1).isNull()
+
+    def moved(x):
+        return let(feistel(F.floor(x / DATE_RIGHT), x % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT), key, "date"), lambda o: (o["l"] * DATE_RIGHT + o["r"]).cast("bigint"))
+
+    def as_date(x):
+        return F.date_add(F.lit("1800-01-01").cast("date"), x.cast("int"))
+
+    # a date that only month first makes valid goes on to one that is so too, or it could meet the pseudonym of a day-first date
+    def walk(first):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), moved(days), lambda x, i: F.when(first & (F.dayofmonth(as_date(x)) <= 12), moved(x)).otherwise(x))
+
+    walked = F.when(month_first, let(F.lit(True), walk)).otherwise(moved(days))
+    form = F.when(value.rlike(r"^\d{4}"), "yMd").when(month_first, "Mdy").otherwise("dMy")
+    date = let(as_date(walked), lambda d: F.replace(F.when(form == "yMd", F.date_format(d, "yyyy-MM-dd")).when(form == "Mdy", F.date_format(d, "MM-dd-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")), F.lit("-"), F.regexp_extract(value, "[-/.]", 0)))
 
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
     ip = let(feistel(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)), F.lit(65536), F.lit(65536), key, "ip"), lambda o: F.concat_ws(".", F.floor(o["l"] / 256), o["l"] % 256, F.floor(o["r"] / 256), o["r"] % 256))
@@ -116,8 +132,10 @@ def pseudonym(value: Column, key: str) -> Column:
     def whole(kind):
         return refill(value, permuted_digits(only_digits(value), key, kind))
 
-    tail = F.regexp_extract(value, r"(\(.*)$", 1)
-    phone = F.concat(F.regexp_extract(value, r"^([^(]*)", 1), refill(tail, permuted_digits(only_digits(tail), key, "phone")))
+    # what stays: a country code before brackets, a leading 1 of ten digits, or the first digit of another international number
+    kept = F.regexp_extract(value, r"^(?:[^(]*(?=\()|\+?1[ .-]?(?=\d{3}[ .-]?\d{3}[ .-]?\d{4}$)|\+\d|)", 0)
+    tail = F.substring(value, F.length(kept) + 1, F.length(value))
+    phone = F.concat(kept, refill(tail, permuted_digits(only_digits(tail), key, "phone")))
     number = only_digits(value)
     payload = permuted_digits(F.substring(number, F.lit(1), F.length(number) - 1), key, "card")
     card = refill(value, let(payload, lambda p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string"))))
@@ -125,17 +143,76 @@ def pseudonym(value: Column, key: str) -> Column:
     def result(kind, text):
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
+    kind = kind_of(value)
+    texts = {"email": mail, "date": date, "ip": ip, "ssn": whole("ssn"), "phone": phone, "card": card}
+    return let(kind, lambda found: F.struct(found.alias("kind"), F.coalesce(*[F.when(found == k, texts[k]) for k in KINDS], value).alias("text")))
+
+
+def in_order(value: Column, year: int, month: int, day: int) -> Column:
+    """The date of the value's numbers in that order, null if there is no such day."""
+    number = F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0))
+    return let(number, lambda n: F.try_to_date(F.concat_ws("-", F.get(n, F.lit(year - 1)), F.lpad(F.get(n, F.lit(month - 1)), 2, "0"), F.lpad(F.get(n, F.lit(day - 1)), 2, "0")), "yyyy-MM-dd"))
+
+
+def day_of(value: Column) -> Column:
+    """Year first by its four digits; else the day is first, or the month where the day can't be."""
+    return F.when(value.rlike(r"^\d{4}"), in_order(value, 1, 2, 3)).otherwise(F.coalesce(in_order(value, 3, 2, 1), in_order(value, 3, 1, 2)))
+
+
+def kind_of(value: Column) -> Column:
+    """The kind whose form and validation the whole value meets, or null."""
+    def is_form(kind):
+        return value.rlike("^(?:" + FORMS[kind] + ")$")
+
     return (
-        F.when(is_form("email"), result("email", mail))
-        .when(is_form("date") & day.isNotNull() & F.year(day).between(1800, 2199), result("date", date))
-        .when(is_form("ip") & F.forall(octets, lambda x: x <= 255), result("ip", ip))
-        .when(is_form("ssn"), result("ssn", whole("ssn")))
-        .when(is_form("phone"), result("phone", phone))
-        .when(is_form("card") & (luhn_sum(number, 1) % 10 == 0), result("card", card))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text")))
+        F.when(is_form("email"), "email")
+        .when(is_form("date") & F.coalesce(F.year(day_of(value)).between(1800, 2199), F.lit(False)), "date")
+        .when(is_form("ip") & F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255), "ip")
+        .when(is_form("ssn"), "ssn")
+        .when(is_form("phone"), "phone")
+        .when(is_form("card") & (luhn_sum(only_digits(value), 1) % 10 == 0), "card")
     )
 
 
+#: What can be a value among digit groups; a cheap test before the validation.
+GROUPED = "^(?:" + "|".join(FORMS[k] for k in ("date", "ssn", "phone", "card")) + ")$"
+
+
+def inside(run: Column) -> Column:
+    """Pieces of digit groups behind each other: from each group on, the longest value that ends with a group and is valid, and what is between."""
+    groups = F.regexp_extract_all(run, F.lit(r"\d+[ -]*"), F.lit(0))
+
+    def joined(g, start, k):
+        return F.array_join(F.slice(g, start + 1, k), "")
+
+    def step(g):
+        def valid(i):
+            return lambda k: let(F.regexp_replace(joined(g, i, k), "[ -]+$", ""), lambda v: v.rlike(GROUPED) & kind_of(v).isNotNull())
+
+        def turn(s, i):
+            def taken(k):
+                value = F.regexp_replace(joined(g, i, k), "[ -]+$", "")
+                ending = F.regexp_extract(F.element_at(g, i + k), "[ -]*$", 0)
+                return F.struct((i + k).alias("done"), F.concat(s["out"], F.array(joined(g, s["done"], i - s["done"]), value, ending)).alias("out"))
+
+            lengths = F.sequence(F.least(F.lit(GROUPS), F.size(g) - i), F.lit(1), F.lit(-1))
+            return F.when(i < s["done"], s).otherwise(let(F.get(F.filter(lengths, valid(i)), F.lit(0)), lambda k: F.when(k.isNull(), s).otherwise(taken(k))))
+
+        return turn
+
+    def walked(g):
+        start = F.struct(F.lit(0).alias("done"), F.expr("cast(array() as array<string>)").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step(g), lambda s: F.concat(s["out"], F.array(joined(g, s["done"], F.size(g) - s["done"]))))
+
+    return let(groups, walked)
+
+
+def pieces(value: Column, key: str) -> Column:
+    """(kind, text) of the pieces of one match: of the whole, or of what is inside digit groups that aren't one valid value."""
+    split = F.when(value.rlike("^[0-9 -]{13,}$") & kind_of(value).isNull(), inside(value)).otherwise(F.array(value))
+    return F.transform(split, lambda v: pseudonym(v, key))
+
+
 def same_kind(kind: str):
     return lambda x: x["kind"] == kind
 
@@ -143,10 +220,10 @@ def same_kind(kind: str):
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (pseudonymous), n_<kind> of each kind: one row for each input row."""
     def parts(text):
-        return F.struct(F.split(text, ANY, -1).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)).alias("found"))
+        return F.struct(F.split(text, ANY, -1).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pieces(m, key)).alias("found"))
 
-    none = F.struct(F.array(F.col("text")).alias("gaps"), F.expr("cast(array() as array<struct<kind:string,text:string>>)").alias("found"))
+    none = F.struct(F.array(F.col("text")).alias("gaps"), F.expr("cast(array() as array<array<struct<kind:string,text:string>>>)").alias("found"))
     rows = clean_of(docs, "doc_id", "text").withColumn("p", F.when(F.col("text").rlike(r"[0-9]|@") & F.col("text").rlike(ANY), let(F.col("text"), parts)).otherwise(none))
-    ends = F.transform("p.found", lambda x: x["text"])
+    ends = F.transform("p.found", lambda x: F.array_join(F.transform(x, lambda y: y["text"]), ""))
     text = F.array_join(F.flatten(F.zip_with(F.col("p.gaps"), F.concat(ends, F.array(F.lit(""))), lambda g, e: F.array(g, e))), "")
-    return rows.select("doc_id", F.when(F.size("p.found") == 0, F.col("text")).otherwise(text).alias("text"), *[F.size(F.filter("p.found", same_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS])
+    return rows.select("doc_id", F.when(F.size("p.found") == 0, F.col("text")).otherwise(text).alias("text"), *[F.size(F.filter(F.flatten("p.found"), same_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS])

@@ -54,3 +54,35 @@ def test_awkward_rows(spark):
     got = P.pseudonymize(frame(spark, rows), "k").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
     assert P.pseudonymize(empty(spark), "k").count() == 0
+
+
+def test_values_among_other_numbers(spark):
+    texts = [f"{CARD} 123", "4111 1111 1111 1111 12/25", "ref 12345 2020-01-31", f"12 {CARD} 2020-01-31 123-45-6789 {CARD}", f"12345 123456789 10.20.30.40 {CARD}", "1234567890123 42@x.org", CARD]
+    got = run(spark, texts)
+    new = got[-1].text
+    pay = got[1].text
+    assert got[0].text == f"{new} 123" and luhn(new) and new != CARD
+    assert pay.endswith(" 12/25") and pay[:-6].replace(" ", "") == new
+    assert re.fullmatch(r"ref 12345 \d{4}-\d\d-\d\d", got[2].text) and "2020-01-31" not in got[2].text
+    assert re.fullmatch(rf"12 {new} \d{{4}}-\d\d-\d\d \d{{3}}-\d\d-\d{{4}} {new}", got[3].text) and (got[3].n_card, got[3].n_date, got[3].n_ssn) == (2, 1, 1)
+    assert (got[4].n_ip, got[4].n_card) == (1, 1) and "10.20.30.40" not in got[4].text and got[5].n_email == 1
+    numbers = "12 - 34 5 " * 5000
+    assert run(spark, [numbers])[0].text == numbers
+
+
+def test_common_phones_and_dates(spark):
+    texts = ["555-123-4567", "(555) 123-4567", "+1 555.123.4567", "+33 6 12 34 56 78", "+33612345678 2020-01-31", "06 12 34 56 78", "31/12/2020", "12/31/2020", "31.12.2020", "2020/12/31", "2020-12-31", "32/13/2020", "100 200 3000"]
+    got = run(spark, texts)
+    digits = ["".join(re.findall(r"\d", r.text)) for r in got]
+    assert [r.n_phone for r in got] == [1] * 6 + [0] * 7 and [r.n_date for r in got] == [0] * 4 + [1, 0] + [1] * 5 + [0, 0]
+    assert digits[0] == digits[1] == digits[2][1:] and digits[4][:11] == digits[3] != "33612345678"
+    assert all(re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", t) for r, t in zip(got, texts, strict=True)) and [r.text for r in got[-2:]] == texts[-2:]
+    assert not {r.text for r in got[:-2]} & set(texts)
+    day = datetime.datetime.strptime
+    assert day(got[6].text, "%d/%m/%Y") == day(got[8].text, "%d.%m.%Y") == day(got[9].text, "%Y/%m/%d") == day(got[10].text, "%Y-%m-%d") and day(got[7].text, "%m/%d/%Y").day > 12
+
+
+def test_slash_dates_are_one_to_one(spark):
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(400)]
+    values = [f"{d:%d/%m/%Y}" for d in days] + [f"{d:%m/%d/%Y}" for d in days if d.day > 12]
+    assert len({r.text for r in run(spark, values)}) == len(values)
