@@ -117,16 +117,14 @@ def class_counts(features, bits: int):
     return run
 
 
-def selected(features, bits: int, buckets: np.ndarray):
-    """Batches (pick, text, y) to (pick, y, x): the places in buckets of what the text has, as int32 bytes."""
+def selected(features, bits: int):
+    """Batches (pick, text, y) to (pick, y, x): the buckets that the text has, as int32 bytes."""
     def run(batches):
         import pyarrow as pa
 
-        presence, place = Presence(bits), np.full(1 << bits, -1, np.int32)
-        place[buckets] = np.arange(len(buckets))
-        keep = place >= 0
+        presence = Presence(bits)
         for batch in batches:
-            x = [place[presence.distinct(features(t.as_py() or ""), keep)].tobytes() for t in batch.column("text")]
+            x = [np.sort(presence.distinct(features(t.as_py() or ""))).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("pick"), batch.column("y"), pa.array(x, pa.binary())], ["pick", "y", "x"])
 
     return run
@@ -177,15 +175,25 @@ def sigmoid_fit(margin, y, steps: int = 60):
     return max(a, 1e-3), b
 
 
-def fit(values: np.ndarray, cost: float, squared: bool, epochs: int):
-    """One bounded group of rows (y, x) to one row (w, a, b): weights as float32 bytes, and the calibration."""
-    def run(frame):
-        import pandas as pd
+def fit(values: np.ndarray, cost: float, squared: bool, epochs: int, sample: int, places: int):
+    """The batches (pick, y, x) of one sorted partition to one row (w, a, b): weights as float32 bytes, and the calibration.
 
-        frame = frame.sort_values("pick", kind="stable")
-        y = frame["y"].to_numpy()
-        rows = [np.frombuffer(x, np.int32) for x in frame["x"]]
-        share = np.bincount(y, minlength=2) / max(1, len(y))
+    Rows are taken in order up to ``sample`` rows, or up to ``places`` buckets in all; the rest passes by.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        ys, rows, held = [], [], 0
+        for batch in batches:
+            for y, x in zip(batch.column("y").to_pylist(), batch.column("x"), strict=True):
+                if len(rows) < sample and held < places:
+                    rows.append(np.frombuffer(x.as_py(), np.int32))
+                    ys.append(y)
+                    held += len(rows[-1])
+        if not rows:
+            return
+        y = np.array(ys)
+        share = np.bincount(y, minlength=2) / len(y)
         costs = cost * np.where(y > 0, 0.5 / max(share[1], 1e-9), 0.5 / max(share[0], 1e-9))
         third = np.arange(len(y)) % 3 == 0
         margin = lambda w, r: w[r] @ values[r] + w[-1]
@@ -195,18 +203,18 @@ def fit(values: np.ndarray, cost: float, squared: bool, epochs: int):
             w = dual_descent([rows[i] for i in at], y[at], values, costs[at], squared, epochs)
             a, b = sigmoid_fit([margin(w, rows[i]) for i in np.flatnonzero(third)], y[third])
         w = dual_descent(rows, y, values, costs, squared, epochs)
-        return pd.DataFrame([{"w": w.astype(np.float32).tobytes(), "a": float(a), "b": float(b)}])
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([float(a)]), pa.array([float(b)])], ["w", "a", "b"])
 
     return run
 
 
-def scorer(features, bits: int, buckets: np.ndarray, weights: np.ndarray, bias: float, a: float, b: float, cut: float):
-    """Batches (doc_id, held_out, text) to (doc_id, held_out, score, predicted)."""
+def scorer(features, bits: int, weights: np.ndarray, bias: float, a: float, b: float, cut: float):
+    """Batches (doc_id, held_out, text) to (doc_id, held_out, score, predicted). weights: of each bucket, or none."""
     def run(batches):
         import pyarrow as pa
 
-        presence, table = Presence(bits), np.zeros(1 << bits)
-        table[buckets] = weights
+        presence = Presence(bits)
+        table = weights.astype(float) if len(weights) else np.zeros(1 << bits)
         keep = table != 0
         for batch in batches:
             m = np.array([table[presence.distinct(features(t.as_py() or ""), keep)].sum() for t in batch.column("text")], float) + bias
@@ -250,17 +258,14 @@ def kernel(m: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def language_scorer(orders, bits: int, packed_marks: np.ndarray, solved: np.ndarray, names: list[str], sharp: float, rows: int = 64):
     """Batches (doc_id, held_out, text) to (doc_id, held_out, lang_pred, score)."""
     def run(batches):
-        import re
-
         import pyarrow as pa
 
-        letter = re.compile(r"[^\W\d_]")
         marks = np.unpackbits(packed_marks, axis=1).astype(np.float32)
         for batch in batches:
             texts, preds, scores = batch.column("text"), [], []
             for a in range(0, len(texts), rows):
                 part = [t.as_py() for t in texts[a : a + rows]]
-                known = [bool(t) and bool(letter.search(t)) and len(names) > 0 for t in part]
+                known = [bool(t) and any(map(str.isalpha, t)) and len(names) > 0 for t in part]  # isalpha: Unicode category L
                 s = kernel(presence_matrix([t if k else "" for t, k in zip(part, known, strict=True)], orders, bits), marks) @ solved if names else np.zeros((len(part), 1))
                 e = np.exp(sharp * (s - s.max(axis=1, keepdims=True)))
                 e /= e.sum(axis=1, keepdims=True)

@@ -34,8 +34,8 @@ def fingerprint(text, width: int, chunk: int = 1 << 16) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(width: int):
-    """Arrow batches (doc_id, text) to (doc_id, fp)."""
+def fingerprints(width: int, order: str):
+    """Arrow batches (order column, text) to (order column, fp)."""
 
     def run(batches):
         import pyarrow as pa
@@ -43,7 +43,7 @@ def fingerprints(width: int):
         for batch in batches:
             text = batch.column("text")
             fps = [fingerprint(t.as_py(), width) for t in text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array(fps, pa.int64())], [order, "fp"])
 
     return run
 

@@ -4,21 +4,22 @@ The kernel counts the n-grams (orders 1 to 3, as presence) that two texts share,
 texts of every language span a Nyström feature space, in which one-versus-rest kernel ridge regression is solved in closed
 form. Scoring a batch is one product of its presence matrix with the landmarks' and one with the solution.
 
-The fit uses a bounded sample, ``per_lang`` rows of a language as expected, reduced on the executors to presence bits.
+The fit uses a bounded sample, ``per_lang`` distinct texts of a language at most, reduced on the executors to presence bits.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; without any learned language so are all; null
-langs don't teach; repeated rows get equal results; empty tables give empty results. Only doc_id, text and lang are read.
+Defined results: null texts and texts without a letter (a character of Unicode category L: no digits, other numbers, marks or signs) are ``und`` with score 0;
+without any learned language so are all; null langs don't teach; of equally likely languages the first by name wins; repeated rows teach once and get equal results; very long texts
+are read whole, in pieces; extra columns are left out; empty tables give empty results. Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import bounded, clean_of
+from .common import bounded, clean_of, materialize
 from .linear import fold
 
 cloudpickle.register_pickle_by_value(grams)
@@ -30,9 +31,12 @@ def train(docs: DataFrame, per_lang: int = 300, landmarks: int = 24, ridge: floa
     """(packed landmarks, solution, language names)."""
     rows = clean_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), parts, held))
     sizes = rows.groupBy("lang").count()
-    wanted = sizes.select(F.col("lang").alias("of_lang"), (F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count")) * F.lit(float(1 << 31))).alias("least_hash"))
-    picked = rows.withColumn("pick", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)).join(bounded(wanted, wanted.count(), 10_000), F.col("lang") == F.col("of_lang")).where(F.col("pick") <= F.col("least_hash"))
-    sample = picked.select("pick", "lang", "text").select("lang", "text").mapInArrow(grams.packed_presence(ORDERS, BITS), "lang string, x binary").toPandas().sort_values(["lang", "x"], kind="stable")
+    # twice as many as wanted are expected to pass, by the hash of the text; of these the first are taken
+    wanted = sizes.select(F.col("lang").alias("of_lang"), (F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("count")) * F.lit(float(1 << 63))).alias("least_hash"))
+    rows = rows.withColumn("pick", F.shiftrightunsigned(F.xxhash64("text"), 1)).join(bounded(wanted, wanted.count(), 10_000), F.col("lang") == F.col("of_lang")).where(F.col("pick") <= F.col("least_hash"))
+    passed = materialize(rows.groupBy("lang", "pick").agg(F.first("text").alias("text")), "passed")
+    first = passed.select("lang", "pick").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("n") <= per_lang).drop("n")
+    sample = passed.join(F.broadcast(first), ["lang", "pick"]).select("lang", "text").mapInArrow(grams.packed_presence(ORDERS, BITS), "lang string, x binary").toPandas().sort_values(["lang", "x"], kind="stable")
     if not len(sample):
         return np.zeros((0, (1 << BITS) // 8), np.uint8), np.zeros((0, 0)), []
     names = sorted(sample["lang"].unique())

@@ -8,8 +8,12 @@ Both vocabulary and counts are gathered from every document into distributed tab
 the n-grams that the corpus has. Losses of the most frequent n-grams, as many as may be broadcast, are added up where a document is read;
 those of all others are joined to it by n-gram.
 
-Defined results: null and empty texts have no tokens and null losses and score; repeated rows get equal results; with no target
-document the target model is uniform; empty tables give empty results. Only doc_id and text are read, and the target flag.
+N-grams have five characters, or as many as have a number of 64 bits: with more than some six thousand distinct characters, each of which
+says more, four or three.
+
+Defined results: null and empty texts have no tokens and null losses and score; repeated rows get equal results and count as often as they occur; with no target
+document the target model is uniform; of equally frequent characters the least code point is numbered first, which changes no result; very long texts are read whole, in pieces;
+extra columns are left out; empty tables give empty results. Only doc_id and text are read, and the target flag.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from .linear import LABEL_ROWS
 
 cloudpickle.register_pickle_by_value(grams)
 
-ORDER, STRENGTH = 3, 5.0
+ORDER, STRENGTH = 5, 5.0
 #: N-grams whose losses may be broadcast.
 SHARED_GRAMS = 1 << 20
 
@@ -44,14 +48,15 @@ def train(docs: DataFrame, size: int | None = None, order: int = ORDER):
     table = np.ones(max(127, common.max(initial=0)) + 2, np.int32)
     table[common] = np.arange(2, len(common) + 2)
     tokens = len(common) + 2
-    if tokens**order >= 1 << 63:
-        raise ValueError(f"n-grams of {order} among {tokens} tokens have no number of 64 bits")
+    while tokens**order >= 1 << 63:  # three always fit
+        order -= 1
     cells = rows.mapInArrow(grams.gram_counts(table, tokens, order), "cell bigint, target bigint, background bigint")
     cells = materialize(summed(cells, F.col("cell")).withColumnRenamed("gram", "cell"), "grams")
     levels = []
     for n in range(1, order + 1):
         level = summed(cells, F.col("cell") % tokens**n)
-        levels.append((level, summed(level, F.expr(f"gram div {tokens}"))))
+        level = materialize(level, "level") if n < order else cells.withColumnRenamed("cell", "gram")
+        levels.append((level, materialize(summed(level, F.expr(f"gram div {tokens}")), "contexts")))
     return table, tokens, levels, cells
 
 
@@ -76,9 +81,10 @@ def priced(cells: DataFrame, tokens: int, levels) -> DataFrame:
     return cells.withColumns({f"{x}_loss": -F.log(f"__p_{x}") for x in names}).drop(*[f"__p_{x}" for x in names])
 
 
-def score(docs: DataFrame, model, order: int = ORDER, counted: bool = False) -> DataFrame:
+def score(docs: DataFrame, model, counted: bool = False) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score: one row for each input row. counted: the model is of these documents."""
     table, tokens, levels, cells = model
+    order = len(levels)
     rows = clean_of(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("h"), "text")
     if not counted:
         own = rows.select("text", F.lit(False).alias("target")).mapInArrow(grams.gram_counts(table, tokens, order), "cell bigint, target bigint, background bigint")

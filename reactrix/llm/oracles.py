@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ADDED, BASE
+from .secrets import ADDED, BASE, MAX_OWNERS, MAX_REPOSITORIES
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
 
@@ -41,10 +41,17 @@ dw AS (SELECT doc_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS k
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, j, dw.n FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id),
+side AS (SELECT DISTINCT item_id, j, w[j : j + 12] AS p FROM (SELECT item_id, w, unnest(list_distinct(list_concat(range(1, len(w) - 11, 13), [len(w) - 12]))) AS j FROM b WHERE len(w) >= 13)),
+pass AS (SELECT p, row_number() OVER () AS k FROM (SELECT DISTINCT p FROM side)),
+pt AS (SELECT k, unnest(p) AS term, generate_subscripts(p, 1) AS i FROM pass),
+dt AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS q FROM d),
+sh AS (SELECT doc_id, k, i, unnest(range(q - i - 2, q - i + 3)) AS s FROM dt JOIN pt ON dt.term = pt.term),
+nr AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, k, s FROM sh GROUP BY doc_id, k, s HAVING count(DISTINCT i) >= 11)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN pass ON nr.k = pass.k JOIN side ON side.p = pass.p GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
 """
 
 def _op5() -> str:
@@ -62,10 +69,10 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 c AS ({parts}),
 s AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c),
 x AS (SELECT doc_id, source, kind, (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(w[1:i], lambda x: length(x))))::BIGINT AS e, length(w[i]) AS n, v[i] AS v FROM s WHERE length(v[i]) >= least),
-o AS (SELECT v, count(DISTINCT source) > 2 AS copied FROM x GROUP BY v),
-f AS (SELECT doc_id, kind, e - n AS b, e, NOT copied AS live FROM x JOIN o ON x.v = o.v WHERE kind < {len(BASE)} OR NOT copied),
-a AS (SELECT doc_id, {counts}, {listing} FILTER (WHERE kind < {len(BASE)}) AS base, {listing} AS spans, count(*) FILTER (WHERE live) AS n_live FROM f GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live
+o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM x GROUP BY v),
+f AS (SELECT doc_id, kind, e - n AS b, e, NOT copied AS live, owners, repositories FROM x JOIN (SELECT *, owners > {MAX_OWNERS} OR (owners > 1 AND repositories > {MAX_REPOSITORIES}) AS copied FROM o) AS o ON x.v = o.v WHERE kind < {len(BASE)} OR NOT copied),
+a AS (SELECT doc_id, {counts}, {listing} FILTER (WHERE kind < {len(BASE)}) AS base, {listing} AS spans, count(*) FILTER (WHERE live) AS n_live, max(owners) AS n_owners, max(repositories) AS n_repositories FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_owners, 0)::BIGINT AS n_owners, coalesce(n_repositories, 0)::BIGINT AS n_repositories
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 

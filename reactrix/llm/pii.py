@@ -6,8 +6,13 @@ valid by check digit, dates stay dates. A permutation is one to one and has no m
 documents get equal pseudonyms, different values get different ones, and nothing is joined or collected. The local parts of
 e-mail addresses go through a Feistel network on their letters and digits.
 
-Defined results: null text stays null; texts without a valid value stay as they are; a value that fails its validation stays, but valid values among
-its digit groups go; day and month are read in that order where both orders are valid; dates outside 1800-2199 stay; repeated rows get equal results; an empty table gives an empty result. Only doc_id and text are read.
+Patterns repeat single characters only (or groups at most 14 times): Java's matcher recurses at each turn of a repeated group, so that one
+long run of text would end the executor.
+
+Defined results: null text stays null; empty texts and texts without a valid value stay as they are; a value that fails its validation stays, but valid values among
+its digit groups go; e-mail addresses have a local part of up to 64 characters and a domain of up to 255 (labels that aren't empty), longer ones stay; day and month are read in
+that order where both orders are valid; dates outside 1800-2199 stay; very long texts are read whole; where two forms start at one place the first in FORMS wins; repeated
+rows get equal results; extra columns are left out; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from .common import clean_of, let
 
 # Forms of the kinds, in the order in which they are tried.
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -39,12 +44,12 @@ DATE_LEFT, DATE_RIGHT = 189, 773
 ROUNDS = 8
 
 
-def keyed(key: str, kind: str, turn, half) -> Column:
+def keyed(key: str, kind: Column, turn, half) -> Column:
     """60 keyed pseudo-random bits of a half."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, turn.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: Column) -> Column:
     """(l, r): keyed permutation of pairs below (a, b), by alternating modular additions."""
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
@@ -56,8 +61,9 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: s
 
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
-    """Digits of up to 36 places to as many digits. The length is part of the key."""
+    """Digits of up to 36 places to as many digits. The length is part of the key, so numbers of another length tell nothing of these."""
     n = F.length(digits)
+    kind = F.concat(F.lit(kind), n.cast("string"))
     half = F.floor(n / 2).cast("int")
     a, b = F.pow(F.lit(10.0), half).cast("bigint"), F.pow(F.lit(10.0), n - half).cast("bigint")
     out = feistel(F.substring(digits, F.lit(1), half).try_cast("bigint"), F.substring(digits, half + 1, n - half).try_cast("bigint"), a, b, key, kind)
@@ -113,7 +119,7 @@ def pseudonym(value: Column, key: str) -> Column:
     month_first = ~value.rlike(r"^\d{4}") & in_order(value, 3, 2, 1).isNull()
 
     def moved(x):
-        return let(feistel(F.floor(x / DATE_RIGHT), x % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT), key, "date"), lambda o: (o["l"] * DATE_RIGHT + o["r"]).cast("bigint"))
+        return let(feistel(F.floor(x / DATE_RIGHT), x % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT), key, F.lit("date")), lambda o: (o["l"] * DATE_RIGHT + o["r"]).cast("bigint"))
 
     def as_date(x):
         return F.date_add(F.lit("1800-01-01").cast("date"), x.cast("int"))
@@ -127,7 +133,7 @@ def pseudonym(value: Column, key: str) -> Column:
     date = let(as_date(walked), lambda d: F.replace(F.when(form == "yMd", F.date_format(d, "yyyy-MM-dd")).when(form == "Mdy", F.date_format(d, "MM-dd-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")), F.lit("-"), F.regexp_extract(value, "[-/.]", 0)))
 
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
-    ip = let(feistel(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)), F.lit(65536), F.lit(65536), key, "ip"), lambda o: F.concat_ws(".", F.floor(o["l"] / 256), o["l"] % 256, F.floor(o["r"] / 256), o["r"] % 256))
+    ip = let(feistel(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)), F.lit(65536), F.lit(65536), key, F.lit("ip")), lambda o: F.concat_ws(".", F.floor(o["l"] / 256), o["l"] % 256, F.floor(o["r"] / 256), o["r"] % 256))
 
     def whole(kind):
         return refill(value, permuted_digits(only_digits(value), key, kind))
@@ -165,7 +171,7 @@ def kind_of(value: Column) -> Column:
         return value.rlike("^(?:" + FORMS[kind] + ")$")
 
     return (
-        F.when(is_form("email"), "email")
+        F.when(is_form("email") & (F.length(F.substring_index(value, "@", 1)) <= 64) & (F.length(F.substring_index(value, "@", -1)) <= 255) & ~F.contains(F.substring_index(value, "@", -1), F.lit("..")), "email")
         .when(is_form("date") & F.coalesce(F.year(day_of(value)).between(1800, 2199), F.lit(False)), "date")
         .when(is_form("ip") & F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255), "ip")
         .when(is_form("ssn"), "ssn")
@@ -179,32 +185,49 @@ GROUPED = "^(?:" + "|".join(FORMS[k] for k in ("date", "ssn", "phone", "card"))
 
 
 def inside(run: Column) -> Column:
-    """Pieces of digit groups behind each other: from each group on, the longest value that ends with a group and is valid, and what is between."""
+    """Pieces of digit groups behind each other: from each group on, the longest value that ends with a group and is valid, and what is between.
+
+    First every group finds its longest value by itself; then a walk over the lengths alone keeps those that don't begin inside an earlier one.
+    """
     groups = F.regexp_extract_all(run, F.lit(r"\d+[ -]*"), F.lit(0))
 
     def joined(g, start, k):
         return F.array_join(F.slice(g, start + 1, k), "")
 
-    def step(g):
-        def valid(i):
-            return lambda k: let(F.regexp_replace(joined(g, i, k), "[ -]+$", ""), lambda v: v.rlike(GROUPED) & kind_of(v).isNotNull())
+    def longest(g, i):
+        def valid(k):
+            return let(F.regexp_replace(joined(g, i, k), "[ -]+$", ""), lambda v: (F.length(v) >= 8) & (F.length(v) <= 40) & v.rlike(GROUPED) & kind_of(v).isNotNull())
+
+        return F.coalesce(F.get(F.filter(F.sequence(F.least(F.lit(GROUPS), F.size(g) - i), F.lit(1), F.lit(-1)), valid), F.lit(0)), F.lit(0))
+
+    def chosen(g):
+        at = F.transform(g, lambda _, i: longest(g, i))
+        return let(F.struct(g.alias("g"), taken_from(at).alias("k")), lambda s: F.flatten(F.transform(s["g"], lambda x, i: piece(s["g"], s["k"], x, i))))
+
+    def piece(g, k, x, i):
+        """What group i adds: a value that begins here and the separators behind it, the group as it is, or nothing inside a value."""
+        value = F.regexp_replace(joined(g, i, F.get(k, i)), "[ -]+$", "")
+        ending = F.regexp_extract(F.get(g, i + F.get(k, i) - 1), "[ -]*$", 0)
+        return F.when(F.get(k, i) > 0, F.array(value, ending)).when(F.get(k, i) == 0, F.array(x)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return let(groups, chosen)
 
-        def turn(s, i):
-            def taken(k):
-                value = F.regexp_replace(joined(g, i, k), "[ -]+$", "")
-                ending = F.regexp_extract(F.element_at(g, i + k), "[ -]*$", 0)
-                return F.struct((i + k).alias("done"), F.concat(s["out"], F.array(joined(g, s["done"], i - s["done"]), value, ending)).alias("out"))
 
-            lengths = F.sequence(F.least(F.lit(GROUPS), F.size(g) - i), F.lit(1), F.lit(-1))
-            return F.when(i < s["done"], s).otherwise(let(F.get(F.filter(lengths, valid(i)), F.lit(0)), lambda k: F.when(k.isNull(), s).otherwise(taken(k))))
+def taken_from(longest: Column, width: int = 256) -> Column:
+    """For each group the length of the value taken there, 0 for none, -1 inside a taken value; longest: of the values that begin at each group.
 
-        return turn
+    In pieces of ``width``, as an array that grows by one is copied at each step.
+    """
+    def step(s, k):
+        now = F.when(s["left"] > 0, F.lit(-1)).otherwise(k)
+        return F.struct(F.when(s["left"] > 0, s["left"] - 1).otherwise(F.greatest(k - 1, F.lit(0))).alias("left"), F.concat(s["out"], F.array(now)).alias("out"))
 
-    def walked(g):
-        start = F.struct(F.lit(0).alias("done"), F.expr("cast(array() as array<string>)").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step(g), lambda s: F.concat(s["out"], F.array(joined(g, s["done"], F.size(g) - s["done"]))))
+    def chunk(s, part):
+        return let(F.aggregate(part, F.struct(s["left"].alias("left"), F.expr("cast(array() as array<int>)").alias("out")), step), lambda t: F.struct(t["left"].alias("left"), F.concat(s["all"], F.array(t["out"])).alias("all")))
 
-    return let(groups, walked)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(longest) - 1) / width).cast("int")), lambda j: F.slice(longest, j * width + 1, F.lit(width)))
+    start = F.struct(F.lit(0).alias("left"), F.expr("cast(array() as array<array<int>>)").alias("all"))
+    return F.aggregate(parts, start, chunk, lambda s: F.flatten(s["all"]))
 
 
 def pieces(value: Column, key: str) -> Column:

@@ -133,8 +133,8 @@ def test_language_model_matches_brute_force(spark):
     assert len(vocabulary) == 4
     for d, text, _ in docs:
         if text:
-            target = slow_loss([t for _, t, y in docs if y and t], text, 6, 3, lm.STRENGTH, vocabulary)
-            background = slow_loss([t for _, t, _ in docs if t], text, 6, 3, lm.STRENGTH, vocabulary)
+            target = slow_loss([t for _, t, y in docs if y and t], text, 6, lm.ORDER, lm.STRENGTH, vocabulary)
+            background = slow_loss([t for _, t, _ in docs if t], text, 6, lm.ORDER, lm.STRENGTH, vocabulary)
             assert got[d].score == pytest.approx(target - background, abs=1e-5) and got[d].n_tokens == len(text)
     assert got[4].score is None and got[5].score is None and got[4].n_tokens == 0
 
@@ -172,12 +172,12 @@ def check_open_model(spark):
     of_target, of_all, size = [t for _, t, y in docs if y and t], [t for _, t, _ in docs if t], len(letters) + 2
     for d in (0, 100, 101, 205):
         text = next(t for i, t, _ in docs if i == d)
-        target, background = (slow_loss(x, text, size, 3, lm.STRENGTH, vocabulary) for x in (of_target, of_all))
+        target, background = (slow_loss(x, text, size, len(model[2]), lm.STRENGTH, vocabulary) for x in (of_target, of_all))
         assert (got[d].target_loss, got[d].background_loss) == pytest.approx((target, background), abs=1e-5) and got[d].n_tokens == len(text)
     assert got[100].score < 0 < got[101].score  # letters of the target, and letters that it never has
     new = spark.createDataFrame([(1, "жук ßx 一二 zz"), (2, None)], "doc_id bigint, text string")
     one = {r.doc_id: r for r in lm.score(new, model).collect()}
-    assert one[1].target_loss == pytest.approx(slow_loss(of_target, "жук ßx 一二 zz", size, 3, lm.STRENGTH, vocabulary), abs=1e-5) and one[2].score is None
+    assert one[1].target_loss == pytest.approx(slow_loss(of_target, "жук ßx 一二 zz", size, len(model[2]), lm.STRENGTH, vocabulary), abs=1e-5) and one[2].score is None
 
 
 def test_language_model_has_an_open_vocabulary(spark):

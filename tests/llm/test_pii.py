@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import re
+import time
 
 from reactrix.llm import pii as P
 
@@ -86,3 +88,63 @@ def test_slash_dates_are_one_to_one(spark):
     days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(400)]
     values = [f"{d:%d/%m/%Y}" for d in days] + [f"{d:%m/%d/%Y}" for d in days if d.day > 12]
     assert len({r.text for r in run(spark, values)}) == len(values)
+
+
+def slow_digits(digits, key, kind):
+    """The Feistel network on numbers, in plain Python."""
+    n = len(digits)
+    half = n // 2
+    size = (10**half, 10 ** (n - half))
+    pair = [int(digits[:half] or 0), int(digits[half:])]
+    for turn in range(P.ROUNDS):
+        side = turn % 2
+        bits = int(hashlib.sha256(f"{key}|{kind}{n}|{turn}|{pair[1 - side]}".encode()).hexdigest()[:15], 16)
+        pair[side] = (pair[side] + bits % size[side]) % size[side]
+    return f"{pair[0]:0{half}d}{pair[1]:0{n - half}d}"
+
+
+def test_numbers_match_a_plain_feistel_network(spark):
+    ssn = [f"{k * 7919 % 1000:03d}-{k % 100:02d}-{k * 31 % 10000:04d}" for k in range(60)]
+    for text, r in zip(ssn, run(spark, ssn, "key one"), strict=True):
+        d = slow_digits(text.replace("-", ""), "key one", "ssn")
+        assert r.text == f"{d[:3]}-{d[3:5]}-{d[5:]}"
+    cards = []
+    for k in range(40):
+        body = f"{4 * 10**14 + k * 123457:015d}"[: 12 + k % 4]
+        cards.append(next(body + c for c in "0123456789" if luhn(body + c)))
+    for text, r in zip(cards, run(spark, cards, "key two"), strict=True):
+        body = slow_digits(text[:-1], "key two", "card")
+        assert r.text == next(body + c for c in "0123456789" if luhn(body + c)) and r.n_card == 1
+    phones = [f"{200 + k}-555-{k:04d}" for k in range(40)]
+    for text, r in zip(phones, run(spark, phones, "k"), strict=True):
+        d = slow_digits(text.replace("-", ""), "k", "phone")
+        assert r.text == f"{d[:3]}-{d[3:6]}-{d[6:]}"
+
+
+def test_dates_match_a_plain_feistel_network(spark):
+    start, days = datetime.date(1800, 1, 1), [str(datetime.date(1990, 1, 1) + datetime.timedelta(97 * k)) for k in range(60)]
+    for text, r in zip(days, run(spark, days, "k"), strict=True):
+        size, pair = (P.DATE_LEFT, P.DATE_RIGHT), list(divmod((datetime.date.fromisoformat(text) - start).days, P.DATE_RIGHT))
+        for turn in range(P.ROUNDS):
+            side = turn % 2
+            pair[side] = (pair[side] + int(hashlib.sha256(f"k|date|{turn}|{pair[1 - side]}".encode()).hexdigest()[:15], 16) % size[side]) % size[side]
+        assert r.text == str(start + datetime.timedelta(pair[0] * P.DATE_RIGHT + pair[1]))
+
+
+def test_a_megabyte_of_every_kind(spark):
+    """No text overflows the matcher's stack or costs out of proportion, and values at its end are still found."""
+    end = f" {CARD} x@y.org 2020-01-31 10.20.30.40 123-45-6789 555-123-4567"
+    long = ["a@b" + ".c" * 500_000, "a@b" + ".cc" * 300_000, "a@" * 400_000, "a" * 1_000_000 + "@b.org", "b." * 400_000 + "@c.org", "1" * 1_000_000, "1.1." * 250_000, "1-" * 400_000, "+1 1" * 200_000, "(1) " * 200_000, "2020-" * 200_000, "0.0.0.0." * 100_000, "ab " * 300_000, "12345 " * 20_000, "1 " * 30_000, f"{CARD} " * 8_000]
+    began = time.time()
+    got = run(spark, [x + " ;" + end for x in long])
+    assert time.time() - began < 240
+    for x, r in zip(long, got, strict=True):
+        assert not re.search(r"4111111111111111|x@y\.org|2020-01-31|10\.20\.30\.40|123-45-6789|555-123-4567", r.text[-len(end) :]), x[:10]
+        assert len(r.text) == len(x) + 2 + len(end), x[:10]
+    assert got[-1].n_card == 8_001
+
+
+def test_addresses_of_legal_length(spark):
+    texts = ["a" * 64 + "@b.org", "a" * 65 + "@b.org", "a@" + "b" * 251 + ".org", "a@" + "b" * 252 + ".org", "a@b..org", "a..b@c.org", "A.b+c@x-y.co.uk."]
+    got = run(spark, texts)
+    assert [r.n_email for r in got] == [1, 0, 1, 0, 0, 1, 1] and [r.text for r in got][1::2][:2] == texts[1::2][:2] and got[-1].text.endswith("@x-y.co.uk.")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from reactrix.llm import secrets as S
 
@@ -48,3 +49,30 @@ def test_redaction(spark):
 def test_empty(spark):
     assert S.digest(empty(spark)).count() == 0
     assert S.redact(empty(spark)).count() == 0
+
+
+def test_owners_and_repositories_decide(spark):
+    """Copied: more than two owners, or two owners in many repositories. One owner's value is live in however many repositories."""
+    value = lambda c: "ghp_" + (c + "9Y8") * 9
+    data = [(k, value("a"), "en", "one", 1) for k in range(12)] + [(100 + k, value("b"), "en", f"s{k % 2}", 1) for k in range(12)] + [(200 + k, value("c"), "en", f"s{k % 2}", 1) for k in range(4)] + [(300 + k, value("d"), "en", f"s{k}", 1) for k in range(3)]
+    got = {r.doc_id: r for r in S.digest(frame(spark, data)).collect()}
+    assert [got[k].n_live for k in (0, 100, 200, 300)] == [1, 0, 1, 0]
+    assert (got[0].n_owners, got[0].n_repositories) == (1, 12) and (got[200].n_owners, got[200].n_repositories) == (2, 4)
+
+
+def test_long_texts(spark):
+    """Spans and redaction of many values cost in proportion, and cross the strips of a long text."""
+    n = 60_000
+    text = "é𝒳 " + " ".join(f"{k:020x}" for k in range(n)) + " end token=abcdefghijklmnop"
+    began = time.time()
+    got = S.digest(spark.createDataFrame([(1, text, "a"), (2, None, "a")], "doc_id bigint, text string, source string")).orderBy("doc_id").collect()
+    assert got[0].n_hex == n and got[0].base_sha256 == slow(text)[1] and got[1].n_hex == 0
+    out = S.redact(spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string")).first().text
+    assert out == "é𝒳 " + " ".join(["[SECRET]"] * n) + " end [SECRET]" and time.time() - began < 90
+
+
+def test_redaction_beyond_the_broadcast(spark, monkeypatch):
+    want = sorted(map(tuple, S.redact(frame(spark, rows())).collect()), key=repr)
+    meet = S.meet
+    monkeypatch.setattr(S, "meet", lambda rows, small, same, how, n, a, b, limit: meet(rows, small, same, how, n, a, b, -1))
+    assert sorted(map(tuple, S.redact(frame(spark, rows())).collect()), key=repr) == want
