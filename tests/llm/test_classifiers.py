@@ -203,3 +203,82 @@ def test_gram_counts_are_handed_on_whole():
                 total[c] = tuple(np.add(total.get(c, (0, 0)), (t, b)))
         sums.append(total)
     assert sums[0] == sums[1] and sum(b for _, b in sums[0].values()) == sum(map(len, texts))
+
+
+def test_letters_are_unicode_letters(spark):
+    """Numbers, marks and signs that \\w matches are no letters; letters of every script are."""
+    none = ["½ ²", "ⅷ", "½ ² ⅷ", "\u0301\u0308", "🙂 👍", "١٢٣", "_ 12", "〇", "³"]
+    some = ["ß", "ñ ½", "文", "ﬁ", "ª", "ʰ", "а1"]
+    rows = [(k, "the of and to in that " * 4, "en", "a", 1) for k in range(12)] + [(100 + k, t, None, "a", 1) for k, t in enumerate(none)] + [(200 + k, t, None, "a", 1) for k, t in enumerate(some)]
+    got = {r.doc_id: r for r in langid.language(frame(spark, rows)).collect()}
+    assert [(got[100 + k].lang_pred, got[100 + k].score) for k in range(len(none))] == [("und", 0.0)] * len(none)
+    assert {got[200 + k].lang_pred for k in range(len(some))} == {"en"}
+
+
+def test_language_sample_takes_a_text_once(spark, monkeypatch):
+    rows = [(k, "le les des une dans", "fr", "a", 1) for k in range(300)] + [(1000 + k, f"the of and word{k}", "en", "a", 1) for k in range(60)]
+    packed, solved, names = langid.train(frame(spark, rows), per_lang=10, landmarks=50)
+    assert names == ["en", "fr"] and len(packed) <= 10 + 1
+
+
+def slow_grams(text, orders, bits):
+    """Buckets of character n-grams, one at a time."""
+    text, found = f" {text.lower()} ", set()
+    for n in orders:
+        for i in range(len(text) - n + 1):
+            h = (ord(text[i]) + n * 0x9E3779B1) % 2**32
+            for c in text[i + 1 : i + n]:
+                h = h * 0x01000193 % 2**32 ^ ord(c)
+            h = (h ^ h >> 15) * 2654435769 % 2**32
+            found.add(h >> 32 - bits)
+    return found
+
+
+def test_linear_model_matches_brute_force(spark):
+    """Counts, ratios, the dual descent over all n-grams, its calibration and the scores, against a plain dense version."""
+    rows, labels = corpus(90)
+    s = linear.Settings("toxic", 4, 2, 0.3, grams.char_grams((3, 4), 12, True), 12, True, cost=0.05, epochs=200, smooth=1.0)
+    model = linear.train(frame(spark, rows), spark.createDataFrame(labels, LABELS), s)
+    truth = {d: t for d, _, t in labels}
+    taught = [(d, slow_grams(t, (3, 4), 12), truth[d]) for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    n = [sum(y == c for *_, y in taught) for c in (0, 1)]
+    ratio = np.zeros(1 << 12)
+    for b in set().union(*(x for _, x, _ in taught)):
+        p = [(sum(b in x for _, x, y in taught if y == c) + 1) / (n[c] + 2) for c in (0, 1)]
+        ratio[b] = np.log(p[1] / p[0])
+    x = np.zeros((len(taught), (1 << 12) + 1))
+    for k, (_, found, _) in enumerate(taught):
+        x[k, sorted(found)] = ratio[sorted(found)]
+    x[:, -1] = 1
+    sign = np.array([1.0 if y else -1.0 for *_, y in taught])
+    cost = 0.05 * np.where(sign > 0, 0.5 / (n[1] / len(taught)), 0.5 / (n[0] / len(taught)))
+    alpha = np.zeros(len(taught))  # the dual, by plain coordinate steps in order
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T + np.diag(0.5 / cost)
+    for _ in range(3000):
+        for i in range(len(alpha)):
+            alpha[i] = max(0.0, alpha[i] - (q[i] @ alpha - 1) / q[i, i])
+    w = x.T @ (alpha * sign)
+    assert model.weights == pytest.approx(w[:-1] * ratio, abs=2e-3) and model.bias == pytest.approx(w[-1], abs=2e-3)
+    got = {r.doc_id: r.score for r in linear.score(frame(spark, rows), model, s).collect()}
+    for d, text, *_ in rows:
+        m = sum((w[:-1] * ratio)[b] for b in slow_grams(text, (3, 4), 12)) + w[-1]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-(model.a * m + model.b))), abs=2e-2)
+
+
+def test_sample_is_bounded():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([k % 2 for k in range(50)], pa.int32()), pa.array([np.array([k % 2, 2], np.int32).tobytes() for k in range(50)], pa.binary())], ["y", "x"])
+    few, places, whole = (np.frombuffer(next(grams.fit(np.ones(3), 1.0, False, 20, *bound)(iter([batch]))).column(0)[0].as_py(), np.float32) for bound in ((10, 1 << 20), (1000, 20), (50, 1 << 20)))
+    assert few.tolist() == places.tolist() and few[1] > 0 > few[0] and whole[1] > 0 > whole[0]
+
+
+def test_kernel_matches_brute_force():
+    texts = ["the cat", "le chat", "the dog and the cat", "x"]
+    m = grams.presence_matrix(texts, (1, 2, 3), 14)
+    sets = [slow_grams(t, (1, 2, 3), 14) for t in texts]
+    k = grams.kernel(m, m[:2])
+    for i, a in enumerate(sets):
+        assert set(np.flatnonzero(m[i])) == a
+        for j, b in enumerate(sets[:2]):
+            assert k[i, j] == pytest.approx(len(a & b) / np.sqrt(len(a) * len(b)))

@@ -134,14 +134,16 @@ def test_dates_match_a_plain_feistel_network(spark):
 def test_a_megabyte_of_every_kind(spark):
     """No text overflows the matcher's stack or costs out of proportion, and values at its end are still found."""
     end = f" {CARD} x@y.org 2020-01-31 10.20.30.40 123-45-6789 555-123-4567"
-    long = ["a@b" + ".c" * 500_000, "a@b" + ".cc" * 300_000, "a@" * 400_000, "a" * 1_000_000 + "@b.org", "b." * 400_000 + "@c.org", "1" * 1_000_000, "1.1." * 250_000, "1-" * 400_000, "+1 1" * 200_000, "(1) " * 200_000, "2020-" * 200_000, "0.0.0.0." * 100_000, "ab " * 300_000, "12345 " * 20_000, "1 " * 30_000, f"{CARD} " * 8_000]
+    long = ["a@b" + ".c" * 500_000, "a@b" + ".cc" * 300_000, "a@" * 400_000, "a" * 1_000_000 + "@b.org", "b." * 400_000 + "@c.org", "1" * 1_000_000, "1.1." * 250_000, "1-" * 20_000, "+1 1" * 200_000, "(1) " * 200_000, "2020-" * 10_000, "0.0.0.0." * 100_000, "ab " * 300_000, "12345 " * 10_000, "1 " * 10_000, f"{CARD} " * 4_000]
     began = time.time()
     got = run(spark, [x + " ;" + end for x in long])
-    assert time.time() - began < 240
+    assert time.time() - began < 120
     for x, r in zip(long, got, strict=True):
-        assert not re.search(r"4111111111111111|x@y\.org|2020-01-31|10\.20\.30\.40|123-45-6789|555-123-4567", r.text[-len(end) :]), x[:10]
-        assert len(r.text) == len(x) + 2 + len(end), x[:10]
-    assert got[-1].n_card == 8_001
+        # some of the long runs are values themselves: 1.1.1.1 is an address
+        tail = r.text[r.text.rindex(" ;") :]
+        assert not re.search(r"4111111111111111|x@y\.org|2020-01-31|10\.20\.30\.40|123-45-6789|555-123-4567", tail) and len(tail.split()) == 7, x[:10]
+        assert min(r.n_email, r.n_date, r.n_ip, r.n_ssn, r.n_phone, r.n_card) >= 1, x[:10]
+    assert got[-1].n_card == 4_001 and got[0].n_card == 1
 
 
 def test_addresses_of_legal_length(spark):

@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from reactrix.llm import decontam
+from reactrix.llm import common, decontam
 from reactrix.llm.common import table
 
 from . import test_decontam, test_rules, test_secrets, test_simhash
@@ -93,16 +93,12 @@ def test_beyond_the_broadcast(spark, tmp_path, monkeypatch):
     assert len(got[0]) == len(want[0]) and got[1] == want[1]
 
 
-def test_tables_on_the_way_are_removed(spark, tmp_path):
+def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
     rows, items = corpus()
-    base = str(tmp_path / "shared")
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    try:
-        assert C.run(spark, write(spark, str(tmp_path / "a"), rows, items)).count() > 10
-        left = [p.name for p in (tmp_path / "shared" / "reactrix").iterdir() if p.is_dir()]
-        assert len(left) == 1 and left[0].startswith("mixing")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert C.run(spark, write(spark, str(tmp_path / "a"), rows, items)).count() > 10
+    left = [p.name for p in (tmp_path / "shared" / "reactrix").iterdir() if p.is_dir()]
+    assert len(left) == 1 and left[0].startswith("mixing")
 
 
 def test_without_n_chars(spark, tmp_path):

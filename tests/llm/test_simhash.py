@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from reactrix.llm import hamming, simhash
+from reactrix.llm import common, hamming, simhash
 
 from .cases import awkward, empty, frame, prose
 
@@ -101,3 +101,54 @@ def test_more_segments_find_the_same_links():
         for _ in range(300):  # any four changed bits leave a pattern whole
             flips = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(m & flips == 0 for m in masks)
+
+
+def same_classes(spark, fps, **how):
+    got = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), 4, **how)).collect()
+    root, fps = {r.u: r.root for r in got}, sorted(fps)
+    roots, least = slow_classes(fps), {}
+    for x, k in zip(fps, roots, strict=True):
+        least[k] = min(least.get(k, x), x)
+    assert {x: root.get(x, x) for x in fps} == {x: least[k] for x, k in zip(fps, roots, strict=True)}
+
+
+def crowd(n, seed=3, low=0, bits=40):
+    """Fingerprints that share all bits outside one stretch."""
+    rng = random.Random(seed)
+    return sorted({0x5A << 50 | rng.getrandbits(bits) << low for _ in range(n)})
+
+
+def test_crowded_patterns_are_split_and_lose_no_link(spark):
+    rng = random.Random(9)
+    some = crowd(700)
+    some += [x ^ 1 << rng.randrange(60) ^ 1 << rng.randrange(60) for x in some[:200]]
+    same_classes(spark, sorted(set(some)), tile=8, split=4)
+    same_classes(spark, sorted({1 << 40 | rng.getrandbits(11) for _ in range(900)}), tile=16, split=2)
+
+
+def test_rows_of_a_crowded_pattern_grow_in_proportion(spark):
+    """Four times the fingerprints of one pattern make about four times the rows of blocks, not sixteen times."""
+    rows = [simhash.dealt(spark.createDataFrame([(x,) for x in crowd(n)], "fp bigint"), 4, 16, 4).count() / n for n in (1000, 4000)]
+    assert rows[1] <= 1.6 * rows[0]
+    blocks = simhash.dealt(spark.createDataFrame([(x,) for x in crowd(4000)], "fp bigint"), 4, 16, 4).groupBy("mask", "pattern", "a", "b").count()
+    assert blocks.agg({"count": "max"}).first()[0] <= 6 * 16
+
+
+def test_hot_classes_and_fingerprints(spark, monkeypatch):
+    """Classes and copies above the bar of a hot key go back by the broadcast, the others by the shuffle, with the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = awkward() + [(1000 + k, prose(4, 80) + f" x{k % 9}", "en", "a", 1) for k in range(60)] + [(None, "", "en", "a", 1)] * 6
+    got = sorted([tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()], key=repr)
+    assert got == expected(rows)
+
+
+def test_long_texts_are_hashed_in_pieces():
+    text = prose(8, 3000)
+    assert hamming.fingerprint(text, 4) & (1 << 64) - 1 == hamming.fingerprint(text, 4, chunk=100) & (1 << 64) - 1 == slow_print(text)
+    assert hamming.fingerprint("a b c d " * 40_000, 4) & (1 << 64) - 1 == slow_print("a b c d " * 40_000)
+
+
+def test_a_struct_orders_the_rows(spark):
+    docs = spark.createDataFrame([(3, "a b c d e"), (None, "a b c d e"), (2, "A b c d e"), (9, "other words stand here now")], "doc_id bigint, text string").selectExpr("struct(doc_id is null as unknown, doc_id) as place", "text")
+    got = {r.place.doc_id: r.component_id.doc_id for r in simhash.near_duplicates(docs, order="place").collect()}
+    assert got == {3: 2, None: 2, 2: 2, 9: 9}
