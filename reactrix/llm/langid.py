@@ -30,8 +30,8 @@ ORDERS, BITS = (1, 2, 3), 14
 def train(docs: DataFrame, per_lang: int = 300, landmarks: int = 24, ridge: float = 1e-2, parts: int = 3, held: int = 1):
     """(packed landmarks, solution, language names)."""
     rows = clean_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), parts, held))
-    sizes = rows.groupBy("lang").count()
-    # twice as many as wanted are expected to pass, by the hash of the text; of these the first are taken
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("count"))
+    # twice as many texts as wanted are expected to pass, by their hash; of these the first are taken
     wanted = sizes.select(F.col("lang").alias("of_lang"), (F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("count")) * F.lit(float(1 << 63))).alias("least_hash"))
     rows = rows.withColumn("pick", F.shiftrightunsigned(F.xxhash64("text"), 1)).join(bounded(wanted, wanted.count(), 10_000), F.col("lang") == F.col("of_lang")).where(F.col("pick") <= F.col("least_hash"))
     passed = materialize(rows.groupBy("lang", "pick").agg(F.first("text").alias("text")), "passed")

@@ -120,10 +120,10 @@ def crowd(n, seed=3, low=0, bits=40):
 
 def test_crowded_patterns_are_split_and_lose_no_link(spark):
     rng = random.Random(9)
-    some = crowd(700)
-    some += [x ^ 1 << rng.randrange(60) ^ 1 << rng.randrange(60) for x in some[:200]]
-    same_classes(spark, sorted(set(some)), tile=8, split=4)
-    same_classes(spark, sorted({1 << 40 | rng.getrandbits(11) for _ in range(900)}), tile=16, split=2)
+    some = crowd(300)
+    some += [x ^ 1 << rng.randrange(60) ^ 1 << rng.randrange(60) for x in some[:100]]
+    some += [1 << 45 | rng.getrandbits(9) for _ in range(200)]
+    same_classes(spark, sorted(set(some)), tile=16, split=4)
 
 
 def test_rows_of_a_crowded_pattern_grow_in_proportion(spark):
