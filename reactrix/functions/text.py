@@ -83,19 +83,29 @@ def tokens(c) -> Column:
 ALWAYS = ["ko", "đc", "k", "h", "t", "mk"]
 
 
+CAPITAL, SMALL = r"\p{IsUppercase}\p{Lt}", r"\p{IsLowercase}"
+
+
+def is_proper(tok: Column) -> Column:
+    """Whether a token has a capital, and each of its letters is a capital, or is one exactly where no letter stands before it."""
+    letter = CAPITAL + SMALL
+    title = ~tok.rlike(f"[{letter}][{CAPITAL}]|(?<![{letter}])[{SMALL}]")
+    return tok.rlike(f"[{CAPITAL}]") & (title | ~tok.rlike(rf"[{SMALL}\p{{Lt}}]"))
+
+
 def normalised(c, dictionary: Column) -> Column:
     """(text, count, words): tokens replaced by the dictionary's first candidate.
 
     dictionary: a map from a lower-case word to its first candidate. Capitalised and all-capital tokens stay,
-    but for ALWAYS; capital forms are told by comparing with initcap and upper.
+    but for ALWAYS; only tokens that the dictionary has are looked at for their capitals.
     """
-    def step(tok):
-        low = F.lower(tok)
-        proper = ((tok == F.initcap(tok)) | (tok == F.upper(tok))) & (low != F.upper(tok)) & ~low.isin(ALWAYS)
-        new = F.when(proper, None).otherwise(F.try_element_at(dictionary, low))
+    def step(found):
+        tok = found["tok"]
+        new = F.when(found["new"].isNotNull() & (~is_proper(tok) | F.lower(tok).isin(ALWAYS)), found["new"])
         return F.struct(F.coalesce(new, tok).alias("out"), F.when(new.isNotNull(), tok).alias("nsw"))
 
-    steps = F.transform(tokens(c), step)
+    found = F.transform(tokens(c), lambda tok: F.struct(tok.alias("tok"), F.try_element_at(dictionary, F.lower(tok)).alias("new")))
+    steps = F.transform(found, step)
     text = F.regexp_replace(F.array_join(F.transform(steps, lambda s: s["out"]), " "), r"(?U)\s+([.,!?;:])", "$1")
     words = F.filter(F.transform(steps, lambda s: s["nsw"]), lambda x: x.isNotNull())
     return F.struct(text.alias("text"), F.size(words).alias("count"), words.alias("words"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .ranges import row_numbers
 
 
 def label_grid(spark, labels: list[str], name: str = "label") -> DataFrame:
@@ -71,7 +72,7 @@ def trial_order() -> list[Column]:
 
 
 def rank_trials(trials: DataFrame) -> DataFrame:
-    """Global rank and rank within (scenario, model), with flags of the best. Trials are few: one row for each fit."""
+    """Global rank (by ranges) and rank within (scenario, model), with flags of the best."""
     order = trial_order()
-    out = trials.withColumn("rank_global", F.row_number().over(Window.orderBy(*order))).withColumn("rank_within_scenario_model", F.row_number().over(Window.partitionBy("scenario", "model_name").orderBy(*order)))
+    out = row_numbers(trials, order, "rank_global").withColumn("rank_within_scenario_model", F.row_number().over(Window.partitionBy("scenario", "model_name").orderBy(*order)))
     return out.withColumns({"is_best_for_scenario_model": F.col("rank_within_scenario_model") == 1, "is_best_overall": F.col("rank_global") == 1})

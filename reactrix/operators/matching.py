@@ -14,6 +14,15 @@ def exact_match(left: DataFrame, right: DataFrame, left_text: str, right_text: s
     return left.withColumn("match_key", match_key(left_text)).join(right.withColumn("match_key", match_key(right_text)), "match_key")
 
 
+def exact_groups(left: DataFrame, right: DataFrame, left_text: str, right_text: str, right_id: str) -> DataFrame:
+    """left with the least right_id of equal match key and n, how many there are: exact_match() with the right side as classes, so that copies don't multiply.
+
+    Right rows are counted before the join, which is on a digest of the key.
+    """
+    classes = right.groupBy(F.md5(match_key(right_text)).alias("__key")).agg(F.min(right_id).alias(right_id), F.count("*").alias("n"))
+    return left.withColumn("__key", F.md5(match_key(left_text))).join(classes, "__key").drop("__key")
+
+
 def exact_match_once(left: DataFrame, right: DataFrame, left_text: str, right_text: str, right_order: str) -> DataFrame:
     """As exact_match, with one right row for each key and no empty keys."""
     right = distinct_first(right.withColumn("match_key", match_key(right_text)).where("match_key <> ''"), ["match_key"], right_order)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges, running
+
 
 def rank_pct(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank over the count of known values, in percent; null stays null.
 
-    Ranks are made over the distinct values, each with its count: one row for each value meets in the window, never the
-    table's rows, and they are joined back on the value.
+    Ranks are made over the distinct values, each with its count, in ranges of values, and joined back on the value.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("__v", ((F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0) / F.sum("__n").over(Window.partitionBy()) * 100).alias(out))
+    order = [F.col("__v")]
+    ranges = in_ranges(counts, *order)
+    total = ranges.agg(F.sum("__n")).first()[0] or 1
+    ranked = running(ranges, order, "__n", "__lower").select("__v", ((F.col("__lower") + (F.col("__n") + 1) / 2.0) / F.lit(total) * 100).alias(out))
     return df.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
 
 

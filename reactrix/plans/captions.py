@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import rounded
-from ..operators.keyphrases import phrase_counts
+from ..operators.keyphrases import STOPWORDS, keyphrases
 from ..operators.matching import tfidf
+from ..operators.similarity import nearest
 from .fixture import table
 from .catalog import query
 
@@ -79,8 +80,12 @@ def tx11_tokens(spark, sf):
 
 
 _KEYS, _VALUES = [*DICTIONARY], [*DICTIONARY.values()]
-_CAP = "(x = upper(left(x, 1)) || lower(substr(x, 2)) OR x = upper(x)) AND lower(x) <> upper(x) AND lower(x) NOT IN ('ko', 'đc', 'k', 'h', 't', 'mk')"
-_NEW = f"CASE WHEN NOT ({_CAP}) THEN map_extract(map({_KEYS}, {_VALUES}), lower(x))[1] END"
+# A walk over the characters: a letter is a capital exactly if no letter stands before it.
+_CASED = "lower(substr(x, {i}, 1)) <> upper(substr(x, {i}, 1))"
+_TITLE = f"len(list_filter(range(1, length(x) + 1), lambda i: {_CASED.format(i='i')} AND (substr(x, i, 1) = upper(substr(x, i, 1))) = (i > 1 AND {_CASED.format(i='i - 1')}))) = 0"
+_CAP = f"({_TITLE} OR x = upper(x)) AND lower(x) <> upper(x) AND lower(x) NOT IN ('ko', 'đc', 'k', 'h', 't', 'mk')"
+_HIT = f"map_extract(map({_KEYS}, {_VALUES}), lower(x))[1]"
+_NEW = f"CASE WHEN {_HIT} IS NOT NULL AND NOT ({_CAP}) THEN {_HIT} END"
 
 
 @query(rf"""WITH {_D}, t AS (SELECT record_id, {_TOK} AS t FROM d)
@@ -95,15 +100,16 @@ def a32_top_tokens(spark, sf):
     return docs(spark, sf).select(F.explode(T.tokens("caption")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(15)
 
 
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _NG = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n} - 1], ' '))"
 
 
-@query(rf"""WITH {_D}, w AS (SELECT record_id, list_filter(regexp_extract_all(lower(caption), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND x NOT IN ('de', 'the')) AS w FROM d WHERE length(caption) > 3 AND lang = 'es'),
+@query(rf"""WITH {_D}, w AS (SELECT record_id, list_filter(regexp_extract_all(lower(caption), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})) AS w FROM d WHERE length(caption) > 3),
 g AS (SELECT record_id, unnest(list_concat({_NG.format(n=2)}, {_NG.format(n=3)})) AS phrase FROM w),
 c AS (SELECT phrase, count(*) AS n, count(DISTINCT record_id) AS df FROM g GROUP BY 1)
 SELECT phrase, n, df FROM c WHERE df >= 2 AND df <= 0.9 * (SELECT count(*) FROM w) ORDER BY n DESC, phrase LIMIT 20""")
 def tx19_keyphrases(spark, sf):
-    return phrase_counts(docs(spark, sf).where("lang = 'es'"), "caption", 2, 3, 2, 0.9, ["de", "the"]).orderBy(F.col("n").desc(), "phrase").limit(20)
+    return keyphrases(docs(spark, sf), "caption", 20)
 
 
 @query(rf"""WITH b AS (SELECT item_id, {_WORDS.replace('caption', 'lower(text)')} AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS term FROM b), f AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
@@ -115,14 +121,12 @@ def tx20_tfidf(spark, sf):
     return weights.select("item_id", F.col("gram").alias("term"), rounded("weight").alias("weight"))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id < 5)
-SELECT q.vec_id AS query, e.vec_id AS vec, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS cosine FROM q, embeddings e WHERE e.vec_id % 20 = 0""")
+@query("""WITH p AS (SELECT q.vec_id AS query, e.vec_id AS vec, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, vec, round(c, 5) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, vec) = 1""")
 def tx21_cosine(spark, sf):
+    """The most similar other vector of every twentieth, among all."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"))  # a stated set of five queries
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    met = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("b")).join(F.broadcast(q))
-    return met.select("query", "vec", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 5).alias("cosine"))
+    return nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").select("query", "vec", F.round("cosine", 5).alias("cosine"))
 
 
 @query(rf"SELECT page_id, regexp_replace(regexp_replace(url, '[^\p{{L}}\p{{N}}]', '_', 'g'), '^_+|_+$', '', 'g') AS slug, string_split(string_split(url, '?')[1], '/')[-1] AS tail FROM pages")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.numbers import half_even, ratio, rounded
-from ..functions.text import preview, topic_name
+from ..functions.text import preview, topic_code, topic_name
+from ..operators.ranges import quantiles
 from ..operators.ranking import best_in_group, rank_pct, top_k
 from .fixture import ENRICHED, POSTS, enriched, posts, reaction_posts, table
 from .catalog import query
@@ -111,9 +112,9 @@ def f14_minimum_support(spark, sf):
     return posts(spark, sf).groupBy(PAGE, TOPIC).agg(F.count("*").alias("n")).where("n >= 15")
 
 
-@query(f"WITH {POSTS} SELECT record_id AS id, topic_label_final AS topic, 'Other' AS source_type, 0::BIGINT AS sorry_count FROM posts WHERE record_id <= 1000")
+@query(f"WITH {POSTS} SELECT record_id AS id, topic_label_final AS topic, 'Other' AS source_type, 0::BIGINT AS sorry_count FROM posts")
 def f15_f17_rename_defaults(spark, sf):
-    p = posts(spark, sf).where("record_id <= 1000").withColumnsRenamed({"record_id": "id", TOPIC: "topic"})
+    p = posts(spark, sf).withColumnsRenamed({"record_id": "id", TOPIC: "topic"})
     return p.withColumns({c: v for c, v in (("source_type", F.lit("Other")), ("sorry_count", F.lit(0).cast("bigint"))) if c not in p.columns}).select("id", "topic", "source_type", "sorry_count")
 
 
@@ -173,7 +174,9 @@ def a7_j6_topic_concentration(spark, sf):
 
 @query(f"WITH {ENRICHED} SELECT round(quantile_cont(controversy, 0.9), 6) AS q90, round(quantile_cont(sarcasm, 0.75), 6) AS q75, round(median(total_reactions), 6) AS mid FROM e")
 def a11_quantiles(spark, sf):
-    return enriched(spark, sf).agg(rounded(F.percentile("controversy", 0.9)).alias("q90"), rounded(F.percentile("sarcasm", 0.75)).alias("q75"), rounded(F.median("total_reactions")).alias("mid"))
+    e = enriched(spark, sf)
+    one = [quantiles(e, [], v, **{n: q}) for v, n, q in (("controversy", "q90", 0.9), ("sarcasm", "q75", 0.75), ("total_reactions", "mid", 0.5))]
+    return one[0].join(F.broadcast(one[1])).join(F.broadcast(one[2])).select(*R("q90", "q75", "mid"))  # one row each
 
 
 @query(f"WITH {POSTS} SELECT page_name, count(*) FILTER (WHERE angry_count > 0) AS n_angry, round(100 * avg((angry_count > 0)::INT), 6) AS pct_angry FROM posts GROUP BY 1")
@@ -276,7 +279,10 @@ def k2_virality_ledger(spark, sf):
     return top_k(rank_pct(e, "engagement_total", "pct"), "engagement_total", 10, "record_id").select("record_id", "engagement_total", M.per_100k(F.col("engagement_total")).alias("per_100k"), *R("pct"))
 
 
-@query(f"WITH {POSTS} SELECT record_id, lower(topic_label_final) AS code, left(page_name, 3) || '...' AS short, upper(left(page_name, 1)) || lower(replace(substr(page_name, 2), '_', ' ')) AS title FROM posts WHERE record_id <= 2000 AND page_name NOT LIKE '% %'")
+@query(f"""WITH {POSTS}, n AS (SELECT record_id, topic_label_final AS topic, page_name, array_to_string(list_transform(string_split(replace(page_name, '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS title FROM posts)
+SELECT record_id, CASE WHEN record_id % 2 = 0 THEN topic ELSE page_name END AS code, left(page_name, 3) || '...' AS short, title, CASE WHEN record_id % 2 = 0 THEN topic || '. ' ELSE '' END || title AS coded FROM n""")
 def tx15_tx17_names(spark, sf):
-    p = posts(spark, sf).where("record_id <= 2000 and page_name not like '% %'")
-    return p.select("record_id", F.lower(TOPIC).alias("code"), preview(PAGE, 3).alias("short"), topic_name(PAGE).alias("title"))
+    """Labels with and without a code before the name."""
+    label = F.when(F.col("record_id") % 2 == 0, F.concat(F.col(TOPIC), F.lit(". "), F.col(PAGE))).otherwise(F.col(PAGE))
+    p = posts(spark, sf).withColumn("label", label)
+    return p.select("record_id", topic_code("label").alias("code"), preview(PAGE, 3).alias("short"), topic_name("label").alias("title"), topic_name("label", with_code=True).alias("coded"))

@@ -8,6 +8,7 @@ from ..functions.numbers import rounded
 from ..functions.text import match_key
 from ..operators import matching
 from ..operators.ranking import distinct_first
+from ..streaming.incremental import post_key
 from .captions import docs
 from .fixture import POSTS, posts, table
 from .catalog import query
@@ -15,19 +16,21 @@ from .catalog import query
 _K = r"k AS (SELECT doc_id, source, lang, regexp_replace(lower(coalesce(text, '')), '\s+', '', 'g') AS key FROM documents)"
 
 
-@query(f"WITH {_K} SELECT a.doc_id AS labelled_id, b.doc_id AS post_id FROM k a JOIN k b ON a.key = b.key WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
-def j1_exact_match(spark, sf):
+def both_sides(spark, sf):
     d = table(spark, sf, "documents")
-    left = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("labelled_id"), F.col("text").alias("content"))
-    right = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("post_id"), F.col("text").alias("post_content"))
-    return matching.exact_match(left, right, "content", "post_content").select("labelled_id", "post_id")
+    return d.select(F.col("doc_id").alias("labelled_id"), F.col("text").alias("content")), d.select(F.col("doc_id").alias("post_id"), F.col("text").alias("post_content"))
+
+
+@query(f"WITH {_K}, g AS (SELECT key, min(doc_id) AS post_id, count(*) AS n_posts FROM k GROUP BY 1) SELECT doc_id AS labelled_id, post_id, n_posts FROM k JOIN g ON k.key = g.key")
+def j1_exact_match(spark, sf):
+    """All documents with all: each with the first of its posts and their number, so groups of copies don't multiply."""
+    left, right = both_sides(spark, sf)
+    return matching.exact_groups(left, right, "content", "post_content", "post_id").select("labelled_id", "post_id", F.col("n").alias("n_posts"))
 
 
-@query(f"WITH {_K}, r AS (SELECT key, min(doc_id) AS post_id FROM k WHERE doc_id % 2 = 1 AND key <> '' GROUP BY 1) SELECT doc_id AS labelled_id, post_id FROM k JOIN r ON k.key = r.key WHERE doc_id % 2 = 0")
+@query(f"WITH {_K}, r AS (SELECT key, min(doc_id) AS post_id FROM k WHERE key <> '' GROUP BY 1) SELECT doc_id AS labelled_id, post_id FROM k JOIN r ON k.key = r.key")
 def j2_exact_match_once(spark, sf):
-    d = table(spark, sf, "documents")
-    left = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("labelled_id"), F.col("text").alias("content"))
-    right = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("post_id"), F.col("text").alias("post_content"))
+    left, right = both_sides(spark, sf)
     return matching.exact_match_once(left, right, "content", "post_content", "post_id").select("labelled_id", "post_id")
 
 
@@ -58,13 +61,13 @@ def j4_u3_anti_join(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
-@query(f"WITH {_K} SELECT kind, count(*) AS n FROM (SELECT 'exact' AS kind, a.doc_id FROM k a SEMI JOIN (SELECT key FROM k WHERE doc_id % 2 = 1) b ON a.key = b.key WHERE a.doc_id % 2 = 0 UNION ALL SELECT 'rest', a.doc_id FROM k a ANTI JOIN (SELECT key FROM k WHERE doc_id % 2 = 1) b ON a.key = b.key WHERE a.doc_id % 2 = 0) GROUP BY 1")
+@query(f"WITH {_K}, b AS (SELECT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT kind, count(*) AS n FROM (SELECT 'exact' AS kind, a.doc_id FROM k a SEMI JOIN b ON a.key = b.key UNION ALL SELECT 'rest', a.doc_id FROM k a ANTI JOIN b ON a.key = b.key) GROUP BY 1")
 def j5_u1_union(spark, sf):
-    d = docs(spark, sf).select("record_id", match_key("caption").alias("key"))
-    odd = d.where("record_id % 2 = 1").select("key")
-    even = d.where("record_id % 2 = 0")
-    exact = even.join(odd, "key", "left_semi").select(F.lit("exact").alias("kind"), "record_id")
-    rest = even.join(odd, "key", "left_anti").select("record_id", F.lit("rest").alias("kind"))
+    """Documents whose text a labelled document has, and the others."""
+    d = docs(spark, sf).select("record_id", F.md5(match_key("caption")).alias("key"))
+    labelled = d.join(table(spark, sf, "labels").select(F.col("doc_id").alias("record_id")), "record_id", "left_semi").select("key")
+    exact = d.join(labelled, "key", "left_semi").select(F.lit("exact").alias("kind"), "record_id")
+    rest = d.join(labelled, "key", "left_anti").select("record_id", F.lit("rest").alias("kind"))
     return exact.unionByName(rest).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -81,10 +84,10 @@ def j10_u2_overlap(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(f, "c_custkey", "left_semi").intersect(p).agg(F.count("*").alias("n_both"))
 
 
-@query("SELECT r_name AS region, n_name AS nation, coalesce(count(c_custkey), 0) AS n FROM region CROSS JOIN (SELECT DISTINCT n_name, n_nationkey, n_regionkey FROM nation) LEFT JOIN customer ON c_nationkey = n_nationkey AND n_regionkey = r_regionkey WHERE n_nationkey < 5 GROUP BY ALL")
+@query("SELECT r_name AS region, n_name AS nation, coalesce(count(c_custkey), 0) AS n FROM region CROSS JOIN (SELECT DISTINCT n_name, n_nationkey, n_regionkey FROM nation) LEFT JOIN customer ON c_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL")
 def j11_axis_complete(spark, sf):
     """Region x nation grid with zero cells; both axes are fixed small label sets."""
-    nation = table(spark, sf, "nation").where("n_nationkey < 5")
+    nation = table(spark, sf, "nation")
     counts = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("k"))
     grid = table(spark, sf, "region").crossJoin(F.broadcast(nation)).join(counts, "n_nationkey", "left")
     return grid.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.when(F.col("n_regionkey") == F.col("r_regionkey"), F.coalesce("k", F.lit(0))).otherwise(F.lit(0)).alias("n"))
@@ -103,10 +106,11 @@ def w8_x6_duplicates(spark, sf):
     return d.groupBy("key").agg(F.min("record_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").drop("key")
 
 
-@query("WITH k AS (SELECT doc_id, sha256(left(text, 50)) AS key FROM documents) SELECT doc_id FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1")
+@query("WITH k AS (SELECT doc_id, coalesce(CASE WHEN source = 'src0' THEN 'at ' || (doc_id // 100) END, sha256(left(text, 50))) AS key FROM documents) SELECT doc_id FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1")
 def x6_dedup_key(spark, sf):
-    """Posts without an address are the same if their first 50 characters are."""
-    d = docs(spark, sf).select(F.col("record_id").alias("doc_id"), F.coalesce(F.lit(None).cast("string"), F.sha2(F.substring("caption", 1, 50), 256)).alias("key"))
+    """Posts are the same by their address; without one, by their first 50 characters."""
+    url = F.when(F.col("page_name") == "src0", F.concat(F.lit("at "), F.floor(F.col("record_id") / 100))).otherwise(F.lit(""))
+    d = docs(spark, sf).select(F.col("record_id").alias("doc_id"), url.alias("post_url"), F.col("caption").alias("post_content")).select("doc_id", post_key().alias("key"))
     return distinct_first(d, ["key"], "doc_id").select("doc_id")
 
 

@@ -17,9 +17,10 @@ def splits(spark, sf):
 
 @query()
 def l2_l4_trials(spark, sf):
-    """Candidates of two model families, scored on the validation split."""
+    """Candidates of all four model families, scored on the validation split."""
     train, val, _ = splits(spark, sf)
-    tries = {"LogisticRegression": L.candidates("LogisticRegression", {"C": [1.0]}, {"max_features": [200, 500]}), "RandomForest": L.candidates("RandomForest", {"n_estimators": [10]}, {"max_features": [200]})}
+    grids = {"LogisticRegression": ({"C": [1.0]}, [200, 500]), "LinearSVC": ({"C": [1.0], "max_iter": [10]}, [200]), "RandomForest": ({"n_estimators": [10]}, [200]), "XGBoost": ({"n_estimators": [3], "max_depth": [2]}, [100])}
+    tries = {model: L.candidates(model, grid, {"max_features": sizes}) for model, (grid, sizes) in grids.items()}
     return L.trials(train, val, tries, ["de", "en", "es", "fr"]).select("trial_id", "model_name", "macro_f1_val", "status")
 
 
@@ -34,8 +35,8 @@ def l5_l6_l9_final_predictions(spark, sf):
 _ORDER = "macro_f1_val DESC NULLS LAST, weighted_f1_val DESC NULLS LAST, accuracy_val DESC NULLS LAST, train_time_sec NULLS LAST, trial_id"
 
 
-@query(f"WITH {TRIALS} SELECT scenario, model_name, trial_id FROM t WHERE status = 'success' AND (scenario, model_name) IN (SELECT (scenario, model_name) FROM t WHERE trial_id < 60 AND status <> 'success') QUALIFY row_number() OVER (PARTITION BY scenario, model_name ORDER BY {_ORDER}) = 1")
+@query(f"WITH {TRIALS} SELECT scenario, model_name, trial_id FROM t WHERE status = 'success' AND (scenario, model_name) IN (SELECT (scenario, model_name) FROM t WHERE status <> 'success') QUALIFY row_number() OVER (PARTITION BY scenario, model_name ORDER BY {_ORDER}) = 1")
 def l7_repairs(spark, sf):
     """The settings with which failed final experiments are fitted anew."""
     t = trials(spark, sf)
-    return L.repairs(t.where("trial_id < 60"), t).select("scenario", "model_name", "trial_id")
+    return L.repairs(t, t).select("scenario", "model_name", "trial_id")

@@ -3,26 +3,17 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from ..operators.ranges import scratch
 from ..operators.ranking import distinct_first
 from ..sources import readers, sinks
 from .fixture import POSTS, PREDICTIONS, posts, predictions, table
 from .catalog import query
 
 
-def scratch(spark, name):
-    """A new folder in the cluster's shared space, removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/reactrix-{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 @query("WITH f AS (SELECT doc_id, text, source FROM documents), k AS (SELECT min(doc_id) AS post_id, text FROM f GROUP BY text) SELECT k.post_id::VARCHAR AS post_id, md5(k.text) AS content FROM k WHERE k.post_id % 2 = 0")
 def s1_u5_csv_union(spark, sf):
     """Two CSV files read as one, one row for each text, then the posts among them."""
@@ -33,12 +24,12 @@ def s1_u5_csv_union(spark, sf):
     return readers.labelled_posts(spark, paths).select(F.col("post_id").cast("bigint").cast("string").alias("post_id"), F.md5("content").alias("content"))
 
 
-@query(f"WITH {POSTS} SELECT record_id::VARCHAR AS post_id, page_name, like_count, total_reactions FROM posts WHERE record_id <= 3000")
+@query(f"WITH {POSTS} SELECT record_id::VARCHAR AS post_id, page_name, like_count, total_reactions FROM posts")
 def s3_s11_json_scan(spark, sf):
-    p = posts(spark, sf).where("record_id <= 3000")
+    p = posts(spark, sf)
     out = p.select(F.col("record_id").cast("string").alias("post_id"), F.lit("text").alias("post_content"), "page_name", "total_reactions", F.create_map(F.lit("like"), "like_count").alias("reactions_detail"))
     path = scratch(spark, "json")
-    out.write.format("json").save(path)
+    sinks.to_json(out, path)
     # Spark writes JSON lines under .json names, so this folder is read as lines
     raw = spark.read.schema(readers.CRAWLED).json(path).where("post_content <> ''")
     return raw.select("post_id", "page_name", F.try_element_at("reactions_detail", F.lit("like")).alias("like_count"), "total_reactions")
@@ -50,10 +41,10 @@ def s4_cached_table(spark, sf):
     return readers.cached(spark, path, f"{sf}/orders.parquet", lambda raw: posts(spark, sf)).groupBy("page_name").agg(F.count("*").alias("n"), rounded(F.avg("total_reactions")).alias("mean_reactions"))
 
 
-@query(f"WITH {POSTS} SELECT record_id, page_name FROM posts WHERE record_id <= 500")
+@query(f"WITH {POSTS} SELECT record_id, page_name FROM posts")
 def s10_s15_csv_download(spark, sf):
     path = scratch(spark, "download")
-    sinks.to_csv(posts(spark, sf).where("record_id <= 500"), path, ["record_id", "page_name"], mark=True)
+    sinks.to_csv(posts(spark, sf), path, ["record_id", "page_name"], mark=True)
     return readers.csv(spark, path, "record_id bigint, page_name string")
 
 
@@ -108,21 +99,22 @@ def s5_split_discovery(spark, sf):
     return spark.createDataFrame([(k, v.rsplit("/", 1)[-1]) for k, v in found.items()], "split string, file string")
 
 
-@query("SELECT * FROM (VALUES ('ko', 'không', 1), ('dc', 'được', 1), ('hn', NULL, 2)) AS t(word, first, n_details)")
+@query("SELECT * FROM (VALUES ('ko', 'không', 1), ('dc', 'được', 1), ('hn', NULL, 2), ('OK', 'x', 0)) AS t(word, first, n_details)")
 def s6_tx12_dictionary(spark, sf):
     path = f"{scratch(spark, 'dictionary')}/d.json"
     put_text(spark, path, json.dumps({
         "ko": {"normalized": ["không"], "response": {"ko": {"normalized": [{"word": "không"}]}}}, "dc": {"normalized": ["được", "điện"], "response": {"normalized": {"word": "được"}}},
-        "hn": {"normalized": [], "response": [{"normalized": [{"word": "a"}]}, {"normalized": {"word": "b"}}]}, "OK": {"normalized": ["x"], "response": {}}}))
-    return readers.dictionary(spark, path, ["ok"]).select("word", F.get("candidates", F.lit(0)).alias("first"), F.size("details").alias("n_details"))
+        "hn": {"normalized": [], "response": [{"normalized": [{"word": "a"}]}, {"normalized": {"word": "b"}}]}, "OK": {"normalized": ["x"], "response": {}},
+        **{w: {"normalized": ["wrong"], "response": {}} for w in ("là", "Trong", "PHŨ PHÀNG", "vui")}}))
+    return readers.dictionary(spark, path).select("word", F.get("candidates", F.lit(0)).alias("first"), F.size("details").alias("n_details"))
 
 
 @query(f"WITH {PREDICTIONS} SELECT record_id::VARCHAR AS record_id, y_true, y_pred, 'S1' AS scenario, 'M1' AS model_name, 'val' AS split FROM p WHERE scenario = 'S1' AND model_name = 'M1' AND split = 'val'")
 def s18_load_predictions(spark, sf):
     """Prediction files of two splits, one of which is missing, tagged and put together."""
     base = scratch(spark, "predictions")
-    rows = predictions(spark, sf).where("scenario = 'S1' and model_name = 'M1' and split = 'val'").select("record_id", "y_true", "y_pred", "confidence").collect()
-    put_text(spark, f"{base}/S1/M1/predictions_val.csv", "record_id,y_true,y_pred,confidence\n" + "".join(f"{r.record_id},{r.y_true},{r.y_pred},{r.confidence}\n" for r in rows))
+    rows = predictions(spark, sf).where("scenario = 'S1' and model_name = 'M1' and split = 'val'")
+    sinks.to_csv(rows, f"{base}/S1/M1/predictions_val.csv", ["record_id", "y_true", "y_pred", "confidence"])
     both = [readers.predictions(spark, base, "S1", "M1", s) for s in ("val", "test")]
     return both[0].unionByName(both[1]).drop("confidence")
 

@@ -94,7 +94,20 @@ def text_column(frames: list[DataFrame], preferred: list[str]) -> str:
     raise ValueError(f"none of {preferred} is in all frames")
 
 
-def dictionary(spark: SparkSession, path: str, blacklist: list[str]) -> DataFrame:
+# Standard words that the dictionary normalises wrongly and that are left out of it.
+STANDARD_WORDS = [
+    "là", "trong", "khi", "nam", "an", "làm", "sau", "gia", "nhân", "thể", "đầu", "hà", "trung", "đang", "định", "còn", "quan", "nhưng", "hàng", "qua",
+    "điều", "tuổi", "lên", "viên", "đường", "thực", "giá", "đây", "tự", "minh", "thì", "lực", "nay", "do", "bà", "tới", "ai", "ăn", "tịch", "sử", "thương",
+    "nên", "phương", "thu", "chị", "ý", "quy", "chiến", "vi", "bất", "kỳ", "pháp", "mang", "giả", "giữ", "ngay", "trai", "quyết", "vị", "diện", "danh",
+    "ban", "gì", "đặc", "sở", "khác", "cái", "tối", "thi", "trang", "tra", "kiến", "mở", "biểu", "cá", "chuyên", "chi", "dài", "tư", "hải", "tìm", "mắt",
+    "đàn", "thay", "nhiệm", "cuối", "mức", "chế", "đẹp", "nghỉ", "yêu", "nhiều", "lần", "mới", "hiểu", "ra", "được", "dưới", "khuyên", "có", "hơi", "phũ",
+    "chạm", "lòng", "ngã", "tôi", "hoặc", "quanh", "ngày", "đêm", "học", "sinh", "chết", "con", "mẹ", "thế", "này", "kia", "sao", "cho", "với", "về", "đã",
+    "mọi", "thứ", "cuộc", "sống", "người", "bạn", "xung", "quanh", "đều", "phũ phàng", "tự ái", "bè", "dây", "tử", "những", "xứng", "chó", "chú", "chúa",
+    "chút", "chưa", "chờ", "chơi", "bình thường", "vui vẻ", "vui",
+]
+
+
+def dictionary(spark: SparkSession, path: str, blacklist: list[str] = STANDARD_WORDS) -> DataFrame:
     """word, candidates, details of a JSON map, without blacklisted words (compared in lower case).
 
     details are read from either of the shapes that entries have: a response with one or more ``normalized`` records, the same
@@ -118,7 +131,7 @@ def dictionary(spark: SparkSession, path: str, blacklist: list[str]) -> DataFram
 def predictions(spark: SparkSession, base: str, scenario: str, model: str, split: str) -> DataFrame:
     """A prediction file tagged with what it is of; empty if there is none."""
     schema = "record_id string, y_true string, y_pred string, confidence double"
-    found = files(spark, base, rf"/{re.escape(scenario)}/{re.escape(model)}/predictions_{re.escape(split)}\.csv$") if exists(spark, base) else []
+    found = files(spark, base, rf"/{re.escape(scenario)}/{re.escape(model)}/predictions_{re.escape(split)}\.csv(/part-[^/]*)?$") if exists(spark, base) else []
     rows = csv(spark, [f for f, *_ in found], schema) if found else spark.createDataFrame([], schema)
     return rows.withColumns({"scenario": F.lit(scenario), "model_name": F.lit(model), "split": F.lit(split)})
 

@@ -10,8 +10,8 @@ from ..sources.readers import CRAWLED, exists
 
 
 def post_key(url: str = "post_url", text: str = "post_content"):
-    """The address, or a hash of the first 50 characters where there is none."""
-    return F.coalesce(F.nullif(F.col(url), F.lit("")), F.sha2(F.substring(text, 1, 50), 256))
+    """The address, or a hash of the first 50 characters where there is none; the empty key, which is one like others, without both."""
+    return F.coalesce(F.nullif(F.col(url), F.lit("")), F.sha2(F.substring(text, 1, 50), 256), F.lit(""))
 
 
 def append_new(target: str):

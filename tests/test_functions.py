@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,18 @@ def test_metrics_of_odd_posts(spark):
     assert got[3].approval == 0.0 and got[3].rel_like == 0.0
     for r in got:
         assert all(0 <= r[c] <= 1 for c in r.asDict() if c.endswith("_ratio"))
+
+
+def test_proper_tokens_are_those_of_python(spark):
+    """Title and upper case as Python tells them, over random tokens with digits, accents and signs."""
+    rng = random.Random(4)
+    tokens = ["2day", "A1b", "A1B", "Ab", "aB", "ABC", "É", "éa", "Éa", "ǅ", "ǅa", "aǅ", "1", "!!", "ʰ", "ª", "Ab1Cd", "Ab1cd", "ĐC", "Đc", "ß"]
+    tokens += ["".join(rng.choice("abAB12éÉđĐʰǅỹỸ") for _ in range(rng.randint(1, 6))) for _ in range(600)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", text.is_proper(F.col("t")).alias("p")).collect()
+    assert [(r.t, r.p) for r in got] == [(t, t.istitle() or t.isupper()) for t in tokens]
+
+
+def test_digit_led_words_are_normalised(spark):
+    words = F.create_map(*[F.lit(x) for x in ("2day", "today", "a1b", "x", "ok", "okay", "đc", "được")])
+    got = spark.createDataFrame([("2day A1b OK Ok ok Đc 2Day",)], "t string").select(text.normalised("t", words).alias("x")).first().x
+    assert got.text == "today x OK Ok okay được 2Day" and got.words == ["2day", "A1b", "ok", "Đc"]

@@ -1,13 +1,15 @@
+import random
 from collections import Counter
 from math import log, sqrt
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reactrix.operators import crawl, evaluation, keyphrases, learning, matching, quality, ranking, sampling
+from reactrix.operators import crawl, evaluation, keyphrases, learning, matching, quality, ranges, ranking, sampling, similarity
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -138,3 +140,59 @@ def test_failed_fits(spark):
     assert note.startswith("fallback") and learning.predict(model, df).where("y_true <> y_pred").count() == 0
     got = learning.trials(df, df, {"LogisticRegression": [{"max_iter": 5}, {"min_df": 10**6}]}, ["A", "B"]).orderBy("trial_id").collect()
     assert [r.status.split(":")[0] for r in got] == ["success", "failed"] and got[0].macro_f1_val == 1.0 and got[1].macro_f1_val is None
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Groups over several ranges, null groups and values, ties, against pandas."""
+    monkeypatch.setattr(ranges.in_ranges, "__kwdefaults__", {"rows": 7})
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random(), float(rng.randint(0, 5))])) for _ in range(400)] + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = pd.DataFrame(rows, columns=["g", "v"])
+    for groups in ([], ["g"]):
+        got = ranges.quantiles(df, groups, "v", low=0.1, mid=0.5, high=0.93).collect()
+        for r in got:
+            v = want if not groups else want[want.g.isna() if r.g is None else want.g == r.g]
+            assert [r.low, r.mid, r.high] == pytest.approx([v.v.quantile(q) for q in (0.1, 0.5, 0.93)])
+        assert len(got) == (4 if groups else 1)
+    assert ranges.quantiles(df.where("v > 99"), [], "v", mid=0.5).first().mid is None
+
+
+def test_row_numbers_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges.in_ranges, "__kwdefaults__", {"rows": 7})
+    df = spark.range(100).selectExpr("id", "if(id % 9 = 0, null, id % 10) as v")
+    got = ranges.row_numbers(df, [F.col("v").desc_nulls_last(), F.col("id")], "n").orderBy("n").collect()
+    rows = sorted(range(100), key=lambda k: (k % 9 == 0, 0 if k % 9 == 0 else -(k % 10), k))
+    assert [(r.id, r.n) for r in got] == [(k, n) for n, k in enumerate(rows, 1)]
+
+
+def test_nearest_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(60, 5))
+    m[10], m[20], m[30] = m[5], m[5], 0
+    rows = [(k, v.tolist()) for k, v in enumerate(m)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>").repartition(4)
+    unit = np.array(df.orderBy("id").limit(60).toPandas()["v"].tolist(), float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    c = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(c, -2)
+    for block in (4096, 5):
+        got = {r["query"]: r.vec for r in similarity.nearest(df.where("id % 5 = 0 and v is not null"), df, "id", "v", block).collect()}
+        assert got == {k: int(c[k].argmax()) for k in range(0, 60, 5)}
+
+
+def test_exact_groups(spark):
+    left = spark.createDataFrame([(1, "A b"), (2, "c"), (3, "ab")], "i int, t string")
+    right = spark.createDataFrame([(7, "ab"), (5, "AB "), (6, "x")], "j int, u string")
+    assert sorted(tuple(r) for r in matching.exact_groups(left, right, "t", "u", "j").select("i", "j", "n").collect()) == [(1, 5, 2), (3, 5, 2)]
+
+
+@pytest.mark.parametrize("model", ["LogisticRegression", "LinearSVC", "RandomForest", "XGBoost"])
+def test_each_family_learns_held_out_labels(spark, model):
+    rng = random.Random(6)
+    said = {"one": "alpha beta gamma delta", "two": "zeta theta kappa sigma", "three": "omega psi chi phi"}
+    rows = [(k, " ".join(rng.choice(said[y].split() + ["and", "or"]) for _ in range(12)), y) for k in range(150) for y in [list(said)[k % 3]]]
+    df = spark.createDataFrame(rows, "record_id int, text string, y_true string")
+    fitted, note = learning.fit(model, df.where("record_id < 100"), max_features=30, n_estimators=5, max_depth=3, max_iter=10)
+    got = learning.predict(fitted, df.where("record_id >= 100")).collect()
+    assert note == "" and np.mean([r.y_true == r.y_pred for r in got]) > 0.85

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from reactrix.sources import readers, sinks
 from reactrix.streaming import incremental
@@ -90,3 +91,14 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         incremental.ingest(spark, folder, out, state).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted(r.post_content for r in rows) == ["a", "c", "same start"]
+
+
+def test_posts_without_address_and_text_are_appended_once(spark, tmp_path):
+    from reactrix.sources.readers import CRAWLED
+    from reactrix.streaming.incremental import append_new
+
+    target = str(tmp_path / "posts")
+    write = append_new(target)
+    for k in range(2):
+        write(spark.createDataFrame([(str(k),)], "post_id string").select(*[(F.col("post_id") if f.name == "post_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in (CRAWLED.fields if hasattr(CRAWLED, "fields") else spark.createDataFrame([], CRAWLED).schema.fields)]), k)
+    assert [r.post_key for r in spark.read.parquet(target).collect()] == [""]
