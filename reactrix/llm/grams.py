@@ -316,8 +316,19 @@ def gram_cells(t: np.ndarray, size: int, order: int) -> np.ndarray:
 
 def merged(cells: np.ndarray, counts: np.ndarray):
     """Distinct cells, rising, and the sums of their rows of counts."""
-    found, at = np.unique(cells, return_inverse=True)
-    return found, np.stack([np.bincount(at, weights=c, minlength=len(found)) for c in counts.T], 1).astype(np.int64)
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, np.int64)
+    return cells[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
+
+
+def tallied(parts):
+    """Distinct cells, rising, and their (target, background) counts, of (cells, whether of the target); cells are below 2 ** 62."""
+    x = np.concatenate([c * 2 + int(target) for c, target in parts])
+    x.sort()
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))[: len(x)]
+    n, x = np.diff(np.append(at, len(x))), x[at]
+    return merged(x >> 1, np.stack((n * (x & 1), n), 1))
 
 
 def gram_counts(vocabulary: np.ndarray, size: int, order: int, most: int = 1 << 20):
@@ -328,8 +339,8 @@ def gram_counts(vocabulary: np.ndarray, size: int, order: int, most: int = 1 <<
         held, counts, parts, waiting = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), [], 0
 
         def taken_in():
-            flags = [np.stack((np.full(len(c), int(target)), np.ones(len(c), np.int64)), 1) for c, target in parts]
-            return merged(np.concatenate([held, *[c for c, _ in parts]]), np.concatenate([counts, *flags]))
+            c, n = tallied(parts)
+            return merged(np.concatenate([held, c]), np.concatenate([counts, n]))
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["cell", "target", "background"])
@@ -359,11 +370,31 @@ def finder(keys: np.ndarray, cells: int):
         place[keys] = np.arange(len(keys))
         return lambda c: place[c]
 
+    # hash tables of places, each for the keys whose slot in those before is taken by another key
+    tables, left, odd = [], np.arange(len(keys)), 0x9E3779B97F4A7C15
+    while len(left):
+        bits, times = max(8, (4 * len(left) - 1).bit_length()), np.uint64((odd * (2 * len(tables) + 1)) % 2**64)
+        slot = (keys[left].astype(np.uint64) * times) >> np.uint64(64 - bits)
+        place = np.full(1 << bits, -1, np.int32)
+        place[slot] = left
+        tables.append((times, np.uint64(64 - bits), place))
+        left = left[place[slot] != left]
+
     def find(c):
-        if not len(keys):
-            return np.full(len(c), -1)
-        at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-        return np.where(keys[at] == c, at, -1)
+        out, rest = np.full(len(c), -1, np.int64), None
+        for times, shift, place in tables:
+            own = c if rest is None else c[rest]
+            p = place[(own.astype(np.uint64) * times) >> shift]
+            hit = (keys[p] == own) & (p >= 0)
+            if rest is None:
+                out[hit] = p[hit]
+                rest = np.flatnonzero(~hit & (p >= 0))
+            else:
+                out[rest[hit]] = p[hit]
+                rest = rest[~hit & (p >= 0)]
+            if not len(rest):
+                break
+        return out
 
     return find
 

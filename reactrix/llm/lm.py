@@ -8,7 +8,7 @@ Both vocabulary and counts are gathered from every document into distributed tab
 the n-grams that the corpus has. Losses of the most frequent n-grams, as many as may be broadcast, are added up where a document is read;
 those of all others are joined to it by n-gram.
 
-N-grams have five characters, or as many as have a number of 64 bits: with more than some six thousand distinct characters, each of which
+N-grams have five characters, or as many as have a number of 62 bits: with more than some five thousand distinct characters, each of which
 says more, four or three.
 
 Defined results: null and empty texts have no tokens and null losses and score; repeated rows get equal results and count as often as they occur; with no target
@@ -48,7 +48,7 @@ def train(docs: DataFrame, size: int | None = None, order: int = ORDER):
     table = np.ones(max(127, common.max(initial=0)) + 2, np.int32)
     table[common] = np.arange(2, len(common) + 2)
     tokens = len(common) + 2
-    while tokens**order >= 1 << 63:  # three always fit
+    while tokens**order >= 1 << 62:  # three always fit
         order -= 1
     cells = rows.mapInArrow(grams.gram_counts(table, tokens, order), "cell bigint, target bigint, background bigint")
     cells = materialize(summed(cells, F.col("cell")).withColumnRenamed("gram", "cell"), "grams")

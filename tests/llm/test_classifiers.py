@@ -282,3 +282,12 @@ def test_kernel_matches_brute_force():
         assert set(np.flatnonzero(m[i])) == a
         for j, b in enumerate(sets[:2]):
             assert k[i, j] == pytest.approx(len(a & b) / np.sqrt(len(a) * len(b)))
+
+
+def test_finder_has_all_keys_and_no_others():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 60, 50_000))
+    find, other = grams.finder(keys, 1 << 61), rng.integers(0, 1 << 60, 20_000)
+    assert (find(keys) == np.arange(len(keys))).all()
+    assert ((find(other) >= 0) == np.isin(other, keys)).all()
+    assert (grams.finder(keys[:0], 1 << 61)(other) == -1).all() and len(find(other[:0])) == 0
