@@ -40,7 +40,7 @@ def test_oracle(spark, duck, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"l2_l4_trials"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_rows_only(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
@@ -49,3 +49,22 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_trials_of_every_family_succeed(spark):
+    rows = registry.QUERIES["l2_l4_trials"](spark, DATA).collect()
+    assert {r.model_name for r in rows} == {"LogisticRegression", "LinearSVC", "RandomForest", "GradientBoosting"} and {r.status for r in rows} == {"success"}
+    assert all(r.macro_f1_val > 0.5 for r in rows if r.model_name != "GradientBoosting")
+
+
+def test_manifest_and_samplers(spark):
+    files = registry.QUERIES["s16_manifest"](spark, DATA).where("kind = 'parquet'").collect()
+    assert files and all(r.bytes > 0 and r.path.endswith(".parquet") for r in files)
+    for name in ("p2_round_robin", "p3_greedy_labels"):
+        ids = [r.record_id for r in registry.QUERIES[name](spark, DATA).collect()]
+        assert ids and len(ids) == len(set(ids)), f"{name}: no row is taken twice"
+
+
+def test_final_predictions_are_right_on_held_out_rows(spark):
+    rows = registry.QUERIES["l5_l6_l9_final_predictions"](spark, DATA).collect()
+    assert rows and sum(r.y_true == r.y_pred for r in rows) > 0.8 * len(rows)
