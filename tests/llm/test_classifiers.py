@@ -234,10 +234,11 @@ def slow_grams(text, orders, bits):
     return found
 
 
-def test_linear_model_matches_brute_force(spark):
+@pytest.mark.parametrize("squared", [True, False])
+def test_linear_model_matches_brute_force(spark, squared):
     """Counts, ratios, the dual descent over all n-grams, its calibration and the scores, against a plain dense version."""
     rows, labels = corpus(90)
-    s = linear.Settings("toxic", 4, 2, 0.3, grams.char_grams((3, 4), 12, True), 12, True, cost=0.05, epochs=200, smooth=1.0)
+    s = linear.Settings("toxic", 4, 2, 0.3, grams.char_grams((3, 4), 12, True), 12, squared, cost=0.05, epochs=400, smooth=1.0)
     model = linear.train(frame(spark, rows), spark.createDataFrame(labels, LABELS), s)
     truth = {d: t for d, _, t in labels}
     taught = [(d, slow_grams(t, (3, 4), 12), truth[d]) for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 4 != 2]
@@ -253,10 +254,10 @@ def test_linear_model_matches_brute_force(spark):
     sign = np.array([1.0 if y else -1.0 for *_, y in taught])
     cost = 0.05 * np.where(sign > 0, 0.5 / (n[1] / len(taught)), 0.5 / (n[0] / len(taught)))
     alpha = np.zeros(len(taught))  # the dual, by plain coordinate steps in order
-    q = (x * sign[:, None]) @ (x * sign[:, None]).T + np.diag(0.5 / cost)
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T + np.diag(0.5 / cost if squared else 0 * cost)
     for _ in range(3000):
         for i in range(len(alpha)):
-            alpha[i] = max(0.0, alpha[i] - (q[i] @ alpha - 1) / q[i, i])
+            alpha[i] = min(max(0.0, alpha[i] - (q[i] @ alpha - 1) / q[i, i]), np.inf if squared else cost[i])
     w = x.T @ (alpha * sign)
     assert model.weights == pytest.approx(w[:-1] * ratio, abs=2e-3) and model.bias == pytest.approx(w[-1], abs=2e-3)
     got = {r.doc_id: r.score for r in linear.score(frame(spark, rows), model, s).collect()}
