@@ -41,7 +41,9 @@ def phrase_counts(captions: DataFrame, text: str, low: int, high: int, min_df: i
 
 def keyphrases(captions: DataFrame, text: str, k: int = 6) -> DataFrame:
     """The k most frequent 2- and 3-grams found in two captions or more; where there are none, 1- and 2-grams of any."""
-    first = phrase_counts(captions, text, 2, 3, 2, 0.9)
-    if first.isEmpty():
-        first = phrase_counts(captions, text, 1, 2, 1, 0.9)
-    return first.orderBy(F.col("n").desc(), "phrase").limit(k)
+    def top(counts):
+        return counts.orderBy(F.col("n").desc(), "phrase").limit(k)
+
+    first = top(phrase_counts(captions, text, 2, 3, 2, 0.9))
+    rows = first.collect()  # k rows, so that the counts are made once
+    return captions.sparkSession.createDataFrame(rows, first.schema) if rows else top(phrase_counts(captions, text, 1, 2, 1, 0.9))
