@@ -28,14 +28,13 @@ def word_ngrams(text: Column, low: int, high: int, stopwords: list[str]) -> Colu
 
 
 def phrase_counts(captions: DataFrame, text: str, low: int, high: int, min_df: int, max_df: float, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """phrase, n, df. A caption gives each phrase as often as it has it, and once more for df; both are summed map-side."""
+    """phrase, n, df. A caption gives each phrase as often as it has it, the first time marked for df; both are summed map-side."""
     kept = captions.where(F.length(text) > 3)
     n_docs = kept.count()
     grams = kept.select(word_ngrams(F.col(text), low, high, stopwords).alias("g"))
-    marks = F.concat(
-        F.transform("g", lambda x: F.struct(x.alias("phrase"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("phrase"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-    counts = grams.select(F.explode(marks).alias("m")).groupBy("m.phrase").agg(F.sum("m.n").alias("n"), F.sum("m.df").alias("df"))
+    # equal phrases of a caption stand side by side once it is sorted; the sorted list is bound once, as a lambda variable
+    marks = F.flatten(F.transform(F.array(F.sort_array("g")), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("phrase"), (~x.eqNullSafe(F.get(g, i - 1))).alias("first")))))
+    counts = grams.select(F.explode(marks).alias("m")).groupBy("m.phrase").agg(F.count("*").alias("n"), F.count_if("m.first").alias("df"))
     return counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
 
 

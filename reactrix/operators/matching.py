@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from .ranges import stored
 from .ranking import distinct_first
 
 
@@ -51,31 +52,37 @@ def tfidf(docs: DataFrame, id_col: str, grams: Column, fitted: DataFrame | None
         n = docs.count()
         fitted = terms.groupBy("gram").agg((F.log((1.0 + F.lit(n)) / (1.0 + F.count("*"))) + 1).alias("idf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    raw = terms.join(fitted, "gram").select(id_col, "gram", (tf * F.col("idf")).alias("w"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "gram", (F.col("w") / F.col("norm")).alias("weight")), fitted
+    raw = terms.join(fitted, "gram").select("*", (tf * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, *fitted.columns, (F.col("w") / norm).alias("weight")), fitted
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, threshold: float = 0.85, low: int = 2, high: int = 4) -> DataFrame:
     """(left_id, right_id, similarity): each left row's most similar right row, if above the threshold.
 
-    Candidates must share a gram of their rarest: with unit rows and grams in order of document frequency, the
-    grams after which the rest of a left row's length is below the threshold can't lift a pair above it, so
-    only the grams before that point (its prefix) are joined; the pairs found are then scored in full.
-    Rows of equal text are scored once. Ties go to the least right_id.
+    Candidates must share a gram of their rarest: with unit rows and grams in one order of document frequency, the
+    grams after which the rest of a row's length is below the threshold can't lift a pair above it. Where both prefixes,
+    the grams before that point, have none in common, all that a pair shares is in the rest of the row whose prefix
+    ends first, so only prefixes are joined; the pairs found are then scored in full.
+    Rows of equal text are scored once, under a digest of the text. Ties go to the least right_id.
     """
-    lk = left.select(F.col(left_id).alias("l"), match_key(left_text).alias("lk")).where("lk <> ''")
-    rk = right.select(F.col(right_id).alias("r"), match_key(right_text).alias("rk")).where("rk <> ''").groupBy("rk").agg(F.min("r").alias("r"))
-    texts = lk.select(F.col("lk").alias("t")).distinct()
-    grams = lambda c: word_grams(F.col(c), low, high)
-    b, idf = tfidf(rk, "rk", grams("rk"))
-    a, _ = tfidf(texts, "t", grams("t"), idf)
-    rare = Window.partitionBy("t").orderBy(F.col("idf").desc(), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    prefix = a.join(idf, "gram").withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rare))).where(F.col("rest") > threshold)
-    pairs = prefix.select("t", "gram").join(b.select("rk", "gram"), "gram").select("t", "rk").distinct()
-    scored = pairs.join(a.withColumnRenamed("weight", "wa"), "t").join(b.withColumnRenamed("weight", "wb"), ["rk", "gram"]).groupBy("t", "rk").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
-    best = scored.join(rk, "rk").withColumn("n", F.row_number().over(Window.partitionBy("t").orderBy(F.round("similarity", 9).desc(), "r"))).where("n = 1")
-    return lk.join(best, F.col("lk") == F.col("t")).select(F.col("l").alias(left_id), F.col("r").alias(f"match_{right_id}"), "similarity")
+    lk = left.select(F.col(left_id).alias("l"), match_key(left_text).alias("text")).where("text <> ''").withColumn("t", F.md5("text"))
+    rk = right.select(F.col(right_id).alias("r"), match_key(right_text).alias("text")).where("text <> ''").withColumn("rk", F.md5("text"))
+    rk = rk.groupBy("rk").agg(F.min("r").alias("r"), F.first("text").alias("text"))
+    texts = lk.groupBy("t").agg(F.first("text").alias("text"))
+    grams = word_grams(F.col("text"), low, high)
+    b, idf = tfidf(rk, "rk", grams)
+    a, b = stored(tfidf(texts, "t", grams, idf)[0], "left_weights"), stored(b, "right_weights")
+
+    def prefix(rows, key):
+        rare = Window.partitionBy(key).orderBy(F.col("idf").desc(), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rare))
+        return rows.withColumn("rest", rest).where(F.col("rest") > threshold - 1e-9).select(key, "gram")
+
+    pairs = prefix(a, "t").join(prefix(b, "rk"), "gram").select("t", "rk").distinct()
+    scored = pairs.join(a.select("t", "gram", F.col("weight").alias("wa")), "t").join(b.select("rk", "gram", F.col("weight").alias("wb")), ["rk", "gram"]).groupBy("t", "rk").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
+    best = scored.join(rk.select("rk", "r"), "rk").withColumn("n", F.row_number().over(Window.partitionBy("t").orderBy(F.round("similarity", 9).desc(), "r"))).where("n = 1")
+    return lk.join(best, "t").select(F.col("l").alias(left_id), F.col("r").alias(f"match_{right_id}"), "similarity")
 
 
 def drop_rate(left: DataFrame, right_keys: DataFrame, key: str, label: str) -> DataFrame:

@@ -24,6 +24,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: A Parquet row group's usual size: a smaller table may be one task's whole work.
+ONE_TASK_BYTES = 128 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt over the cluster's cores if its files are so small that one task may read them all. Larger tables stay as they are."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < ONE_TASK_BYTES else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)

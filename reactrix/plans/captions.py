@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.numbers import rounded
 from ..operators.keyphrases import STOPWORDS, keyphrases
 from ..operators.matching import tfidf
+from ..operators.ranges import dealt
 from ..operators.similarity import nearest
 from .fixture import table
 from .catalog import query
@@ -20,7 +21,7 @@ DICTIONARY = {"is": "be", "de": "of", "le": "the", "the": "de", "der": "the"}
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("caption"), F.col("source").alias("page_name"), "lang")
+    return dealt(table(spark, sf, "documents")).select(F.col("doc_id").alias("record_id"), F.col("text").alias("caption"), F.col("source").alias("page_name"), "lang")
 
 
 _D = "d AS (SELECT doc_id AS record_id, text AS caption, source AS page_name, lang FROM documents)"
