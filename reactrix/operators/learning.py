@@ -1,19 +1,21 @@
-"""Text classifiers: candidates, trials, final fits, inference. Features are TF-IDF vectors; models are Spark's own."""
+"""Text classifiers: candidates, trials, final fits, inference. Features are the TF-IDF vectors of vectors.py; models are Spark's own."""
 
 from __future__ import annotations
 
 import itertools
 import time
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluation
 from .ranking import best_in_group
+from .ranges import stored
+from .vectors import Vectorizer
 
 # Most candidates of a model in the quick and in the deep search.
 MOST = {"LogisticRegression": 12, "LinearSVC": 12, "RandomForest": 6, "GradientBoosting": 6}
@@ -39,6 +41,10 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(n), "y_true").withColumn("weight", F.lit(float(total)) / (labels * F.col("__n"))).drop("__n")
 
 
+#: Settings of the features; all others are the model's.
+TEXT = ("analyzer", "ngram_range", "min_df", "max_df", "max_features", "sublinear_tf")
+
+
 def estimator(model: str, **p):
     if model == "LogisticRegression":
         return LogisticRegression(weightCol="weight", maxIter=p.get("max_iter", 50), regParam=1.0 / p.get("C", 1.0) / 100)
@@ -46,24 +52,57 @@ def estimator(model: str, **p):
         return OneVsRest(classifier=LinearSVC(maxIter=p.get("max_iter", 50), regParam=1.0 / p.get("C", 1.0) / 100), weightCol="weight")
     if model == "RandomForest":
         return RandomForestClassifier(weightCol="weight", numTrees=p.get("n_estimators", 50), maxDepth=p.get("max_depth", 8), seed=42)
-    return OneVsRest(classifier=GBTClassifier(maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 4), stepSize=p.get("learning_rate", 0.1), seed=42), weightCol="weight")
-
-
-def pipeline(model: str, **p) -> Pipeline:
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=p.get("ngram", 1), inputCol="words", outputCol="grams"),
-             CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=p.get("max_features", 2000), minDF=p.get("min_df", 2)), IDF(inputCol="tf", outputCol="features"),
-             StringIndexer(inputCol="y_true", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"), estimator(model, **p)]
-    return Pipeline(stages=steps)
-
-
-def fit(model: str, train: DataFrame, **p) -> tuple[PipelineModel, str]:
-    """(fitted pipeline, note). A fit that fails is tried once more with plainer features and more iterations."""
+    return GBTClassifier(weightCol="weight", maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 4), stepSize=p.get("learning_rate", 0.1), seed=42)
+
+
+@dataclass
+class Classifier:
+    """A vocabulary, the labels in order, and a fitted model for all labels, or boosted trees, one model for each label."""
+
+    texts: Vectorizer
+    labels: list[str]
+    models: list
+    each: bool = False
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with features, the label number ``prediction``, and ``scores``, one for each label, where the model has scores."""
+        rows = self.texts.transform(rows)
+        if self.each:  # the label whose own model is surest
+            for k, m in enumerate(self.models):
+                rows = m.setFeaturesCol("features").setPredictionCol("__p").setProbabilityCol("__of").setRawPredictionCol("__raw").transform(rows)
+                rows = rows.withColumn(f"__score{k}", vector_to_array("__of")[1]).drop("__p", "__of", "__raw")
+            own = [f"__score{k}" for k in range(len(self.models))]
+            rows = rows.withColumn("scores", F.array(*own)).drop(*own)
+            return rows.withColumn("prediction", (F.array_position("scores", F.array_max("scores")) - 1).cast("double"))
+        rows = self.models[0].transform(rows)
+        score = "probability" if "probability" in rows.columns else "rawPrediction"
+        return rows.withColumn("scores", vector_to_array(score)) if score in rows.columns else rows
+
+
+def train_one(model: str, train: DataFrame, val: DataFrame | None, p: dict) -> Classifier:
+    """The features and the model, fitted to train. Boosted trees stop early on val, if it is given: once the loss on it
+    falls by less than ``tolerance`` (0.01) from one tree to the next."""
+    texts = Vectorizer(train, "text", **{k: v for k, v in p.items() if k in TEXT})
+    index = StringIndexer(inputCol="y_true", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    rows = train if model != "GradientBoosting" or val is None else train.withColumn("held", F.lit(False)).unionByName(val.join(F.broadcast(train.select("y_true", "weight").distinct()), "y_true").withColumn("held", F.lit(True)), allowMissingColumns=True)
+    rows = stored(index.transform(texts.transform(rows)), "features")
+    how = estimator(model, **{k: v for k, v in p.items() if k not in TEXT})
+    if model != "GradientBoosting":
+        return Classifier(texts, index.labels, [how.fit(rows)])
+    if val is not None:
+        how.setValidationIndicatorCol("held").set(how.validationTol, p.get("tolerance", 0.01))
+    models = [how.fit(rows.withColumn("label", (F.col("label") == k).cast("double"))) for k in range(len(index.labels))]
+    return Classifier(texts, index.labels, models, each=True)
+
+
+def fit(model: str, train: DataFrame, val: DataFrame | None = None, **p) -> tuple[Classifier, str]:
+    """(classifier, note). A fit that fails is tried once more with plainer features and more iterations."""
     rows = weighted(train)
     try:
-        return pipeline(model, **p).fit(rows), ""
+        return train_one(model, rows, val, p), ""
     except Exception as e:
-        plain = p | {"min_df": 1, "ngram": 1, "max_iter": 2 * p.get("max_iter", 50)}
-        return pipeline(model, **plain).fit(rows), f"fallback after {type(e).__name__}"
+        plain = p | {"min_df": 1, "max_df": 1.0, "ngram_range": (1, 1), "max_iter": 2 * p.get("max_iter", 50)}
+        return train_one(model, rows, val, plain), f"fallback after {type(e).__name__}"
 
 
 def repairs(finals: DataFrame, trials: DataFrame) -> DataFrame:
@@ -73,14 +112,13 @@ def repairs(finals: DataFrame, trials: DataFrame) -> DataFrame:
     return failed.join(best, ["scenario", "model_name"])
 
 
-def predict(model: PipelineModel, rows: DataFrame, top: int = 3) -> DataFrame:
+def predict(model: Classifier, rows: DataFrame, top: int = 3) -> DataFrame:
     """Rows with y_pred, confidence and the best labels with their scores."""
-    names = model.stages[4].labels
     out = model.transform(rows)
-    score = "probability" if "probability" in out.columns else "rawPrediction"
-    scored = F.transform(vector_to_array(score), lambda x, i: F.struct(x.alias("score"), (-i).alias("k"))) if score in out.columns else F.array(F.struct(F.lit(1.0).alias("score"), (-F.col("prediction")).cast("int").alias("k")))
+    one = F.array(F.struct(F.lit(1.0).alias("score"), (-F.col("prediction")).cast("int").alias("k")))
+    scored = F.transform("scores", lambda x, i: F.struct(x.alias("score"), (-i).alias("k"))) if "scores" in out.columns else one
     best = F.slice(F.sort_array(scored, asc=False), 1, top)
-    table = F.array(*[F.lit(n) for n in names])
+    table = F.array(*[F.lit(n) for n in model.labels])
     out = out.withColumn("top", F.transform(best, lambda b: F.struct(F.get(table, -b["k"]).alias("label"), b["score"].alias("score"))))
     return out.select(*rows.columns, F.get(table, F.col("prediction").cast("int")).alias("y_pred"), F.get("top", F.lit(0))["score"].alias("confidence"), "top")
 
@@ -92,7 +130,7 @@ def trials(train: DataFrame, val: DataFrame, settings: dict[str, list[dict]], la
         for k, p in enumerate(tries):
             began = time.time()
             try:
-                m = evaluation.overall(predict(pipeline(model, **p).fit(weighted(train)), val), labels).first()
+                m = evaluation.overall(predict(train_one(model, weighted(train), val, p), val), labels).first()
                 rows.append((f"{model}-{k}", model, str(p), float(m.macro_f1), float(m.weighted_f1), float(m.accuracy), time.time() - began, "success"))
             except Exception as e:  # a failed candidate is a row, as a successful one is
                 rows.append((f"{model}-{k}", model, str(p), None, None, None, time.time() - began, f"failed: {type(e).__name__}"))

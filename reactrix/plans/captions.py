@@ -10,6 +10,7 @@ from ..operators.keyphrases import STOPWORDS, keyphrases
 from ..operators.matching import tfidf
 from ..operators.ranges import dealt
 from ..operators.similarity import nearest
+from ..operators.vectors import text_grams, vocabulary
 from .fixture import table
 from .catalog import query
 
@@ -122,6 +123,23 @@ def tx20_tfidf(spark, sf):
     return weights.select("item_id", F.col("gram").alias("term"), rounded("weight").alias("weight"))
 
 
+_WB = "list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i, {n}))"
+
+
+@query(rf"""WITH b AS (SELECT item_id, {_WORDS.replace('caption', 'lower(text)')} AS w FROM benchmark), p AS (SELECT item_id, ' ' || unnest(w) || ' ' AS p FROM b),
+t AS (SELECT item_id, unnest(list_concat(list_concat({_WB.format(n=3)}, {_WB.format(n=4)}), {_WB.format(n=5)})) AS term FROM p), f AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
+c AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1), i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM b)) / (1.0 + df)) + 1 AS idf FROM c WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM b) ORDER BY total DESC, term LIMIT 1000),
+r AS (SELECT item_id, f.term, (1 + ln(tf)) * idf AS w FROM f JOIN i ON f.term = i.term), n AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1)
+SELECT r.item_id, r.term, round(w / norm, 6) AS weight FROM r JOIN n ON r.item_id = n.item_id""")
+def tx20_features(spark, sf):
+    """Character n-grams inside words, in two items or more and in 95 % or fewer, the 1,000 most frequent, with logarithmic counts."""
+    b = table(spark, sf, "benchmark")
+    grams = text_grams("text", "char_wb", (3, 5))
+    fitted = vocabulary(b, "item_id", grams, 2, 0.95, 1000).select("gram", "idf")
+    weights, _ = tfidf(b, "item_id", grams, fitted, sublinear=True)
+    return weights.select("item_id", F.col("gram").alias("term"), rounded("weight").alias("weight"))
+
+
 @query("""WITH p AS (SELECT q.vec_id AS query, e.vec_id AS vec, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query, vec, round(c, 5) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, vec) = 1""")
 def tx21_cosine(spark, sf):

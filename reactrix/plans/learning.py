@@ -19,8 +19,11 @@ def splits(spark, sf):
 def l2_l4_trials(spark, sf):
     """Candidates of all four model families, scored on the validation split."""
     train, val, _ = splits(spark, sf)
-    grids = {"LogisticRegression": ({"C": [1.0]}, [200, 500]), "LinearSVC": ({"C": [1.0], "max_iter": [10]}, [200]), "RandomForest": ({"n_estimators": [10]}, [200]), "GradientBoosting": ({"n_estimators": [3], "max_depth": [2]}, [100])}
-    tries = {model: L.candidates(model, grid, {"max_features": sizes}) for model, (grid, sizes) in grids.items()}
+    words = {"max_features": [500], "ngram_range": [(1, 1), (1, 2)]}
+    chars = {"max_features": [200], "analyzer": ["char_wb"], "ngram_range": [(2, 3)]}
+    few = {"max_features": [100]}
+    grids = {"LogisticRegression": ({"C": [1.0]}, words), "LinearSVC": ({"C": [1.0], "max_iter": [10]}, chars), "RandomForest": ({"n_estimators": [10]}, few), "GradientBoosting": ({"n_estimators": [3], "max_depth": [2]}, few)}
+    tries = {model: L.candidates(model, grid, texts) for model, (grid, texts) in grids.items()}
     return L.trials(train, val, tries, ["de", "en", "es", "fr"]).select("trial_id", "model_name", "macro_f1_val", "status")
 
 

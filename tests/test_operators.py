@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from math import log, sqrt
 
@@ -9,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reactrix.operators import crawl, evaluation, keyphrases, learning, matching, quality, ranges, ranking, sampling, similarity
+from reactrix.operators import crawl, evaluation, keyphrases, learning, matching, quality, ranges, ranking, sampling, similarity, vectors
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -196,3 +197,38 @@ def test_each_family_learns_held_out_labels(spark, model):
     fitted, note = learning.fit(model, df.where("record_id < 100"), max_features=30, n_estimators=5, max_depth=3, max_iter=10)
     got = learning.predict(fitted, df.where("record_id >= 100")).collect()
     assert note == "" and np.mean([r.y_true == r.y_pred for r in got]) > 0.85
+
+
+def plain_grams(text, analyzer, low, high):
+    """The n-grams of one text, written out."""
+    words = (text or "").lower().split()
+    if analyzer == "word":
+        words = [w for w in re.findall(r"\w+", (text or "").lower()) if len(w) > 1]
+        return [" ".join(words[i : i + n]) for n in range(low, high + 1) for i in range(len(words) - n + 1)]
+    padded = [f" {w} " for w in words]
+    return [g for p in padded for g in ([p] if len(p) < low else [p[i : i + n] for n in range(low, high + 1) for i in range(len(p) - n + 1)])]
+
+
+@pytest.mark.parametrize(("analyzer", "low", "high"), [("word", 1, 1), ("word", 1, 3), ("char_wb", 2, 4), ("char_wb", 4, 6)])
+def test_vectors_match_a_plain_version(spark, analyzer, low, high):
+    texts = ["big red dog, red cat", "Big red é cat a", "", None, "red red red", "a b c", "dog cat dog big", "big red dog, red cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for sublinear in (False, True):
+        made = vectors.Vectorizer(df, "t", analyzer, (low, high), min_df=2, max_df=0.7, max_features=6, sublinear_tf=sublinear)
+        tf = [Counter(plain_grams(t, analyzer, low, high)) for t in texts]
+        df_of, total = Counter(g for c in tf for g in c), sum(tf, Counter())
+        kept = sorted((g for g, n in df_of.items() if 2 <= n <= 0.7 * len(texts)), key=lambda g: (-total[g], g))[:6]
+        assert [g for g, _ in made.places] == sorted(kept) and kept
+        idf = [log((1 + len(texts)) / (1 + df_of[g])) + 1 for g in sorted(kept)]
+        for r in made.transform(df).collect():
+            want = np.array([((1 + log(tf[r.k][g])) if sublinear else tf[r.k][g]) * w if tf[r.k][g] else 0.0 for g, w in zip(sorted(kept), idf, strict=True)])
+            assert np.allclose(r.features.toArray(), want / (np.linalg.norm(want) or 1)), texts[r.k]
+
+
+def test_boosting_stops_early_on_the_validation_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["alpha beta", "gamma delta"]), rng.choice("AB")) for k in range(60)]
+    df = spark.createDataFrame(rows, "record_id int, text string, y_true string")
+    train, val = df.where("record_id < 40"), df.where("record_id >= 40")
+    sizes = [learning.fit("GradientBoosting", train, v, n_estimators=12, max_depth=2)[0].models[0].getNumTrees for v in (None, val)]
+    assert sizes[0] == 12 and sizes[1] < 12
