@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning as L
+from ..operators.ranges import dealt
 from .catalog import query
 from .fixture import TRIALS, table, trials
 
 
 def splits(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "text", F.col("lang").alias("y_true"))
+    d = dealt(table(spark, sf, "documents")).select(F.col("doc_id").alias("record_id"), "text", F.col("lang").alias("y_true"))
     part = F.pmod(F.crc32(F.col("record_id").cast("string")), F.lit(10))
     return d.where(part < 7), d.where(part == 7), d.where(part > 7)
 
