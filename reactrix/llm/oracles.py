@@ -77,4 +77,50 @@ FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 
 
-ORACLES = {"op2_decontamination": OP2, "op5_secrets": _op5(), "op8_quality_rules": OP8}
+def _tree(name, rows, order):
+    """Levels of a tree for each key: rows (key, idx, node, n) up to one node."""
+    return f"""{name} AS (
+  SELECT key, 0 AS level, row_number() OVER (PARTITION BY key ORDER BY {order}) - 1 AS idx, node, count(*) OVER (PARTITION BY key) AS n FROM {rows}
+  UNION ALL
+  SELECT key, level + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY key, level, idx // 3, n)"""
+
+
+def _paths(name, tree, leaves):
+    """Siblings to the left and right of each leaf, level by level."""
+    return f"""{name}_runs AS (SELECT key, level, idx // 3 AS run, list(node ORDER BY idx) AS nodes FROM {tree} WHERE n > 1 GROUP BY ALL),
+{name} AS (
+  SELECT l.key, l.idx, list({{'l': array_to_string(nodes[: (l.idx // (3 ** level)::BIGINT) % 3], ''), 'r': array_to_string(nodes[(l.idx // (3 ** level)::BIGINT) % 3 + 2 :], ''), 'h': ''}} ORDER BY level) AS path
+  FROM {leaves} l JOIN {name}_runs r ON l.key = r.key AND l.idx // (3 ** (level + 1))::BIGINT = r.run GROUP BY ALL)"""
+
+
+def _fields(text):
+    """A leaf's input: lengths in bytes and values."""
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+OP12 = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+codes AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT doc_id FROM documents), bytes),
+texts AS (SELECT d.*, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents d LEFT JOIN codes c ON d.doc_id = c.doc_id),
+leaves AS (SELECT doc_id, coalesce('s' || source, '') AS key, sha256({_fields("text")}) AS node, sha256({_fields("found")}) AS now FROM texts),
+{_tree("low", "leaves", "doc_id NULLS FIRST, node")},
+tops AS (SELECT '' AS key, key AS of_key, node FROM low WHERE n = 1),
+{_tree("high", "tops", "of_key")},
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, node) - 1 AS idx FROM leaves),
+sources AS (SELECT *, row_number() OVER (ORDER BY of_key) - 1 AS idx FROM tops),
+{_paths("low_path", "low", "placed")},
+{_paths("high_path", "high", "sources")},
+proofs AS (
+  SELECT p.doc_id, p.node AS leaf, s.node AS subroot, (SELECT node FROM high WHERE n = 1) AS root, now,
+         list_concat(coalesce(a.path, []), coalesce(b.path, [])) AS path
+  FROM placed p JOIN sources s ON p.key = s.of_key LEFT JOIN low_path a ON a.key = p.key AND a.idx = p.idx LEFT JOIN high_path b ON b.idx = s.idx),
+checked AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': '', 'r': '', 'h': now}}, path), lambda a, x: {{'l': '', 'r': '', 'h': sha256(x.l || a.h || x.r)}}).h AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM checked
+"""
+
+
+ORACLES = {"op2_decontamination": OP2, "op5_secrets": _op5(), "op8_quality_rules": OP8, "op12_merkle": OP12}

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from reactrix.llm import decontam, mixing, pii, quality_rules, secrets
+from reactrix.llm import decontam, merkle, mixing, pii, quality_rules, secrets
 
 from .cases import awkward, frame
 
@@ -14,12 +14,12 @@ def items(spark):
 
 
 @pytest.mark.parametrize("run", [
-    lambda s, d: decontam.digest(d, items(s)), lambda s, d: secrets.digest(d), lambda s, d: secrets.redact(d), lambda s, d: quality_rules.digest(d), lambda s, d: pii.pseudonymize(d, "k"), lambda s, d: mixing.digest(d), lambda s, d: mixing.attach(d)])
+    lambda s, d: decontam.digest(d, items(s)), lambda s, d: secrets.digest(d), lambda s, d: secrets.redact(d), lambda s, d: quality_rules.digest(d), lambda s, d: pii.pseudonymize(d, "k"), lambda s, d: mixing.digest(d), lambda s, d: mixing.attach(d), lambda s, d: merkle.digest(d)])
 def test_no_python(spark, tmp_path, monkeypatch, run):
     path = str(tmp_path / "docs")
     frame(spark, awkward()).write.parquet(path)
     plans = []
-    for module in (decontam, secrets, mixing):
+    for module in (decontam, secrets, mixing, merkle):
         write = module.materialize
 
         def kept(df, name, write=write):
