@@ -13,7 +13,7 @@ import sentencepiece
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Bytes of text, and ids, that are worked on at a time; a longer row is alone.
-SLICE_BYTES, SLICE_IDS = 4 << 20, 1 << 20
+SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 18
 
 
 def cut(text: str) -> list[str]:
@@ -74,6 +74,10 @@ def encoder(shared, add_eos: bool):
     return run
 
 
+def both(first, then):
+    return lambda batches: then(first(batches))
+
+
 def surfaces(sp) -> pa.Array:
     """The bytes that each id stands for."""
     out = []
@@ -85,7 +89,7 @@ def surfaces(sp) -> pa.Array:
 
 def decoder(shared, name: str, keep: list[str]):
     def run(batches):
-        sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value[0])
         table = surfaces(sp)
         marked = np.array([sp.id_to_piece(k).startswith(MARK) for k in range(len(table))])
         silent = np.array([sp.is_control(k) for k in range(len(table))])

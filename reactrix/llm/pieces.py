@@ -72,20 +72,26 @@ def chunk_table(counts: DataFrame, model: bytes) -> DataFrame:
     return counts.select("chunk").mapInArrow(chunks.segmented(model), "chunk string, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), add_eos: bool = True, most: int = TABLE_CHUNKS) -> DataFrame:
-    """The kept columns and ``ids`` (an array) of each row's ``text``. most: chunks of the table, which say how work is shared, not what comes out."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), add_eos: bool = True, most: int = TABLE_CHUNKS, decoded: bool = False) -> DataFrame:
+    """The kept columns and ``ids`` (an array) of each row's ``text``. most: chunks of the table, which say how work is shared, not what comes out.
+
+    decoded: with decode() of the ids, in the same worker.
+    """
     model = model_bytes(path)
     counts = materialize(chunk_counts(docs).where("n > 1"), "chunks")
     table = chunk_table(frequent(counts, most), model).toArrow()  # TABLE_CHUNKS rows of CHUNK_CHARS characters at most
     shared = docs.sparkSession.sparkContext.broadcast((model, table["chunk"].to_pylist(), table["ids"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))))
     rows = clean_of(docs, *keep, "text").toDF(*keep, "text")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(chunks.encoder(shared, add_eos), f"{schema}, ids array<int>")
+    run = chunks.encoder(shared, add_eos)
+    if not decoded:
+        return rows.mapInArrow(run, f"{schema}, ids array<int>")
+    return rows.mapInArrow(chunks.both(run, chunks.decoder(shared, "ids", [*keep, "ids"])), f"{schema}, ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The kept columns (``ids`` may be one of them) and ``decoded``, the text of each row's ids; null ids are null."""
-    shared = rows.sparkSession.sparkContext.broadcast(model_bytes(path))
+    shared = rows.sparkSession.sparkContext.broadcast((model_bytes(path),))
     own = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, ids))])
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes if c in keep)
     return own.mapInArrow(chunks.decoder(shared, ids, list(keep)), f"{schema}, decoded string")
@@ -93,6 +99,6 @@ def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids:
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    out = decode(encode(docs, path), path, keep=("doc_id", "ids"))
+    out = encode(docs, path, decoded=True)
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
