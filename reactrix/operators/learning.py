@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
+import hashlib
+import math
 import time
 from dataclasses import dataclass
 
@@ -22,16 +23,37 @@ MOST = {"LogisticRegression": 12, "LinearSVC": 12, "RandomForest": 6, "GradientB
 MOST_DEEP = {"LogisticRegression": 40, "LinearSVC": 45, "RandomForest": 18, "GradientBoosting": 18}
 
 
+def settings(ordinal: int, axes: list[list]) -> list:
+    """The values of a place in the product of the axes, the last of which turns fastest: the place's digits."""
+    out = []
+    for values in reversed(axes):
+        ordinal, k = divmod(ordinal, len(values))
+        out.append(values[k])
+    return out[::-1]
+
+
+def stride(n: int, seed: int) -> tuple[int, int]:
+    """(a, b) such that i -> (a * i + b) % n goes over 0 .. n - 1 without repeats: a has no divisor in common with n. Both come from the seed."""
+    digest = hashlib.md5(str(seed).encode()).hexdigest()
+    a = int(digest[:12], 16) % n
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a % n or 1, int(digest[12:24], 16) % n
+
+
+def picked(n: int, most: int, seed: int | None) -> list[int]:
+    """Places of a product of n to try, in order: the first ones, or with a seed a sample; no more work than is picked."""
+    if seed is None or n <= most:
+        return list(range(min(n, most)))
+    a, b = stride(n, seed)
+    return sorted((a * i + b) % n for i in range(most))
+
+
 def candidates(model: str, grid: dict[str, list], texts: dict[str, list], deep: bool = False, seed: int = 42) -> list[dict]:
-    """Settings to try: the product of both grids, its first ones, or in the deep search a sample of fixed order."""
-    every = [dict(zip([*grid, *texts], v, strict=True)) for v in itertools.product(*grid.values(), *texts.values())]
-    most = (MOST_DEEP if deep else MOST)[model]
-    if deep and len(every) > most:
-        import hashlib
-
-        kept = sorted(range(len(every)), key=lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())[:most]
-        return [every[k] for k in sorted(kept)]
-    return every[:most]
+    """Settings to try of the product of both grids, which isn't built: its first ones, or in the deep search a sample of fixed order."""
+    axes = [*grid.values(), *texts.values()]
+    n = math.prod(len(v) for v in axes)
+    return [dict(zip([*grid, *texts], settings(k, axes), strict=True)) for k in picked(n, (MOST_DEEP if deep else MOST)[model], seed if deep else None)]
 
 
 def weighted(train: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.text import follower_count, parsed_count
 from ..operators.crawl import accepted, canonical_reaction, reaction_columns, total_reactions
+from ..operators.ranges import scratch
 from .fixture import table
-from .catalog import query
+from .catalog import ORACLES, query
 
 _TEXTS = ["1,2K", "3M", "1.5B", "", "none", "1,234", " 77 ", "12"]
 
@@ -82,3 +83,18 @@ def f7_accept_rules(spark, sf):
     """Events of a user up to the third old one in a row, old ones left out."""
     e = table(spark, sf, "events").withColumn("old", F.col("value") < 20)
     return accepted(e, "user_id", ["ts", "event_id"], "old", 3).select("event_id")
+
+
+@query(ORACLES["f7_accept_rules"])
+def f7_page_state(spark, sf):
+    """The same rules over a stream of two runs, the first with half of the time: what a page's crawler has seen is its state."""
+    from ..streaming.incremental import append, follow_pages
+
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    folder, target, state = (scratch(spark, x) for x in ("events", "kept", "state"))
+    middle = e.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("bigint")).alias("m")).first().m
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        e.where(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(e.schema).parquet(folder)
+        append(follow_pages(stream, "user_id", ["ts", "event_id"], F.col("value") < 20, F.lit(True)), target, state).awaitTermination()
+    return spark.read.parquet(target).select("event_id")

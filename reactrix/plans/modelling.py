@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import evaluation as E
+from ..operators import learning as L
+from ..operators.ranges import scratch
 from ..operators.ranking import band_best, best_in_group
-from .fixture import PREDICTIONS, TRIALS, predictions, trials
+from ..sources import sinks
+from .fixture import PREDICTIONS, TRIALS, predictions, table, trials
 from .catalog import query
 
 LABELS = [f"T{k:02d}" for k in range(1, 18)]
@@ -202,21 +207,36 @@ def x13_nest(spark, sf):
     return trials(spark, sf).select("trial_id", m.alias("m")).select("trial_id", F.size("m").alias("n_metrics"), F.try_element_at("m", F.lit("macro_f1")).alias("macro_f1"))
 
 
-@query("SELECT (row_number() OVER (ORDER BY m, t)) - 1 AS ordinal, m AS model, t AS tfidf FROM (SELECT unnest(range(8)) AS m), (SELECT unnest(range(6)) AS t) QUALIFY row_number() OVER (ORDER BY m, t) <= 12")
+_AXES = "a AS (SELECT list(DISTINCT p_size ORDER BY p_size) AS s, list(DISTINCT p_brand ORDER BY p_brand) AS b, list(DISTINCT p_type ORDER BY p_type) AS t FROM part), n AS (SELECT *, (len(s) * len(b) * len(t))::BIGINT AS n FROM a)"
+_DIGEST = "md5('42')"
+_PLACE = "s[k // (len(b) * len(t)) + 1] AS size, b[(k // len(t)) % len(b) + 1] AS brand, t[k % len(t) + 1] AS type"
+
+
+@query(f"""WITH {_AXES}, d AS (SELECT *, ('0x' || substr({_DIGEST}, 1, 12))::BIGINT % n AS a0, ('0x' || substr({_DIGEST}, 13, 12))::BIGINT % n AS b0 FROM n),
+m AS (SELECT *, (SELECT min(x) FROM (SELECT unnest(range(a0, a0 + 100)) AS x) WHERE gcd(x, n) = 1) % n AS a1 FROM d),
+p AS (SELECT 'first' AS search, s, b, t, unnest(range(least(n, 12))) AS k FROM n UNION ALL
+  SELECT 'sample', s, b, t, CASE WHEN n <= 40 THEN i ELSE ((CASE WHEN a1 = 0 THEN 1 ELSE a1 END) * i + b0) % n END FROM (SELECT *, unnest(range(least(n, 40))) AS i FROM m))
+SELECT search, k::BIGINT AS ordinal, {_PLACE} FROM p""")
 def x10_param_grid(spark, sf):
-    """Prefix of a model x text-feature parameter product: ordinals come from arithmetic, so nothing is sorted."""
-    models, texts = 8, 6
-    return spark.range(models * texts).where("id < 12").select(F.col("id").alias("ordinal"), F.floor(F.col("id") / texts).alias("model"), (F.col("id") % texts).alias("tfidf"))
+    """Settings of both searches over a grid whose axes are the values that parts have: the first ones, and a sample without repeats."""
+    axes = table(spark, sf, "part").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("p_size", "p_brand", "p_type")]).first()  # the axes of a grid
+    grid, texts = {"size": axes.p_size, "brand": axes.p_brand}, {"type": axes.p_type}
+    found = [(search, k, c) for search, deep in (("first", False), ("sample", True)) for k, c in zip(L.picked(math.prod(map(len, axes)), (L.MOST_DEEP if deep else L.MOST)["LogisticRegression"], 42 if deep else None), L.candidates("LogisticRegression", grid, texts, deep), strict=True)]
+    return spark.createDataFrame([(search, k, c["size"], c["brand"], c["type"]) for search, k, c in found], "search string, ordinal bigint, size int, brand string, type string")
 
 
-_TABLE = "'| ' || scenario || ' | ' || coalesce(printf('%.4f', macro_f1_val), '') || ' |'"
+_CELL = lambda x: f"CASE WHEN bold AND {x} <> '' THEN '**' || {x} || '**' ELSE {x} END"
 
 
-@query(f"WITH {TRIALS} SELECT string_agg({_TABLE}, chr(10) ORDER BY trial_id) AS markdown FROM t WHERE trial_id <= 20")
+@query(f"""WITH {TRIALS}, x AS (SELECT trial_id, trial_id::VARCHAR AS c1, replace(scenario || '|' || model_name, '|', chr(92) || '|') AS c2, coalesce(printf('%.4f', macro_f1_val), '') AS c3, coalesce(printf('%.4f', accuracy_val), '') AS c4, coalesce(macro_f1_val >= 0.99, false) AS bold FROM t)
+SELECT trial_id, '| ' || {_CELL("c1")} || ' | ' || {_CELL("c2")} || ' | ' || {_CELL("c3")} || ' | ' || {_CELL("c4")} || ' |' AS line FROM x""")
 def s13_markdown(spark, sf):
-    line = F.concat(F.lit("| "), F.replace("scenario", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.coalesce(F.when(F.col("macro_f1_val").isNotNull(), F.format_string("%.4f", "macro_f1_val")), F.lit("")), F.lit(" |"))
-    rows = trials(spark, sf).where("trial_id <= 20").agg(F.sort_array(F.collect_list(F.struct("trial_id", line.alias("line")))).alias("x"))
-    return rows.select(F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("markdown"))
+    """The whole table as lines of Markdown, the best rows in bold: written by the sink and read again. A line's first cell is its trial."""
+    rows = trials(spark, sf).select("trial_id", F.concat_ws("|", "scenario", "model_name").alias("experiment"), "macro_f1_val", "accuracy_val")
+    path = scratch(spark, "markdown")
+    sinks.to_markdown(rows, path, ["trial_id"], bold=F.coalesce(F.col("macro_f1_val") >= 0.99, F.lit(False)))
+    lines = spark.read.text(f"{path}/1-rows")
+    return lines.select(F.regexp_extract("value", r"^\| (?:\*\*)?(\d+)", 1).cast("bigint").alias("trial_id"), F.col("value").alias("line"))
 
 
 @query(f"WITH {TRIALS}, b AS (SELECT * FROM t WHERE status = 'success') SELECT model_name, NULL AS scenario, 'best' AS \"group\", true AS recommended, max(macro_f1_val) AS f1 FROM b GROUP BY 1 UNION ALL SELECT model_name, scenario, 'scenario', false, max(macro_f1_val) FROM b GROUP BY ALL")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
@@ -69,44 +67,106 @@ def s16_manifest(spark, sf):
     return readers.manifest(spark, path)
 
 
-def put_text(spark, path, text):
-    """One small text file, through the file system that owns the path."""
+def put_files(spark, rows, folder):
+    """Files (``file``, ``value``) that the executors write, one row for each, under their names."""
+    path = scratch(spark, "files")
+    rows.write.partitionBy("file").option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(text.encode()))
-    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    for name, *_ in readers.files(spark, path, r"/file=[^/]*/part-"):
+        system.rename(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.rsplit('/', 2)[-2].removeprefix('file=')}"))
+
+
+#: Documents of one crawl file.
+FILE_ROWS = 40
+_FILES = f"""f AS (SELECT doc_id, md5(text) AS content, doc_id // {FILE_ROWS} AS g, row_number() OVER (PARTITION BY doc_id // {FILE_ROWS} ORDER BY doc_id) AS n, doc_id % 13 = 0 AS blank FROM documents),
+k AS (SELECT *, CASE WHEN g % 4 = 3 THEN g || '.jsonl' WHEN g % 9 = 5 THEN g || '_comments.json' ELSE g || '.json' END AS file FROM f)"""
+
+
+def crawl_folder(spark, sf):
+    """Documents as crawl files: arrays and lines, some of them cut short, with a broken line, with entries that are no posts, or of comments."""
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / FILE_ROWS).alias("g"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("post_id"), F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).alias("post_content"))).alias("post"))
+    files = d.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "post"))), lambda x: x["post"]).alias("posts"))
+    g, lines = F.col("g"), F.col("g") % 4 == 3
+    name = F.concat(g.cast("string"), F.when(lines, ".jsonl").when(g % 9 == 5, "_comments.json").otherwise(".json"))
+    array = F.concat(F.lit("["), F.array_join("posts", ", "), F.lit("]"))
+    whole = files.withColumn("a", array)
+    text = F.when(g % 5 == 0, F.expr("substr(a, 1, length(a) - 2)")).when(g % 5 == 1, F.concat(F.lit('[7, "x", null, '), F.expr("substr(a, 2)"))).otherwise(F.col("a"))
+    line = F.array_join(F.when(g % 8 == 7, F.concat(F.slice("posts", 1, 10), F.array(F.lit('{"post_id": ')), F.slice("posts", 11, FILE_ROWS))).otherwise(F.col("posts")), "\n")
+    folder = scratch(spark, "crawl")
+    put_files(spark, whole.select(name.alias("file"), F.when(lines, line).otherwise(text).alias("value")), folder)
+    return folder
+
+
+@query(f"WITH {_FILES} SELECT doc_id::VARCHAR AS post_id, content, file AS json_source FROM k WHERE NOT blank AND CASE WHEN g % 4 = 3 THEN g % 8 <> 7 OR n <= 10 ELSE g % 9 <> 5 AND g % 5 <> 0 END")
+def s2_s3_crawl_folder(spark, sf):
+    """Posts of JSON arrays and lines below one folder, comment files and what is broken left out."""
+    return readers.crawled_posts(spark, crawl_folder(spark, sf)).select("post_id", F.md5("post_content").alias("content"), "json_source")
 
 
-@query("SELECT region.r_name AS post_content, 'posts_' || r_regionkey % 2 || '.json' AS json_source, r_regionkey::VARCHAR AS post_id FROM region")
-def s2_s3_crawl_folder(spark, sf):
-    """JSON arrays and lines below one folder, comment files skipped."""
-    folder, rows = scratch(spark, "crawl"), table(spark, sf, "region").orderBy("r_regionkey").collect()
-    posts_ = [json.dumps({"post_id": str(r.r_regionkey), "post_content": r.r_name}) for r in rows]
-    put_text(spark, f"{folder}/posts_0.json", "[" + ",".join(p for p, r in zip(posts_, rows, strict=True) if r.r_regionkey % 2 == 0) + "]")
-    put_text(spark, f"{folder}/deep/posts_1.json", "[" + ",".join(p for p, r in zip(posts_, rows, strict=True) if r.r_regionkey % 2) + "]")
-    put_text(spark, f"{folder}/comments.json", '[{"post_id": "9", "post_content": "skipped"}]')
-    put_text(spark, f"{folder}/extra.jsonl", '{"post_id": "8", "post_content": ""}\n')
-    return readers.crawled_posts(spark, folder).select("post_content", "json_source", "post_id")
+@query(f"""WITH {_FILES}, c AS (SELECT file, g, count(*) AS n FROM k GROUP BY ALL)
+SELECT file, CASE WHEN g % 4 = 3 THEN 'broken line' ELSE 'invalid JSON' END AS reason, CASE WHEN g % 4 = 3 THEN greatest(n - 10, 0) + 1 ELSE 0 END AS n_lost FROM c WHERE CASE WHEN g % 4 = 3 THEN g % 8 = 7 ELSE g % 9 <> 5 AND g % 5 = 0 END""")
+def s2_crawl_failures(spark, sf):
+    """The files of the same folder that aren't whole, with the reason and the lines that were lost."""
+    return readers.crawl(spark, crawl_folder(spark, sf))[1]
+
+
+_DEALT = "s AS (SELECT doc_id, text, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM documents)"
 
 
-@query("SELECT * FROM (VALUES ('train', 'a_train.csv'), ('val', 'val-1.csv'), ('test', 'my.test.csv')) AS t(split, file)")
+def split_folder(spark, sf):
+    """Documents as the three files of a scenario, with text columns of their own, among files that are none of them."""
+    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "record_id")
+    folder, text = scratch(spark, "splits"), F.col("text")
+    part = F.col("record_id") % 10
+    for name, rows, columns in (
+            ("a_train.csv", part < 7, ["text_nosw", "text_clean"]), ("val-1.csv", (part >= 7) & (part < 9), ["text_clean", "text"]), ("my.test.csv", part == 9, ["text", "text_clean"]), ("deep/train.csv", part == 0, ["text"]), ("latest.csv", part == 1, ["text"])):
+        sinks.to_csv(d.where(rows).select("record_id", *[(F.lower(text) if c == "text_clean" else text).alias(c) for c in columns]), f"{folder}/{name}")
+    return folder
+
+
+@query(f"WITH {_DEALT} SELECT split, CASE split WHEN 'train' THEN 'a_train.csv' WHEN 'val' THEN 'val-1.csv' ELSE 'my.test.csv' END AS file, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM s GROUP BY split")
 def s5_split_discovery(spark, sf):
-    folder = scratch(spark, "splits")
-    for name in ("a_train.csv", "deep/train.csv", "val-1.csv", "my.test.csv", "latest.csv"):
-        put_text(spark, f"{folder}/{name}", "record_id\n1\n")
-    found = readers.split_paths(spark, folder)
-    return spark.createDataFrame([(k, v.rsplit("/", 1)[-1]) for k, v in found.items()], "split string, file string")
+    """The files that are found for each split, read."""
+    out = None
+    for split, path in readers.split_paths(spark, split_folder(spark, sf)).items():
+        rows = readers.csv(spark, path, "record_id bigint").agg(F.count("*").alias("n"), F.sum("record_id").alias("ids")).select(F.lit(split).alias("split"), F.lit(path.rsplit("/", 1)[-1]).alias("file"), "n", "ids")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("SELECT * FROM (VALUES ('ko', 'không', 1), ('dc', 'được', 1), ('hn', NULL, 2), ('OK', 'x', 0)) AS t(word, first, n_details)")
+@query(f"WITH {_DEALT} SELECT split, doc_id AS record_id, 'text_clean' AS text_column, md5(lower(text)) AS text FROM s")
+def f18_l10_text_column(spark, sf):
+    """All rows of the splits with the first preferred text column that all of them have."""
+    frames = {split: readers.csv(spark, path) for split, path in readers.split_paths(spark, split_folder(spark, sf)).items()}
+    column = readers.text_column(list(frames.values()), ["text_nosw", "text_clean", "text"])
+    out = None
+    for split, rows in frames.items():
+        rows = rows.select(F.lit(split).alias("split"), F.col("record_id").cast("bigint").alias("record_id"), F.lit(column).alias("text_column"), F.md5(column).alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'Vui' || chr(32) || 'Vẻ' ELSE c_name END AS word, c_mktsegment AS one, c_nationkey::VARCHAR AS two FROM customer)
+SELECT word, CASE WHEN k % 4 = 3 THEN NULL ELSE one END AS first, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS n_details FROM e WHERE k % 5 <> 0""")
 def s6_tx12_dictionary(spark, sf):
-    path = f"{scratch(spark, 'dictionary')}/d.json"
-    put_text(spark, path, json.dumps({
-        "ko": {"normalized": ["không"], "response": {"ko": {"normalized": [{"word": "không"}]}}}, "dc": {"normalized": ["được", "điện"], "response": {"normalized": {"word": "được"}}},
-        "hn": {"normalized": [], "response": [{"normalized": [{"word": "a"}]}, {"normalized": {"word": "b"}}]}, "OK": {"normalized": ["x"], "response": {}},
-        **{w: {"normalized": ["wrong"], "response": {}} for w in ("là", "Trong", "PHŨ PHÀNG", "vui")}}))
-    return readers.dictionary(spark, path).select("word", F.get("candidates", F.lit(0)).alias("first"), F.size("details").alias("n_details"))
+    """A dictionary of customers' names in files of a bounded number of words, entries of all shapes; every fifth word is a standard one, which is left out."""
+    k = F.col("c_custkey")
+    word = F.when(k % 5 == 0, "Vui Vẻ").otherwise(F.col("c_name"))
+    said = lambda c: F.struct(c.alias("word"))
+    one, two = F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+    both = F.array(said(one), said(two))
+    shapes = F.when(k % 4 == 0, F.to_json(F.struct(said(one).alias("normalized")))).when(k % 4 == 1, F.to_json(F.struct(both.alias("normalized")))).when(
+        k % 4 == 2, F.to_json(F.create_map(F.lower(word), F.struct(F.array(said(two)).alias("normalized"))))).otherwise(F.to_json(F.array(F.struct(said(one).alias("normalized")), F.struct(said(two).alias("normalized")))))
+    normal = F.to_json(F.when(k % 4 == 3, F.expr("cast(array() as array<string>)")).otherwise(F.array(one)))
+    entry = F.concat(F.to_json(F.array(word)), F.lit(": {\"normalized\": "), normal, F.lit(", \"response\": "), shapes, F.lit("}"))
+    rows = table(spark, sf, "customer").select(F.floor(k / 500).alias("g"), F.regexp_replace(entry, r'^\["(.*?)"\]:', '"$1":').alias("entry"))
+    files = rows.groupBy("g").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ", "), F.lit("}")).alias("value"))
+    folder = scratch(spark, "dictionary")
+    put_files(spark, files.select(F.concat(F.col("g").cast("string"), F.lit(".json")).alias("file"), "value"), folder)
+    return readers.dictionary(spark, folder).select("word", F.get("candidates", F.lit(0)).alias("first"), F.size("details").alias("n_details"))
 
 
 @query(f"WITH {PREDICTIONS} SELECT record_id::VARCHAR AS record_id, y_true, y_pred, 'S1' AS scenario, 'M1' AS model_name, 'val' AS split FROM p WHERE scenario = 'S1' AND model_name = 'M1' AND split = 'val'")
@@ -117,10 +177,3 @@ def s18_load_predictions(spark, sf):
     sinks.to_csv(rows, f"{base}/S1/M1/predictions_val.csv", ["record_id", "y_true", "y_pred", "confidence"])
     both = [readers.predictions(spark, base, "S1", "M1", s) for s in ("val", "test")]
     return both[0].unionByName(both[1]).drop("confidence")
-
-
-@query("SELECT 'text_clean' AS text_column")
-def f18_l10_text_column(spark, sf):
-    """The first preferred text column that all splits have."""
-    frames = [spark.range(1).selectExpr("id", *[f"'x' as {c}" for c in cols]) for cols in (("text_nosw", "text_clean"), ("text_clean", "text"), ("text", "text_clean"))]
-    return spark.range(1).select(F.lit(readers.text_column(frames, ["text_nosw", "text_clean", "text"])).alias("text_column"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranges import stored
+
 LABELLED = "post_id string, content string, label_from_content string, comment_ids string"
 CRAWLED = ("post_url string, post_id string, feedback_id string, post_content string, creation_time bigint, share_count bigint, comment_count bigint, "
            "reactions_detail map<string,bigint>, total_reactions bigint, page_name string, page_followers bigint")
@@ -36,20 +38,40 @@ def labelled_posts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.where(F.col("comment_ids").isNotNull()).drop("comment_ids")
 
 
-def crawled_posts(spark: SparkSession, folder: str, skip: str = "comments.json") -> DataFrame:
-    """Posts of all .json (one array each) and .jsonl files below a folder, with json_source; broken records are left out.
+def crawl(spark: SparkSession, folder: str, skip: str = "comments.json") -> tuple[DataFrame, DataFrame]:
+    """(posts, failures) of all .json files (one array each) and .jsonl files below a folder; names that contain ``skip`` are left out.
 
-    Files whose name contains ``skip`` are, too, as are posts without content.
+    posts: CRAWLED and json_source, of records with content. failures: file, reason, n_lost (records, 0 where they can't be told), a row for each file that
+    isn't whole. An array that can't be parsed gives no posts; lines are taken up to the first broken one; blank lines say nothing. What isn't an object
+    in an array is passed over. One bad file never hides another: both tables come from one parse, which executors do and store.
     """
-    def read(pattern, whole):
-        found = files(spark, folder, pattern)
-        if not found:
-            return spark.createDataFrame([], T._parse_datatype_string(CRAWLED + ", json_source string"))
-        raw = spark.read.schema(CRAWLED).json([f for f, *_ in found], multiLine=whole, mode="DROPMALFORMED")
-        return raw.withColumn("json_source", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    wanted = [f for f, *_ in files(spark, folder) if skip not in f.rsplit("/", 1)[-1]]
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    kinds = []
+    if arrays := [f for f in wanted if f.endswith(".json")]:
+        raw = spark.read.text(arrays, wholetext=True).select(name.alias("file"), "value", F.json_array_length("value").alias("n"), F.col("value").rlike(r"\]\s*$").alias("closed"))
+        fine = F.col("n").isNotNull() & F.col("closed")
+        reason = F.when(F.json_object_keys("value").isNotNull(), "not an array").when(~fine, "invalid JSON")
+        whole = F.when(fine & (F.col("n") > 0), F.from_json("value", "array<string>"))
+        kinds.append(raw.select("file", reason.alias("reason"), F.posexplode_outer(whole).alias("n", "record"), F.lit(0).cast("bigint").alias("start"), F.lit(False).alias("line")).withColumn("n", F.col("n").cast("bigint")))
+    if lines := [f for f in wanted if f.endswith(".jsonl")]:
+        # places rise inside a split, and splits by their start
+        raw = spark.read.text(lines).select(name.alias("file"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).where(F.col("value").rlike(r"\S"))
+        kinds.append(raw.select("file", F.when(F.json_object_keys("value").isNull(), "broken line").alias("reason"), "n", F.col("value").alias("record"), "start", F.lit(True).alias("line")))
+    if not kinds:
+        return spark.createDataFrame([], CRAWLED + ", json_source string"), spark.createDataFrame([], "file string, reason string, n_lost bigint")
+    parsed = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
+    parsed = stored(parsed.withColumn("post", F.when(F.json_object_keys("record").isNotNull(), F.from_json("record", CRAWLED))), "crawl")
+    place = F.struct("start", "n")
+    failed = stored(parsed.where(F.col("reason").isNotNull()).groupBy("file").agg(F.min(F.struct(place.alias("at"), "reason")).alias("x")).select("file", "x.at", "x.reason"), "failed")
+    met = parsed.drop("reason").join(failed.select("file", "at"), "file", "left")  # files that failed
+    posts = met.where((F.col("at").isNull() | (F.col("line") & (place < F.col("at")))) & (F.col("post.post_content") != "")).select("post.*", F.col("file").alias("json_source"))
+    lost = met.where(F.col("line") & (place >= F.col("at"))).groupBy("file").agg(F.count("*").alias("n_lost"))
+    return posts, failed.join(lost, "file", "left").select("file", "reason", F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
 
-    both = read(r"\.json$", True).unionByName(read(r"\.jsonl$", False))
-    return both.where(~F.contains("json_source", F.lit(skip)) & F.col("post_content").isNotNull() & (F.col("post_content") != ""))
+
+def crawled_posts(spark: SparkSession, folder: str, skip: str = "comments.json") -> DataFrame:
+    return crawl(spark, folder, skip)[0]
 
 
 def files(spark: SparkSession, folder: str, pattern: str = ".*") -> list[tuple[str, int, int]]:
@@ -75,7 +97,9 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def split_paths(spark: SparkSession, folder: str) -> dict[str, str]:
     """The shallowest file of each split, told by its stem; an error if one of the three is missing."""
     found: dict[str, str] = {}
-    for path, *_ in sorted(files(spark, folder), key=lambda f: (f[0].count("/"), f[0])):
+    # a folder of part files is one file
+    paths = {re.sub(r"(\.\w+)/(part-|_)[^/]*$", r"\1", f) for f, *_ in files(spark, folder)}
+    for path in sorted(paths, key=lambda f: (f.count("/"), f)):
         stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
         for s in SPLITS:
             if re.search(rf"(^|[_\-.]){s}([_\-.]|$)", stem):
@@ -108,7 +132,7 @@ STANDARD_WORDS = [
 
 
 def dictionary(spark: SparkSession, path: str, blacklist: list[str] = STANDARD_WORDS) -> DataFrame:
-    """word, candidates, details of a JSON map, without blacklisted words (compared in lower case).
+    """word, candidates, details of a JSON map, or of all files of a folder, without blacklisted words (compared in lower case).
 
     details are read from either of the shapes that entries have: a response with one or more ``normalized`` records, the same
     below the word itself, or a list of such responses.

@@ -24,14 +24,30 @@ def to_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, order: list[str], bold: Column | None = None, most: int = 1000) -> DataFrame:
-    """markdown: the first rows of a report table as text. Doubles have four places, nulls are empty, pipes are escaped."""
-    def cell(c, t):
-        text = F.format_string("%.4f", c) if t in ("double", "float") else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
+def markdown_line(df: DataFrame, columns: list[str], bold: Column | None = None) -> Column:
+    """A row as a line of a Markdown table. Doubles have four places, nulls are empty, pipes are escaped; cells of rows where bold holds are in bold."""
+    kinds = dict(df.dtypes)
+
+    def cell(c):
+        text = F.format_string("%.4f", c) if kinds[c] in ("double", "float") else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
         text = F.coalesce(F.when(F.col(c).isNotNull(), text), F.lit(""))
-        return text if bold is None else F.when(bold, F.concat(F.lit("**"), text, F.lit("**"))).otherwise(text)
+        return text if bold is None else F.when(bold & (text != ""), F.concat(F.lit("**"), text, F.lit("**"))).otherwise(text)
+
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+
+
+def markdown_head(columns: list[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
 
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c, t) for c, t in df.dtypes]), F.lit(" |"))
-    head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    rows = df.orderBy(*order).limit(most).select(F.struct(*order, line.alias("__line")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    return rows.select(F.concat_ws("\n", F.lit(head), F.array_join(F.transform("rows", lambda r: r["__line"]), "\n")).alias("markdown"))
+
+def to_markdown(df: DataFrame, path: str, order: list[str], columns: list[str] | None = None, bold: Column | None = None) -> None:
+    """The whole table as text files whose names follow the order; the head is in a file of its own, which comes first."""
+    columns = columns or df.columns
+    df.sparkSession.createDataFrame([("\n".join(markdown_head(columns)),)], "value string").coalesce(1).write.text(f"{path}/0-head")
+    df.orderBy(*order).select(markdown_line(df, columns, bold).alias("value")).write.text(f"{path}/1-rows")
+
+
+def markdown(df: DataFrame, order: list[str], bold: Column | None = None, most: int = 1000) -> DataFrame:
+    """markdown: the first rows of a report table as one text."""
+    rows = df.orderBy(*order).limit(most).select(F.struct(*order, markdown_line(df, df.columns, bold).alias("__line")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    return rows.select(F.concat_ws("\n", *[F.lit(x) for x in markdown_head(df.columns)], F.array_join(F.transform("rows", lambda r: r["__line"]), "\n")).alias("markdown"))

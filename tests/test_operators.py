@@ -134,6 +134,19 @@ def test_candidates():
     assert len(deep) == 40 and deep == learning.candidates("LogisticRegression", grid, texts, deep=True)
 
 
+def test_picked_settings_are_distinct_and_cost_what_is_picked():
+    axes = [list("abc"), [1, 2], [True, False, None], list(range(5))]
+    import itertools
+
+    assert [learning.settings(k, axes) for k in range(90)] == [list(v) for v in itertools.product(*axes)]
+    for n in (41, 64, 90, 97, 10**30):
+        got = learning.picked(n, 40, 7)
+        assert len(set(got)) == 40 and got == sorted(got) == learning.picked(n, 40, 7) and 0 <= got[0] and got[-1] < n and got != learning.picked(n, 40, 8)
+    assert learning.picked(30, 40, 7) == list(range(30)) and learning.picked(90, 12, None) == list(range(12))
+    huge = learning.candidates("LinearSVC", {f"p{k}": list(range(100)) for k in range(20)}, {}, deep=True)
+    assert len({tuple(c.values()) for c in huge}) == 45
+
+
 def test_failed_fits(spark):
     rows = [(k, f"{'alpha beta' if k % 2 else 'gamma delta'} w{k}", "AB"[k % 2]) for k in range(40)]
     df = spark.createDataFrame(rows, "record_id bigint, text string, y_true string").cache()
@@ -182,6 +195,58 @@ def test_nearest_matches_brute_force(spark):
         assert got == {k: int(c[k].argmax()) for k in range(0, 60, 5)}
 
 
+def clustered(n, d, groups, seed=5, copies=0):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(groups, d))[rng.integers(0, groups, n)] + rng.normal(size=(n, d)) * 0.15
+    m[:copies] = m[0]
+    return m.astype(np.float32)
+
+
+def best(m, ids):
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    out = {}
+    for k in ids:
+        c = np.round(u @ u[k], 9)
+        c[k] = -2
+        out[k] = int(c.argmax())
+    return out
+
+
+@pytest.mark.parametrize("copies,block", [(0, 64), (150, 16), (400, 2048)])
+def test_the_index_is_exact_on_clusters_and_copies(spark, copies, block):
+    m = clustered(450, 12, 9, copies=copies)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id bigint, v array<float>").repartition(4)
+    got = {r["query"]: r.vec for r in similarity.nearest(df.where("id % 7 = 0"), df, "id", "v", block, cells=12).collect()}
+    assert got == best(m, range(0, 450, 7))
+
+
+def test_few_probes_find_most(spark):
+    m = clustered(900, 16, 20)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id bigint, v array<float>").repartition(4)
+    want = best(m, range(0, 900, 20))
+    found = {r["query"]: r.vec for r in similarity.nearest(df.where("id % 20 = 0"), df, "id", "v", cells=40, probes=6).collect()}
+    recall = sum(found.get(k) == v for k, v in want.items()) / len(want)
+    assert recall >= 0.9, recall
+
+
+def test_nearest_of_nothing(spark):
+    none = spark.createDataFrame([], "id bigint, v array<float>")
+    one = spark.createDataFrame([(1, [1.0, 2.0])], "id bigint, v array<float>")
+    assert similarity.nearest(none, none, "id", "v").count() == 0 and similarity.nearest(one, one, "id", "v").count() == 0 and similarity.nearest(none, one, "id", "v").count() == 0
+
+
+def test_pruned_cells_are_not_visited():
+    at = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
+    import pyarrow as pa
+
+    class Sent:
+        value = at
+
+    row = pa.RecordBatch.from_arrays([pa.array([[1.0, 0.1]], pa.list_(pa.float64())), pa.array([7]), pa.array([7]), pa.array([0], pa.int32()), pa.array([0.2])], names=["v", "q", "gid", "cell", "reach"])
+    run = lambda reach, probes=None: [(c, p) for b in similarity.visits(Sent, {0: 2, 1: 3, 2: 1}, {0: 0.5, 1: 0.3, 2: 0.1}, False, probes)([row.set_column(4, "reach", pa.array([reach]))]) for c, p in zip(b.column("cell").to_pylist(), b.column("part").to_pylist())]
+    assert run(0.2) == [] and run(1.2) == [(1, 0), (1, 1), (1, 2)] and {c for c, _ in run(9.0)} == {1, 2} and {c for c, _ in run(9.0, 2)} == {1}
+
+
 def test_exact_groups(spark):
     left = spark.createDataFrame([(1, "A b"), (2, "c"), (3, "ab")], "i int, t string")
     right = spark.createDataFrame([(7, "ab"), (5, "AB "), (6, "x")], "j int, u string")

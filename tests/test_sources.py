@@ -94,11 +94,97 @@ def test_stream_appends_each_key_once(spark, tmp_path):
 
 
 def test_posts_without_address_and_text_are_appended_once(spark, tmp_path):
-    from reactrix.sources.readers import CRAWLED
-    from reactrix.streaming.incremental import append_new
-
-    target = str(tmp_path / "posts")
-    write = append_new(target)
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for k in range(2):
-        write(spark.createDataFrame([(str(k),)], "post_id string").select(*[(F.col("post_id") if f.name == "post_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in (CRAWLED.fields if hasattr(CRAWLED, "fields") else spark.createDataFrame([], CRAWLED).schema.fields)]), k)
-    assert [r.post_key for r in spark.read.parquet(target).collect()] == [""]
+        spark.createDataFrame([(str(k),)], "post_id string").write.mode("append").json(folder)
+        incremental.ingest(spark, folder, out, state).awaitTermination()
+    assert [(r.post_key, r.post_id) for r in spark.read.parquet(out).collect()] == [("", "0")]
+
+
+def test_batches_never_read_what_was_written(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    posts = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("post_id"), F.concat(F.lit("u"), "id").alias("post_url"), F.lit("t").alias("post_content"))
+    posts(0, 500).write.json(folder)
+    first = incremental.ingest(spark, folder, out, state)
+    first.awaitTermination()
+    for f in (tmp_path / "out").glob("*.parquet"):  # the target is gone, what was seen is not
+        f.unlink()
+    posts(490, 520).write.mode("append").json(folder)
+    query = incremental.ingest(spark, folder, out, state)  # a new run goes on from the checkpoint
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in first.recentProgress) == 500 and sum(p["numInputRows"] for p in query.recentProgress) == 30
+    assert sorted(int(r.post_id) for r in spark.read.schema("post_id string").parquet(*map(str, (tmp_path / "out").glob("*.parquet"))).collect()) == list(range(500, 520))
+
+
+def test_the_first_of_a_batchs_equal_posts_by_time_then_id(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.createDataFrame([("3", "u", None), ("2", "u", 7), ("1", "u", 8), ("0", "u", 7)], "post_id string, post_url string, creation_time bigint").repartition(3).write.json(folder)
+    incremental.ingest(spark, folder, out, state).awaitTermination()
+    assert [r.post_id for r in spark.read.parquet(out).collect()] == ["0"]
+
+
+def test_pages_stop_after_three_old_posts_in_a_row_over_batches(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    marks = {"a": "nnoonoonnooonn", "b": "ooonnn", "c": "nonononooxoonnn", "d": "n"}  # n: new, o: old, x: new but not to keep
+    rows = [(page, k, m == "o", m == "n") for page, said in marks.items() for k, m in enumerate(said)]
+    schema = "page string, k int, old boolean, keep boolean"
+    for part in ([r for r in rows if r[1] < 9], [r for r in rows if 9 <= r[1] < 12], [r for r in rows if r[1] >= 12]):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").json(folder)
+        stream = incremental.follow_pages(spark.readStream.schema(schema).json(folder), "page", ["k"], F.col("old"), F.col("keep"))
+        incremental.append(stream, out, state).awaitTermination()
+    want = []
+    for page, said in marks.items():
+        run = 0
+        for k, m in enumerate(said):
+            run = run + 1 if m == "o" else 0
+            if run == 3:
+                break
+            if m == "n":
+                want.append((page, k))
+    assert sorted((r.page, r.k) for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
+def test_crawl_names_the_files_that_fail(spark, tmp_path):
+    post = lambda k: json.dumps({"post_id": str(k), "post_content": f"text\n{k}"})
+    made = {
+        "good.json": f"[{post(1)}, 5, \"x\", null, [1], {post(2)}]\n", "empty.json": "[]", "cut.json": f"[{post(3)}, {post(4)[:9]}", "object.json": post(5), "words.json": "no json", "tail.json": f"[{post(6)}] and more",
+        "lines.jsonl": "\n".join([post(7), "", post(8), "{broken", post(9), post(10)]), "array.jsonl": f"{post(11)}\n[1]\n{post(12)}", "fine.jsonl": post(13) + "\n\n", "my_comments.json": f"[{post(14)}]", "none.json": json.dumps([{"post_id": "15"}, {"post_content": ""}])}
+    (tmp_path / "deep").mkdir()
+    for k, (name, text) in enumerate(made.items()):
+        (tmp_path / ("deep" if k % 2 else ".") / name).write_text(text)
+    posts, failures = readers.crawl(spark, str(tmp_path))
+    assert sorted((int(r.post_id), r.json_source) for r in posts.collect()) == [(1, "good.json"), (2, "good.json"), (7, "lines.jsonl"), (8, "lines.jsonl"), (11, "array.jsonl"), (13, "fine.jsonl")]
+    assert {tuple(r) for r in failures.collect()} == {
+        ("cut.json", "invalid JSON", 0), ("object.json", "not an array", 0), ("words.json", "invalid JSON", 0), ("tail.json", "invalid JSON", 0), ("lines.jsonl", "broken line", 3), ("array.jsonl", "broken line", 2)}
+    (tmp_path / "nothing").mkdir()
+    assert all(d.count() == 0 for d in readers.crawl(spark, str(tmp_path / "nothing")))
+
+
+def test_a_long_file_of_lines_is_taken_up_to_its_first_broken_line(spark, tmp_path):
+    lines = [json.dumps({"post_id": str(k), "post_content": "x" * 200}) for k in range(4000)]
+    lines[2500], lines[3000] = "broken", "broken too"
+    (tmp_path / "long.jsonl").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")  # many splits
+    try:
+        posts, failures = readers.crawl(spark, str(tmp_path))
+        assert sorted(int(r.post_id) for r in posts.collect()) == list(range(2500))
+        assert [tuple(r) for r in failures.collect()] == [("long.jsonl", "broken line", 1500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_folders_of_part_files_are_splits(spark, tmp_path):
+    for name in ("a_train.csv", "deep/train.csv", "val-1.csv", "my.test.csv", "latest.csv"):
+        sinks.to_csv(spark.range(10).repartition(2), str(tmp_path / name))
+    assert {k: v.rsplit("/", 1)[-1] for k, v in readers.split_paths(spark, str(tmp_path)).items()} == {"train": "a_train.csv", "val": "val-1.csv", "test": "my.test.csv"}
+
+
+def test_markdown_of_a_whole_table(spark, tmp_path):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("a|"), "id").alias("t"), F.when(F.col("id") > 0, F.col("id") / 2).alias("v")).repartition(5)
+    path = str(tmp_path / "table")
+    sinks.to_markdown(df, path, ["k"], bold=F.col("k") % 1000 == 0)
+    parts = [f.read_text() for f in sorted((tmp_path / "table").glob("*/part-*"))]
+    lines = "".join(parts).splitlines()
+    assert lines[:4] == ["| k | t | v |", "| --- | --- | --- |", "| **0** | **a\\|0** |  |", "| 1 | a\\|1 | 0.5000 |"]
+    assert len(lines) == 5002 and lines[-1] == "| 4999 | a\\|4999 | 2499.5000 |" and lines[1002] == "| **1000** | **a\\|1000** | **500.0000** |"
