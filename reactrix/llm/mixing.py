@@ -19,6 +19,8 @@ take the same in each run; extra columns are left out (mix) or stay (attach); an
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ from .common import bounded, clean_of, in_ranges, materialize, packed, running,
 
 #: Words of a block.
 BLOCK = 1024
-#: Golden ratio of 2 ** 32: slot i is at the point (i * STEP mod 2 ** 32) / 2 ** 32.
-STEP, UNIT = 2654435769, 1 << 32
+#: Golden ratio of 2 ** 62, odd: slot i is at the point (i * STEP mod 2 ** 62) / 2 ** 62, and no two slots are at one.
+UNIT = 1 << 62
+STEP = (isqrt(5 << 124) - UNIT) // 2 | 1
 #: Coarse parts of the unit interval on which slots and sources meet by an equal key, at least; more for more sources.
 PARTS = 4096
 #: Slots of one chunk of the rank, and documents of one bucket of a stream as expected.
@@ -91,8 +94,19 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], bucket: str,
     return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__before", *[f"__{c}" for c in [*group, bucket]])
 
 
-def schedule(aims: DataFrame, slots: int) -> DataFrame:
-    """slot, source, rank: each slot's source by its golden-ratio point, and its rank among the source's slots. aims: a table."""
+def golden_point(slot: Column) -> Column:
+    """slot * STEP mod 2 ** 62 in halves of 31 bits: no product overflows, for any slot below 2 ** 62."""
+    half, mask = 31, F.lit((1 << 31) - 1)
+    high, low = F.shiftright(slot, half), slot.bitwiseAND(mask)
+    upper = (high * F.lit(STEP & ((1 << 31) - 1)) + low * F.lit(STEP >> half)).bitwiseAND(mask)
+    return (F.shiftleft(upper, half) + low * F.lit(STEP & ((1 << 31) - 1))).bitwiseAND(F.lit(UNIT - 1))
+
+
+def schedule(aims: DataFrame, slots: int, first: int = 0) -> DataFrame:
+    """slot, source, rank: each slot's source by its golden-ratio point, and its rank among the source's slots. aims: a table.
+
+    first: the slot to begin with. Slots go up to 2 ** 62, so the words have no bound but that of a long.
+    """
     spark = aims.sparkSession
     aimed = materialize(aims.select("source", aimed_words().alias("words")).where("words > 0"), "aimed")
     n, total = aimed.agg(F.count("*"), F.sum("words")).first()
@@ -102,7 +116,7 @@ def schedule(aims: DataFrame, slots: int) -> DataFrame:
     parts = max(PARTS, 1 << min(31, n.bit_length()))
     wide = UNIT // parts
     edges = materialize(edges.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))).alias("part")), "edges")
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * STEP) % UNIT).alias("point")).withColumn("part", F.floor(F.col("point") / wide))
+    points = spark.range(first, first + slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("part", F.floor(F.col("point") / wide))
     placed = points.join(bounded(edges, edges.count()), "part").where("point >= lo and point < hi").select("slot", "source", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.lit(1).cast("long").alias("one"))
     return prefix_sums(placed, ["source"], ["slot"], "chunk", "one", "rank").select("slot", "source", "rank")
 
@@ -173,7 +187,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = (1, 2, 3
 
 
 def attach(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs that the mix takes words of, with size, source_size, target and taken, which win over columns of such names.
+    """docs that the mix takes words of, with size, source_size, target and taken; its own columns of such names are called own_size and so on.
 
     The mix's rows are reduced to what distinguishes the documents of a source: those before one place of the shuffled order have given a lap
     more than those behind it, and what is at it a part. The texts are read once more by that and go nowhere. Rows alike at that place share its part.
@@ -190,7 +204,7 @@ def attach(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = (1, 2
     at = mixed.join(bounded(edge, n), F.col("source").eqNullSafe(F.col("at_source")) & (F.col("place") == F.col("edge"))).groupBy("at_source", "edge").agg(F.sum("taken").alias("given"), F.sum("size").alias("tied"))
     ends = materialize(laps.join(at, F.col("of_source").eqNullSafe(F.col("at_source")), "left").drop("at_source"), "ends")
     added = ["size", "source_size", "target", "taken"]
-    docs = docs.drop(*added)
+    docs = docs.withColumnsRenamed({c: f"own_{c}" for c in added})
     rows = docs.select(packed(docs), "source", "doc_id", text_key(F.col("text")).alias("h"), word_total(F.col("text")).alias("size"))
     rows = rows.withColumn("place", shuffled_place("doc_id", "h")).join(bounded(ends, ends.count()), same, "left")
     part = F.when(F.col("place") < F.col("edge"), (F.col("laps") + 1) * F.col("size")).when(F.col("place") == F.col("edge"), F.floor(F.col("size") * F.col("given") / F.col("tied"))).otherwise(F.col("laps") * F.col("size"))

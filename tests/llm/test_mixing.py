@@ -83,6 +83,30 @@ def M_key(r):
     return r[0], r[1]
 
 
+def test_points_are_exact_for_all_slots(spark):
+    ids = [*range(50), *((1 << k) + d for k in (31, 32, 33, 45, 61) for d in (-1, 0, 1, 12345)), (1 << 62) - 1, 3_474_701_534]
+    got = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", M.golden_point(F.col("i")).alias("p")).collect()
+    assert [(r.i, r.p) for r in got] == [(i, i * M.STEP % M.UNIT) for i in ids]
+    assert abs(M.STEP / M.UNIT - (5**0.5 - 1) / 2) < 1e-15
+
+
+def test_schedule_far_beyond_32_bits(spark):
+    aims = spark.createDataFrame([("a", 1000.0), ("b", 2500.0), (None, 300.0), ("c", 1.0)], "source string, target double")
+    first, n = (1 << 33) + 17, 4000
+    got = sorted(map(tuple, M.schedule(aims, n, first).collect()))
+    edges, at = [], 0
+    for s, words in (("a", 1000), ("b", 2500), ("c", 1), (None, 300)):
+        edges.append((round(at / 3801 * M.UNIT), round((at + words) / 3801 * M.UNIT), s))
+        at += words
+    ranks, want = defaultdict(int), []
+    for i in range(first, first + n):
+        point = i * M.STEP % M.UNIT
+        s = next(s for lo, hi, s in edges if lo <= point < hi)
+        want.append((i, s, ranks[s]))
+        ranks[s] += 1
+    assert got == want
+
+
 def test_targets_and_reruns(spark):
     data = rows()
     got = M.digest(frame(spark, data)).collect()
@@ -119,7 +143,7 @@ def test_many_small_sources_and_ranges(spark, monkeypatch):
 def test_attach_keeps_columns(spark):
     df = frame(spark, rows())
     out = M.attach(df)
-    assert set(df.columns) - {"h", "size"} <= set(out.columns) and out.where("taken <= 0").count() == 0
+    assert (set(df.columns) - {"size"}) | {"own_size"} <= set(out.columns) and {r.own_size for r in out.collect()} == {"x"} and out.where("taken <= 0").count() == 0
     by_source = lambda x: {r.source: r.n for r in x.groupBy("source").agg(F.sum("taken").alias("n")).collect() if r.n}
     mixed = M.mix(df)
     # rows alike share an edge in whole words, so a few words can be missing
