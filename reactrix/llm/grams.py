@@ -295,14 +295,25 @@ def char_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["code", "n"])
 
 
+def spelled(t: np.ndarray) -> np.ndarray:
+    """Token numbers, where a negative one stands for two: - (first << 13 | second)."""
+    two = t < 0
+    if not two.any():
+        return t
+    out = np.repeat(t, 1 + two)
+    at = np.flatnonzero(two) + np.arange(two.sum())
+    out[at], out[at + 1] = -t[two] >> 13, -t[two] & 8191
+    return out
+
+
 def tokens(text: str, vocabulary: np.ndarray, context: int):
     """Arrays of token numbers of a text, piece by piece, each led by its context; 0 is the start, 1 any other character."""
     low = text.lower()
     for a in range(0, max(1, len(low)), PIECE):
-        lead = low[max(0, a - context) : a]
-        c = codes(lead + low[a : a + PIECE])
-        t = vocabulary[np.minimum(c, len(vocabulary) - 1)]
-        yield np.concatenate((np.zeros(context - len(lead), t.dtype), t))
+        lead = spelled(vocabulary[np.minimum(codes(low[max(0, a - context) : a]), len(vocabulary) - 1)])
+        lead = lead[max(0, len(lead) - context) :]
+        t = spelled(vocabulary[np.minimum(codes(low[a : a + PIECE]), len(vocabulary) - 1)])
+        yield np.concatenate((np.zeros(context - len(lead), t.dtype), lead, t))
 
 
 def gram_cells(t: np.ndarray, size: int, order: int) -> np.ndarray:

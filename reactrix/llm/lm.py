@@ -8,8 +8,8 @@ Both vocabulary and counts are gathered from every document into distributed tab
 the n-grams that the corpus has. Losses of the most frequent n-grams, as many as may be broadcast, are added up where a document is read;
 those of all others are joined to it by n-gram.
 
-N-grams have five characters, or as many as have a number of 62 bits: with more than some five thousand distinct characters, each of which
-says more, four or three.
+N-grams have five tokens, whatever the corpus. The SINGLE most frequent characters are a token each; every other character is two, so that all of Unicode has
+some five thousand tokens, and five of them a number of 62 bits. Losses are per token.
 
 Defined results: null and empty texts have no tokens and null losses and score; repeated rows get equal results and count as often as they occur; with no target
 document the target model is uniform; of equally frequent characters the least code point is numbered first, which changes no result; very long texts are read whole, in pieces;
@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(grams)
 ORDER, STRENGTH = 5, 5.0
 #: N-grams whose losses may be broadcast.
 SHARED_GRAMS = 1 << 20
+#: Characters that are one token, the most frequent ones; others are one of PAIR first tokens and one of PAIR second ones, at most.
+SINGLE, PAIR = 3072, 1056
 
 
 def train(docs: DataFrame, size: int | None = None, order: int = ORDER):
@@ -46,10 +48,12 @@ def train(docs: DataFrame, size: int | None = None, order: int = ORDER):
     # there are 0x110000 code points at most
     common = (ranked if size is None else ranked.limit(size)).select("code").toArrow()["code"].to_numpy()
     table = np.ones(max(127, common.max(initial=0)) + 2, np.int32)
-    table[common] = np.arange(2, len(common) + 2)
-    tokens = len(common) + 2
-    while tokens**order >= 1 << 62:  # three always fit
-        order -= 1
+    table[common[:SINGLE]] = np.arange(2, len(common[:SINGLE]) + 2)
+    rare = np.arange(len(common[SINGLE:]))
+    first = 2 + len(common[:SINGLE])
+    second = first + -(-len(rare) // PAIR)
+    table[common[SINGLE:]] = -((first + rare // PAIR) << 13 | (second + rare % PAIR))  # two tokens, see grams.spelled()
+    tokens = second + min(PAIR, len(rare))
     cells = rows.mapInArrow(grams.gram_counts(table, tokens, order), "cell bigint, target bigint, background bigint")
     cells = materialize(summed(cells, F.col("cell")).withColumnRenamed("gram", "cell"), "grams")
     levels = []
@@ -69,6 +73,11 @@ def priced(cells: DataFrame, tokens: int, levels) -> DataFrame:
     names = ("target", "background")
     p = {}
     for n, (level, contexts) in enumerate(levels, 1):
+        # one context of order 1, and as many n-grams of order 1 and contexts of order 2 as there are tokens: a few thousand, one of them in every row
+        if n == 1:
+            level = F.broadcast(level)
+        if n <= 2:
+            contexts = F.broadcast(contexts)
         own = level.select(F.col("gram").alias("__g"), *[F.col(x).alias(f"__c_{x}") for x in names])
         context = contexts.select(F.col("gram").alias("__o"), *[F.col(x).alias(f"__t_{x}") for x in names])
         gram = F.col("cell") % tokens**n

@@ -189,6 +189,73 @@ def test_language_model_joins_grams_beyond_the_broadcast(spark, monkeypatch):
     check_open_model(spark)
 
 
+@pytest.mark.parametrize("single,pair", [(5, 40), (40, 18)])
+def test_rare_characters_are_two_tokens_at_the_same_order(spark, monkeypatch, single, pair):
+    docs = scripts()
+    monkeypatch.setattr(lm, "SINGLE", single)
+    monkeypatch.setattr(lm, "PAIR", pair)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, target boolean")
+    model = lm.train(df)
+    tokens = lambda t: [x for c in t.lower() for v in [int(model[0][ord(c)])] for x in ([v] if v > 0 else [-v >> 13, -v & 8191])]
+    letters = {c for _, t, _ in docs for c in (t or "").lower()}
+    spelt = {tuple(tokens(c)) for c in letters}
+    assert len(spelt) == len(letters) and sum(len(x) == 1 for x in spelt) == single and max(max(x) for x in spelt) == model[1] - 1
+    assert not {x[0] for x in spelt if len(x) == 1} & {y for x in spelt if len(x) == 2 for y in x}
+    # a text of tokens is told by private letters, so that the plain version sees one letter for a token
+    as_text = lambda t: "".join(chr(0xE000 + x) for x in tokens(t))
+    vocabulary = {chr(0xE000 + x): x for x in range(2, model[1])}
+    got = {r.doc_id: r for r in lm.score(df, model, counted=True).collect()}
+    of_target, of_all = [as_text(t) for _, t, y in docs if y and t], [as_text(t) for _, t, _ in docs if t]
+    for d in (0, 101, 205):
+        text = as_text(next(t for i, t, _ in docs if i == d))
+        assert got[d].n_tokens == len(text) and len(model[2]) == lm.ORDER
+        assert (got[d].target_loss, got[d].background_loss) == pytest.approx(tuple(slow_loss(x, text, model[1], lm.ORDER, lm.STRENGTH, vocabulary) for x in (of_target, of_all)), abs=1e-5)
+
+
+def test_the_order_is_the_same_with_thousands_of_characters(spark):
+    docs = [(k, prose(k, 30), k % 2 == 0) for k in range(12)]
+    wide = [(500 + k, "".join(chr(0x4E00 + 300 * k + j) for j in range(300)), False) for k in range(20)]
+    few, many = (lm.train(spark.createDataFrame(x, "doc_id bigint, text string, target boolean")) for x in (docs, docs + wide))
+    assert len(few[2]) == len(many[2]) == lm.ORDER and many[1] < 5404 < len(wide) * 300 and many[1] ** lm.ORDER < 1 << 62
+    every = -(-(0x110000 - lm.SINGLE) // lm.PAIR)
+    assert every <= lm.PAIR and (2 + lm.SINGLE + every + lm.PAIR) ** lm.ORDER < 1 << 62 and 2 + lm.SINGLE + every + lm.PAIR < 1 << 13
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, target boolean")
+    score = lambda m: [r.score for r in lm.score(df, m).orderBy("doc_id").collect()]
+    assert np.corrcoef(score(few), score(many))[0, 1] > 0.99
+
+
+def test_long_texts_keep_their_context_over_pieces(monkeypatch):
+    table = np.ones(300, np.int32)
+    table[97:120] = np.arange(2, 25)
+    table[120:123] = [-(30 << 13 | 40), -(30 << 13 | 41), -(31 << 13 | 40)]
+    text = "axbyczabcxyz" * 9
+    whole = np.concatenate([grams.gram_cells(t, 50, 5) for t in grams.tokens(text, table, 4)])
+    monkeypatch.setattr(grams, "PIECE", 7)
+    assert np.array_equal(whole, np.concatenate([grams.gram_cells(t, 50, 5) for t in grams.tokens(text, table, 4)]))
+
+
+def test_language_fit_is_bounded_and_equals_a_plain_one(spark, monkeypatch):
+    rng = random.Random(8)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 7))) for _ in range(15)] for k in range(40)}
+    rows = [(k * 40 + j, " ".join(rng.choice(words[c]) for _ in range(30)), c, "a", 1) for k in range(30) for j, c in enumerate(words)]
+    monkeypatch.setattr(langid, "SAMPLE", 400)
+    monkeypatch.setattr(langid, "MARKS", 120)
+    monkeypatch.setattr(langid, "ROWS", 64)
+    docs = frame(spark, rows)
+    packed, solved, names = langid.train(docs)
+    assert names == sorted(words) and len(packed) <= 120 and solved.shape == (len(packed), 40)
+    got = {r.doc_id: r for r in langid.identify(docs, (packed, solved, names)).collect()}
+    held = [r for r in got.values() if r.held_out]
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.9
+    # presence kernel, landmarks and argmax, one text at a time
+    marks = [set(np.flatnonzero(np.unpackbits(m))) for m in packed]
+    for doc_id, text, *_ in rows[::97]:
+        own = set(np.flatnonzero(grams.presence_matrix([text], langid.ORDERS, langid.BITS)[0]))
+        similar = np.array([len(own & m) / np.sqrt(len(own) * len(m)) for m in marks])
+        assert got[doc_id].lang_pred == names[int(np.argmax(similar @ solved))]
+
+
 def test_gram_counts_are_handed_on_whole():
     import pyarrow as pa
 
