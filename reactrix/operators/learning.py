@@ -7,20 +7,24 @@ import math
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluation
+from . import boosting, evaluation
 from .ranking import best_in_group
 from .ranges import stored
 from .vectors import Vectorizer
 
+#: What makes a fit fail; anything else, such as a lost executor, is no candidate's fault and ends the run.
+FAILURES = (IllegalArgumentException, AnalysisException, ValueError)
+
 # Most candidates of a model in the quick and in the deep search.
-MOST = {"LogisticRegression": 12, "LinearSVC": 12, "RandomForest": 6, "GradientBoosting": 6}
-MOST_DEEP = {"LogisticRegression": 40, "LinearSVC": 45, "RandomForest": 18, "GradientBoosting": 18}
+MOST = {"LogisticRegression": 12, "LinearSVC": 12, "RandomForest": 6, "GradientBoosting": 6, "SoftmaxBoosting": 6}
+MOST_DEEP = {"LogisticRegression": 40, "LinearSVC": 45, "RandomForest": 18, "GradientBoosting": 18, "SoftmaxBoosting": 18}
 
 
 def settings(ordinal: int, axes: list[list]) -> list:
@@ -69,9 +73,9 @@ TEXT = ("analyzer", "ngram_range", "min_df", "max_df", "max_features", "sublinea
 
 def estimator(model: str, **p):
     if model == "LogisticRegression":
-        return LogisticRegression(weightCol="weight", maxIter=p.get("max_iter", 50), regParam=1.0 / p.get("C", 1.0) / 100)
+        return LogisticRegression(weightCol="weight", maxIter=p.get("max_iter", 50), tol=p.get("tol", 1e-6), regParam=1.0 / p.get("C", 1.0) / 100)
     if model == "LinearSVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=p.get("max_iter", 50), regParam=1.0 / p.get("C", 1.0) / 100), weightCol="weight")
+        return OneVsRest(classifier=LinearSVC(maxIter=p.get("max_iter", 50), tol=p.get("tol", 1e-6), regParam=1.0 / p.get("C", 1.0) / 100), weightCol="weight")
     if model == "RandomForest":
         return RandomForestClassifier(weightCol="weight", numTrees=p.get("n_estimators", 50), maxDepth=p.get("max_depth", 8), seed=42)
     return GBTClassifier(weightCol="weight", maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 4), stepSize=p.get("learning_rate", 0.1), seed=42)
@@ -85,10 +89,14 @@ class Classifier:
     labels: list[str]
     models: list
     each: bool = False
+    #: Iterations after which the solver was stopped without having converged; 0 if it has.
+    stopped: int = 0
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with features, the label number ``prediction``, and ``scores``, one for each label, where the model has scores."""
-        rows = self.texts.transform(rows)
+        columns, rows = rows.columns, self.texts.transform(rows)
+        if isinstance(self.models[0], boosting.Boosted):
+            return boosting.transform(self.models[0], rows, *columns).withColumn("prediction", F.col("prediction").cast("double"))
         if self.each:  # the label whose own model is surest
             for k, m in enumerate(self.models):
                 rows = m.setFeaturesCol("features").setPredictionCol("__p").setProbabilityCol("__of").setRawPredictionCol("__raw").transform(rows)
@@ -101,30 +109,51 @@ class Classifier:
         return rows.withColumn("scores", vector_to_array(score)) if score in rows.columns else rows
 
 
+def stopped_at(fitted, most: int) -> int:
+    """most, if a linear model's solver has used up so many iterations (its training summary tells); else 0."""
+    own = fitted.models if hasattr(fitted, "models") else [fitted]
+    told = [m.summary() if callable(m.summary) else m.summary for m in own if m.hasSummary]
+    return most if any(x.totalIterations >= most for x in told) else 0
+
+
 def train_one(model: str, train: DataFrame, val: DataFrame | None, p: dict) -> Classifier:
     """The features and the model, fitted to train. Boosted trees stop early on val, if it is given: once the loss on it
     falls by less than ``tolerance`` (0.01) from one tree to the next."""
     texts = Vectorizer(train, "text", **{k: v for k, v in p.items() if k in TEXT})
     index = StringIndexer(inputCol="y_true", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    rows = train if model != "GradientBoosting" or val is None else train.withColumn("held", F.lit(False)).unionByName(val.join(F.broadcast(train.select("y_true", "weight").distinct()), "y_true").withColumn("held", F.lit(True)), allowMissingColumns=True)
+    rows = train.withColumn("held", F.lit(False)) if not model.endswith("Boosting") or val is None else train.withColumn("held", F.lit(False)).unionByName(val.join(F.broadcast(train.select("y_true", "weight").distinct()), "y_true").withColumn("held", F.lit(True)), allowMissingColumns=True)
     rows = stored(index.transform(texts.transform(rows)), "features")
-    how = estimator(model, **{k: v for k, v in p.items() if k not in TEXT})
+    own = {k: v for k, v in p.items() if k not in TEXT}
+    if model == "SoftmaxBoosting":
+        names = {"n_estimators": "rounds", "max_depth": "depth", "learning_rate": "rate"}
+        return Classifier(texts, index.labels, [boosting.fit(rows, len(index.labels), **{names.get(k, k): v for k, v in own.items()})])
+    how = estimator(model, **own)
     if model != "GradientBoosting":
-        return Classifier(texts, index.labels, [how.fit(rows)])
+        fitted = how.fit(rows)
+        return Classifier(texts, index.labels, [fitted], stopped=0 if model == "RandomForest" else stopped_at(fitted, p.get("max_iter", 50)))
     if val is not None:
         how.setValidationIndicatorCol("held").set(how.validationTol, p.get("tolerance", 0.01))
     models = [how.fit(rows.withColumn("label", (F.col("label") == k).cast("double"))) for k in range(len(index.labels))]
     return Classifier(texts, index.labels, models, each=True)
 
 
+def settled(model: str, train: DataFrame, val: DataFrame | None, p: dict) -> tuple[Classifier, str]:
+    """(classifier, note). A linear model whose solver hasn't converged is fitted once more, with four times the iterations and a looser tolerance; the note says so."""
+    first = train_one(model, train, val, p)
+    if not first.stopped:
+        return first, ""
+    second = train_one(model, train, val, p | {"max_iter": 4 * first.stopped, "tol": 1e-4})
+    return second, f"not converged after {first.stopped} iterations; fitted again with {4 * first.stopped}: {'not converged' if second.stopped else 'converged'}"
+
+
 def fit(model: str, train: DataFrame, val: DataFrame | None = None, **p) -> tuple[Classifier, str]:
-    """(classifier, note). A fit that fails is tried once more with plainer features and more iterations."""
+    """(classifier, note). A fit that fails is tried once more with plainer features and more iterations, one that doesn't converge with another solver setting."""
     rows = weighted(train)
     try:
-        return train_one(model, rows, val, p), ""
-    except Exception as e:
+        return settled(model, rows, val, p)
+    except FAILURES as e:
         plain = p | {"min_df": 1, "max_df": 1.0, "ngram_range": (1, 1), "max_iter": 2 * p.get("max_iter", 50)}
-        return train_one(model, rows, val, plain), f"fallback after {type(e).__name__}"
+        return train_one(model, rows, val, plain if model in ("LogisticRegression", "LinearSVC") else {k: v for k, v in plain.items() if k != "max_iter"}), f"fallback after {type(e).__name__}"
 
 
 def repairs(finals: DataFrame, trials: DataFrame) -> DataFrame:
@@ -152,9 +181,10 @@ def trials(train: DataFrame, val: DataFrame, settings: dict[str, list[dict]], la
         for k, p in enumerate(tries):
             began = time.time()
             try:
-                m = evaluation.overall(predict(train_one(model, weighted(train), val, p), val), labels).first()
-                rows.append((f"{model}-{k}", model, str(p), float(m.macro_f1), float(m.weighted_f1), float(m.accuracy), time.time() - began, "success"))
-            except Exception as e:  # a failed candidate is a row, as a successful one is
-                rows.append((f"{model}-{k}", model, str(p), None, None, None, time.time() - began, f"failed: {type(e).__name__}"))
-    schema = "trial_id string, model_name string, params string, macro_f1_val double, weighted_f1_val double, accuracy_val double, train_time_sec double, status string"
+                fitted, note = settled(model, weighted(train), val, p)
+                m = evaluation.overall(predict(fitted, val), labels).first()
+                rows.append((f"{model}-{k}", model, str(p), float(m.macro_f1), float(m.weighted_f1), float(m.accuracy), time.time() - began, "success", note))
+            except FAILURES as e:  # a failed candidate is a row, as a successful one is
+                rows.append((f"{model}-{k}", model, str(p), None, None, None, time.time() - began, f"failed: {type(e).__name__}", ""))
+    schema = "trial_id string, model_name string, params string, macro_f1_val double, weighted_f1_val double, accuracy_val double, train_time_sec double, status string, note string"
     return train.sparkSession.createDataFrame(rows, schema)

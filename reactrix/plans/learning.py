@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import comparing, ledger
 from ..operators import learning as L
-from ..operators.ranges import dealt
+from ..operators.ranges import dealt, scratch
 from .catalog import query
 from .fixture import TRIALS, table, trials
 
@@ -44,3 +45,37 @@ def l7_repairs(spark, sf):
     """The settings with which failed final experiments are fitted anew."""
     t = trials(spark, sf)
     return L.repairs(t, t).select("scenario", "model_name", "trial_id")
+
+
+LANGS = ["de", "en", "es", "fr"]
+
+
+@query()
+def l3_softmax_boosting(spark, sf):
+    """Boosted trees for all labels at once, stopped early on the validation rows, applied to the test split."""
+    train, val, test = splits(spark, sf)
+    model, _ = L.fit("SoftmaxBoosting", train, val, n_estimators=6, max_depth=2, max_features=300)
+    return L.predict(model, test).select("record_id", "y_true", "y_pred", F.round("confidence", 4).alias("confidence"))
+
+
+@query()
+def l4_l7_ledger(spark, sf):
+    """A search that is cut short after its first trial and goes on, a final that fails, and its repair with the best trial's settings."""
+    train, val, _ = splits(spark, sf)
+    book, rows = ledger.Ledger(spark, scratch(spark, "ledger")), {"lang": (train, val)}
+    tries = [("lang", "LogisticRegression", {"C": c, "max_features": 200, "max_iter": 10}) for c in (1.0, 0.1, -1.0)]
+    ledger.run(book, rows, tries, LANGS, most=1)
+    ledger.run(book, rows, tries, LANGS)
+    ledger.run(book, rows, [("lang", "LogisticRegression", {"C": -2.0})], LANGS, stage="final")
+    ledger.repair(book, rows, LANGS)
+    return book.read().select("scenario", "model_name", "stage", "params", "status", "note", F.round("macro_f1_val", 4).alias("macro_f1_val"))
+
+
+@query()
+def l9_a31_model_comparison(spark, sf):
+    """Every test document under each of four wanted models, by F1, one of which isn't there, and their vote."""
+    train, val, test = splits(spark, sf)
+    wanted = {"LR": ("LogisticRegression", {"C": 1.0, "max_iter": 20}), "LR_plain": ("LogisticRegression", {"C": 0.01, "max_iter": 20}), "SVC": ("LinearSVC", {"C": 1.0, "max_iter": 10})}
+    texts, found = comparing.fit_all(train, val, wanted, LANGS, max_features=300)
+    models = comparing.chained([*wanted, "Transformer"], found, "LR")
+    return comparing.compared(texts.transform(test), "record_id", models).withColumns({"f1": F.round("f1", 4), "confidence": F.round("confidence", 4)})
