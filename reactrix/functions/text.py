@@ -181,3 +181,9 @@ def first_match(c, patterns: list[str]) -> Column:
 
 def follower_count(c) -> Column:
     return F.regexp_replace(first_match(c, FOLLOWERS), "[.,]", "").try_cast("bigint")
+
+
+def last_tail(text, pattern: str) -> Column:
+    """What follows the last match of a pattern, to the end of its line, stripped; null without a match."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(pattern), stripped(F.regexp_extract(text, rf"(?s)^.*(?:{pattern})([^\n]*)", 1)))

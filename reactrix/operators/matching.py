@@ -26,8 +26,9 @@ def exact_groups(left: DataFrame, right: DataFrame, left_text: str, right_text:
 
 def exact_match_once(left: DataFrame, right: DataFrame, left_text: str, right_text: str, right_order: str) -> DataFrame:
     """As exact_match, with one right row for each key and no empty keys."""
-    right = distinct_first(right.withColumn("match_key", match_key(right_text)).where("match_key <> ''"), ["match_key"], right_order)
-    return left.withColumn("match_key", match_key(left_text)).join(right, "match_key")
+    key = F.md5("match_key")  # texts themselves aren't shuffled by
+    right = distinct_first(right.withColumn("match_key", match_key(right_text)).where("match_key <> ''").withColumn("__key", key), ["__key"], right_order).drop("match_key")
+    return left.withColumn("match_key", match_key(left_text)).withColumn("__key", key).join(right, "__key").drop("__key")
 
 
 def word_grams(key: Column, low: int, high: int) -> Column:

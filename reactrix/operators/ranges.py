@@ -65,12 +65,12 @@ def row_numbers(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return running(in_ranges(df.withColumn("__one", F.lit(1)), *order), order, "__one", out).withColumn(out, (F.col(out) + 1).cast("int")).drop("__one", "__range_no")
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, **at: float) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, times: str | None = None, **at: float) -> DataFrame:
     """groups and one column for each share: the exact quantile, interpolated between neighbours. Nulls don't count.
 
-    Rows are first reduced to (group, value, count); no task holds a group's values.
+    Rows are first reduced to (group, value, count); no task holds a group's values. times: the column of such counts, if df has them already.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg((F.count("*") if times is None else F.sum(times)).alias("__n"))
     order = [*[F.col(g) for g in groups], F.col("__v")]
     placed = running(in_ranges(counts, *order), order, "__n", "__at", groups)
     totals = placed.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.sum("__n").alias("__total"))

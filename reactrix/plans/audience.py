@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.dates import WEEK
 from ..functions.numbers import long_or_zero, ordinal, ratio, rounded
 from ..operators.evaluation import label_grid
-from ..operators.ranges import quantiles
+from ..operators.ranges import quantiles, stored
 from .fixture import POSTS, posts, table
 from .catalog import query
 
 
 @query(f"WITH {POSTS} SELECT coalesce(post_created_hour, 0) AS hour, count(*) AS n, median(total_reactions)::DOUBLE AS reactions, median(comment_count)::DOUBLE AS comments, median(share_count)::DOUBLE AS shares FROM posts GROUP BY 1")
 def a8_d4_hourly_medians(spark, sf):
-    p = posts(spark, sf).withColumn("hour", long_or_zero("post_created_hour").cast("int"))
-    out = p.groupBy("hour").agg(F.count("*").alias("n"))
-    for c, name in (("total_reactions", "reactions"), ("comment_count", "comments"), ("share_count", "shares")):
-        out = out.join(quantiles(p, ["hour"], c, **{name: 0.5}), "hour", "left")
-    return out
+    p = posts(spark, sf).select(long_or_zero("post_created_hour").cast("int").alias("hour"), F.col("total_reactions").alias("reactions"), F.col("comment_count").alias("comments"), F.col("share_count").alias("shares"))
+    return hourly_medians(p, ["reactions", "comments", "shares"])
+
+
+def hourly_medians(posts_, metrics):
+    """hour, n, and the median of each metric: one pass over the posts, whose metrics are one long column."""
+    long = posts_.withColumn("n", F.lit(1)).unpivot(["hour"], ["n", *metrics], "metric", "value")
+    counts = stored(long.groupBy("hour", "metric", "value").agg(F.count("*").alias("times")), "metrics")
+    mid = quantiles(counts.where("metric <> 'n'"), ["metric", "hour"], "value", times="times", mid=0.5)
+    wide = mid.groupBy("hour").agg(*[F.max(F.when(F.col("metric") == m, F.col("mid"))).alias(m) for m in metrics])
+    return counts.where("metric = 'n'").select("hour", F.col("times").alias("n")).join(wide, "hour", "left")
 
 
 _EV = "ev AS (SELECT hour(ts)::INT AS hour, dayname(ts) AS weekday, value FROM events)"
@@ -85,8 +91,8 @@ def a15_event_days(spark, sf):
 @query(f"""WITH {POSTS}, h AS (SELECT post_created_hour AS hour, count(*) AS n, median(total_reactions) AS m FROM posts WHERE post_created_hour IS NOT NULL GROUP BY 1)
 SELECT hour, n, m::DOUBLE AS reactions FROM h WHERE n >= 15 ORDER BY m DESC, hour LIMIT 3""")
 def k1_top_hours(spark, sf):
-    h = posts(spark, sf).where("post_created_hour is not null").groupBy(F.col("post_created_hour").alias("hour")).agg(F.count("*").alias("n"), F.median("total_reactions").alias("reactions"))
-    return h.where("n >= 15").orderBy(F.col("reactions").desc(), "hour").limit(3)
+    p = posts(spark, sf).where("post_created_hour is not null").select(F.col("post_created_hour").alias("hour"), F.col("total_reactions").alias("reactions"))
+    return hourly_medians(p, ["reactions"]).where("n >= 15").orderBy(F.col("reactions").desc(), "hour").limit(3)
 
 
 @query("SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")

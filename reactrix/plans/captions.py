@@ -173,3 +173,9 @@ def f16_a20_blank_rows(spark, sf):
 def s19_log_scan(spark, sf):
     c = table(spark, sf, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit("[0-9]+"))).cast("bigint").alias("numbers"), F.sum(F.regexp_count("text", F.lit("th"))).cast("bigint").alias("marks"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, 'th[ae]') THEN trim(regexp_extract(text, '(?s)^.*(?:th[ae])([^\n]*)', 1)) END AS tail FROM conversations")
+def s19_log_tails(spark, sf):
+    """What each message says after the last mark in it."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.last_tail("text", "th[ae]").alias("tail"))

@@ -174,9 +174,10 @@ def a7_j6_topic_concentration(spark, sf):
 
 @query(f"WITH {ENRICHED} SELECT round(quantile_cont(controversy, 0.9), 6) AS q90, round(quantile_cont(sarcasm, 0.75), 6) AS q75, round(median(total_reactions), 6) AS mid FROM e")
 def a11_quantiles(spark, sf):
-    e = enriched(spark, sf)
-    one = [quantiles(e, [], v, **{n: q}) for v, n, q in (("controversy", "q90", 0.9), ("sarcasm", "q75", 0.75), ("total_reactions", "mid", 0.5))]
-    return one[0].join(F.broadcast(one[1])).join(F.broadcast(one[2])).select(*R("q90", "q75", "mid"))  # one row each
+    long = enriched(spark, sf).select("controversy", "sarcasm", F.col("total_reactions").cast("double").alias("total_reactions")).unpivot([], ["controversy", "sarcasm", "total_reactions"], "metric", "value")
+    found = quantiles(long, ["metric"], "value", q90=0.9, q75=0.75, mid=0.5)
+    one = found.agg(*[F.max(F.when(F.col("metric") == m, F.col(n))).alias(n) for m, n in (("controversy", "q90"), ("sarcasm", "q75"), ("total_reactions", "mid"))])
+    return one.select(*R("q90", "q75", "mid"))
 
 
 @query(f"WITH {POSTS} SELECT page_name, count(*) FILTER (WHERE angry_count > 0) AS n_angry, round(100 * avg((angry_count > 0)::INT), 6) AS pct_angry FROM posts GROUP BY 1")

@@ -13,6 +13,8 @@ from ..operators import learning as L
 from ..operators.ranges import scratch
 from ..operators.ranking import band_best, best_in_group
 from ..sources import sinks
+from ..functions import text as T
+from .captions import _D, _GROUPS, _SLANG, _WORDS, GROUPS, SLANG, docs
 from .fixture import PREDICTIONS, TRIALS, predictions, table, trials
 from .catalog import query
 
@@ -63,6 +65,42 @@ def a21_group_confusions(spark, sf):
     return predictions(spark, sf).where("y_true <> y_pred").withColumn("word_group", g).groupBy("word_group", "y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {PREDICTIONS}, {_D}, g AS (SELECT y_true, y_pred, unnest(CASE WHEN len({_GROUPS}) > 0 THEN {_GROUPS} ELSE ['none'] END) AS word_group FROM p LEFT JOIN d ON d.record_id = p.record_id WHERE y_true <> y_pred)
+SELECT word_group, y_true, y_pred, count(*) AS n FROM g GROUP BY ALL""")
+def a21_keyword_confusions(spark, sf):
+    """Confusions of wrong rows by the keyword groups that their texts have, of which there may be several."""
+    wrong = predictions(spark, sf).where("y_true <> y_pred").select("record_id", "y_true", "y_pred")
+    met = wrong.join(docs(spark, sf).select("record_id", T.groups_in("caption", GROUPS).alias("g")), "record_id", "left")
+    groups = F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit("none")))
+    return met.withColumn("word_group", F.explode(groups)).groupBy("word_group", "y_true", "y_pred").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PREDICTIONS}, {_D} SELECT y_true = y_pred AS correct, count(*) AS n, round(avg(len({_SLANG}) / nullif(len({_WORDS}), 0)::DOUBLE), 6) AS density FROM d LEFT JOIN p ON d.record_id = p.record_id GROUP BY 1""")
+def a20_slang_density(spark, sf):
+    """Mean share of slang terms among a text's words by whether its prediction is right; texts without a prediction are a group, texts without words don't count."""
+    d = docs(spark, sf).select("record_id", F.size(T.terms_in("caption", SLANG)).alias("slang"), T.word_count("caption").alias("words"))
+    met = d.join(predictions(spark, sf).select("record_id", (F.col("y_true") == F.col("y_pred")).alias("correct")), "record_id", "left")
+    return met.groupBy("correct").agg(F.count("*").alias("n"), rounded(F.avg(F.col("slang") / F.nullif(F.col("words"), F.lit(0)))).alias("density"))
+
+
+@query(f"""WITH {_CLASS}, low AS (SELECT label FROM c WHERE nt > 0 ORDER BY round(c.f1, 9), label LIMIT 5)
+SELECT label, record_id, y_pred FROM low JOIN p ON y_true = label WHERE y_true <> y_pred QUALIFY row_number() OVER (PARTITION BY label ORDER BY record_id) <= 3""")
+def a42_wrong_examples(spark, sf):
+    """The first three wrong rows of each of the five weakest labels that occur."""
+    p = predictions(spark, sf)
+    low = E.per_class(p, LABELS).where("support > 0").orderBy(F.round("f1", 9), "label").limit(5).select("label")
+    wrong = p.where("y_true <> y_pred").join(F.broadcast(low), F.col("y_true") == F.col("label"))  # five rows
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("record_id"))  # each task keeps three of a label
+    return wrong.withColumn("n", rank).where("n <= 3").select("label", "record_id", "y_pred")
+
+
+@query(f"WITH {PREDICTIONS} SELECT scenario, model_name, count(*) AS n, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM p GROUP BY ALL ORDER BY round(avg((y_true = y_pred)::INT), 9), scenario, model_name LIMIT 5")
+def a42_weakest_models(spark, sf):
+    right = F.avg((F.col("y_true") == F.col("y_pred")).cast("int"))
+    g = predictions(spark, sf).groupBy("scenario", "model_name").agg(F.count("*").alias("n"), right.alias("a"))
+    return g.orderBy(F.round("a", 9), "scenario", "model_name").limit(5).select("scenario", "model_name", "n", rounded("a").alias("accuracy"))
+
+
 @query(f"WITH {_CLASS} SELECT label, round(f1, 6) AS f1 FROM c ORDER BY round(c.f1, 9), label LIMIT 5")
 def a42_lowest_f1(spark, sf):
     return E.per_class(predictions(spark, sf), LABELS).orderBy(F.round("f1", 9), "label").limit(5).select("label", rounded("f1").alias("f1"))
@@ -165,11 +203,15 @@ def a36_gap(spark, sf):
 @query(f"""WITH {TRIALS}, b AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) = 1 AS o, row_number() OVER (PARTITION BY model_name ORDER BY {_ORDER}) = 1 AS m, row_number() OVER (ORDER BY accuracy_val DESC, trial_id) = 1 AS a FROM t)
 SELECT trial_id, concat_ws('; ', CASE WHEN o THEN 'best overall' END, CASE WHEN m THEN 'best of ' || model_name END, CASE WHEN a THEN 'best accuracy' END) AS notes FROM b WHERE o OR m OR a""")
 def a39_selection_notes(spark, sf):
-    order = E.trial_order()
-    first = lambda w: F.row_number().over(w) == 1
-    t = trials(spark, sf).withColumns({"o": first(Window.orderBy(*order)), "m": first(Window.partitionBy("model_name").orderBy(*order)), "a": first(Window.orderBy(F.col("accuracy_val").desc(), "trial_id"))})
-    notes = F.concat_ws("; ", F.when(F.col("o"), "best overall"), F.when(F.col("m"), F.concat(F.lit("best of "), "model_name")), F.when(F.col("a"), "best accuracy"))
-    return t.where("o or m or a").select("trial_id", notes.alias("notes"))
+    last = float("inf")
+    by_scores = F.struct(*[F.coalesce(-F.col(c), F.lit(last)) for c in ("macro_f1_val", "weighted_f1_val", "accuracy_val")], F.coalesce("train_time_sec", F.lit(last)), "trial_id")
+    by_accuracy = F.struct(F.coalesce(-F.col("accuracy_val"), F.lit(last)), "trial_id")
+    t = trials(spark, sf)
+    found = t.agg(F.min_by("trial_id", by_scores).alias("trial_id")).select("trial_id", F.lit(1).alias("k"), F.lit("best overall").alias("note"))
+    found = found.unionByName(t.groupBy("model_name").agg(F.min_by("trial_id", by_scores).alias("trial_id")).select("trial_id", F.lit(2).alias("k"), F.concat(F.lit("best of "), "model_name").alias("note")))
+    found = found.unionByName(t.agg(F.min_by("trial_id", by_accuracy).alias("trial_id")).select("trial_id", F.lit(3).alias("k"), F.lit("best accuracy").alias("note")))
+    notes = F.transform(F.sort_array(F.collect_list(F.struct("k", "note"))), lambda x: x["note"])  # a row for each model, and two
+    return found.groupBy("trial_id").agg(F.array_join(notes, "; ").alias("notes"))
 
 
 @query(f"WITH {TRIALS}, f AS (SELECT scenario, model_name, macro_f1_val AS x FROM t WHERE trial_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY scenario, model_name ORDER BY trial_id) = 1), d AS (SELECT scenario, model_name, macro_f1_val AS y FROM t WHERE trial_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY scenario, model_name ORDER BY trial_id) = 1) SELECT f.scenario, f.model_name, round(y - x, 6) AS gain FROM f JOIN d ON f.scenario = d.scenario AND f.model_name = d.model_name")
