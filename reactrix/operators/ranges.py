@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared space, removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster, whose executors are processes of their own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/reactrix-{name}-{uuid.uuid4().hex}"
