@@ -76,3 +76,43 @@ def rank_trials(trials: DataFrame) -> DataFrame:
     order = trial_order()
     out = row_numbers(trials, order, "rank_global").withColumn("rank_within_scenario_model", F.row_number().over(Window.partitionBy("scenario", "model_name").orderBy(*order)))
     return out.withColumns({"is_best_for_scenario_model": F.col("rank_within_scenario_model") == 1, "is_best_overall": F.col("rank_global") == 1})
+
+
+def diagnostics(trials: DataFrame, fallback: Column, simple: list[Column], key: str = "trial_id", tolerance: float = 0.003) -> DataFrame:
+    """One row: how many trials there are, succeeded, failed, fell back (null is no) and have a score, and the best of those that succeeded.
+
+    The best is, within a tolerance of the greatest macro F1, that with the greatest weighted F1, then accuracy, then the simplest, by the given order of
+    numbers, nulls last; further ties go to the greater macro F1 and the least key. Two aggregates, whatever the number of trials; without a score nothing is best.
+    """
+    score, ok, last = F.col("macro_f1_val"), F.col("status") == "success", float("inf")
+    most = trials.where(ok).agg(F.max(score)).first()[0]
+    near = ok & (score >= F.lit(most).cast("double") - tolerance)
+    order = F.struct(*[F.coalesce(x.cast("double"), F.lit(last)).alias(f"k{i}") for i, x in enumerate([-F.col("weighted_f1_val"), -F.col("accuracy_val"), *simple, -score])], F.col(key))
+    best = F.min_by(F.when(near, F.struct(F.col(key), "scenario", "model_name", score)), F.when(near, order))
+    told = trials.agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.count_if(F.coalesce(fallback, F.lit(False))).alias("fallback"), F.count(score).alias("scored"), best.alias("b"))
+    return told.select("total", "success", "failed", "fallback", "scored", F.col(f"b.{key}").alias(f"best_{key}"), F.col("b.scenario").alias("best_scenario"), F.col("b.model_name").alias("best_model"), F.col("b.macro_f1_val").alias("best_macro_f1"))
+
+
+#: All metrics of a result.
+METRICS = ["accuracy", *[f"{kind}_{m}" for kind in ("macro", "weighted", "micro") for m in ("precision", "recall", "f1")]]
+
+
+def flat_results(results: DataFrame, metrics: dict[str, str], params: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Nested results as flat rows; columns that aren't named stay.
+
+    metrics: columns that are maps of metrics, with the suffix of their ten columns; what a map lacks, or a null map, is null. params: columns that are structs of
+    settings, with the prefix and names of the settings that become columns; a struct without the setting gives null, and a list becomes text, '(1, 2)'. The whole struct
+    is kept as JSON in <column>_json, without settings that are null.
+    """
+    def setting(name, field):
+        known = {f.name: f.dataType.typeName() for f in results.schema[name].dataType.fields}
+        if field not in known:
+            return F.lit(None).cast("string")
+        value = F.col(f"`{name}`.`{field}`")
+        return F.concat(F.lit("("), F.array_join(value, ", "), F.lit(")")) if known[field] == "array" else value
+
+    out = [F.col(f"`{c}`") for c in results.columns if c not in metrics and c not in params]
+    for name, (prefix, wanted) in params.items():
+        out += [F.to_json(F.col(f"`{name}`")).alias(f"{name}_json"), *[setting(name, f).alias(f"{prefix}{f}") for f in wanted]]
+    out += [F.try_element_at(F.col(f"`{name}`"), F.lit(m)).alias(f"{m}_{suffix}") for name, suffix in metrics.items() for m in METRICS]
+    return results.select(*out)

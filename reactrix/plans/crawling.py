@@ -6,36 +6,51 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.text import follower_count, parsed_count
-from ..operators.crawl import accepted, canonical_reaction, reaction_columns, total_reactions
+from ..operators.crawl import accepted, canonical_reaction, labelled_reactions, reaction_columns, total_reactions
 from ..operators.ranges import scratch
 from .fixture import table
 from .catalog import ORACLES, query
 
-_TEXTS = ["1,2K", "3M", "1.5B", "", "none", "1,234", " 77 ", "12"]
+#: A count's text by the form that an order's key picks: its digits are the order's and its customer's.
+_COUNT_FORMS = ["{n}", "{n},{d}K", "{n}.{d} m", "  {n}B ", "{d} of {n}k", "{n},{d}", "{n},{d},{n}", "about {n}.{d}k", "{p}", "", "none"]
 
 
-def _samples(spark, sf, values):
-    return table(spark, sf, "orders").select("o_orderkey", F.get(F.array(*[F.lit(v) for v in values]), (F.col("o_orderkey") % len(values)).cast("int")).alias("x"))
+def _filled(forms, at, **parts):
+    """The form at a place (a null place gives null), with the parts put in."""
+    text = F.get(F.array(*[F.lit(f) for f in forms]), at.cast("int"))
+    for name, value in parts.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    return text
 
 
-_PARSE = "regexp_extract(x, '([0-9.]+)\\s*([KMB]?)', {})"
+_UNIT = "trunc((n || '.' || d)::DOUBLE * {})::BIGINT"
 
 
-@query(f"""WITH s AS (SELECT o_orderkey, upper(replace(trim({_TEXTS}[o_orderkey % {len(_TEXTS)} + 1]), ',', '.')) AS x FROM orders)
-SELECT o_orderkey, CASE WHEN {_PARSE.format(1)} = '' THEN 0 ELSE trunc({_PARSE.format(1)}::DOUBLE * CASE {_PARSE.format(2)} WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END)::BIGINT END AS n FROM s""")
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 1000 AS n, o_custkey % 10 AS d, o_orderpriority AS p, o_orderkey // 7 % 12 AS form FROM orders)
+SELECT o_orderkey, CASE form WHEN 0 THEN n WHEN 1 THEN {_UNIT.format("1e3")} WHEN 2 THEN {_UNIT.format("1e6")} WHEN 3 THEN n * 1000000000 WHEN 4 THEN d WHEN 5 THEN n WHEN 6 THEN NULL WHEN 7 THEN {_UNIT.format("1e3")}
+WHEN 8 THEN left(p, 1)::BIGINT ELSE 0 END AS n FROM o""")
 def tx18_parse_count(spark, sf):
-    return _samples(spark, sf, _TEXTS).select("o_orderkey", parsed_count("x").alias("n"))
+    """Counts with commas, points, units and words about them; two commas make no number, texts without digits and nulls are 0."""
+    key = F.col("o_orderkey")
+    texts = _filled(_COUNT_FORMS, F.floor(key / 7) % (len(_COUNT_FORMS) + 1), n=key % 1000, d=F.col("o_custkey") % 10, p=F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", parsed_count(texts).alias("n"))
 
 
-_NOW = 1_700_000_000
-_TIMES = ["just now", "5 phút", "3 giờ", "3 tháng", "5 năm", "yesterday", "2 ngày", "1699999999", "", "2 year"]
-#: What the fixed order of marks makes of each.
-_READ = [0, 300, 10800, 10800, 300, 0, 172800, 1, 0, 63072000]
+_TIME_FORMS = ["{n} phút", "{n} min ago", "{n} giờ trước", "{n} hours", "{n} ngày", "{n} days {p}", "hôm qua lúc {n}", "Yesterday at {n}", "{n} tháng", "{n} năm", "{n} years", "17{k}", "Vừa xong", " JUST NOW {n}m ", "{p}", "   ", "", "hours", "Tuần {n}"]
+_HOLDS = lambda *marks: " OR ".join(f"contains(x, '{m}')" for m in marks)
+_BACK = "coalesce(now - n * {}, now)"
 
 
-@query(f"SELECT o_orderkey, {_NOW} - {_READ}[o_orderkey % {len(_TIMES)} + 1]::BIGINT AS t FROM orders")
+@query(f"""WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS now, lower(trim(replace(replace(replace({_TIME_FORMS}[o_orderkey // 7 % {len(_TIME_FORMS) + 1} + 1], '{{n}}', (o_custkey % 90)::VARCHAR), '{{k}}', (10000000 + o_orderkey)::VARCHAR), '{{p}}', o_orderpriority))) AS x FROM orders),
+r AS (SELECT *, nullif(regexp_extract(x, '[0-9]+'), '')::BIGINT AS n FROM o)
+SELECT o_orderkey, CASE WHEN x IS NULL OR x = '' THEN now WHEN regexp_full_match(x, '[0-9]+') THEN x::BIGINT WHEN {_HOLDS("vừa xong", "just now")} THEN now
+WHEN {_HOLDS("phút", "m")} THEN {_BACK.format(60)} WHEN {_HOLDS("giờ", "h")} THEN {_BACK.format(3600)} WHEN {_HOLDS("ngày", "d")} THEN {_BACK.format(86400)} WHEN {_HOLDS("hôm qua")} THEN now - 86400
+WHEN {_HOLDS("tháng")} THEN {_BACK.format(30 * 86400)} WHEN {_HOLDS("năm", "year")} THEN {_BACK.format(365 * 86400)} ELSE now END AS t FROM r""")
 def d5_relative_time(spark, sf):
-    return _samples(spark, sf, _TIMES).select("o_orderkey", D.relative_time("x", F.lit(_NOW).cast("bigint")).alias("t"))
+    """Times before an order's date, in both languages, with words of the table in them; one letter decides the unit."""
+    key = F.col("o_orderkey")
+    texts = _filled(_TIME_FORMS, F.floor(key / 7) % (len(_TIME_FORMS) + 1), n=F.col("o_custkey") % 90, k=10_000_000 + key, p=F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", D.relative_time(texts, F.unix_timestamp("o_orderdate")).alias("t"))
 
 
 @query("SELECT event_id, strftime(to_timestamp(floor(epoch(ts))::BIGINT) AT TIME ZONE 'UTC' + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events")
@@ -49,10 +64,15 @@ def d2_d3_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", D.parsed_date(text).alias("day"), D.shifted_back(F.to_date("o_orderdate"), 1995).alias("shifted"))
 
 
-@query("SELECT page_id, NULL::BIGINT AS followers, '\"follower_count\" : 123' AS x FROM pages WHERE page_id < 0 UNION ALL SELECT page_id, (page_id * 1001)::BIGINT, '\"follower_count_string\": \"' || page_id * 1001 || '\"' FROM pages")
+#: What stands behind a page's source: each way to tell followers, several at once in any order, and none.
+_FOLLOWER_FORMS = ['"follower_count" : {n}', '"page_followers": {"count":{n}}', '"subscribe_count":{n}', "{follower_count: {n}}", '"follower_count_string" : "{n}.{d}"', '"follower_count_string":"7" "subscribe_count":{n}', 'follower_count:5 "page_followers":{ "count" : {n}', '"follower_count":"{n}"', ""]
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 9 IN (0, 1, 2, 3, 5, 6) THEN page_id * 1001 WHEN page_id % 9 = 4 THEN page_id * 1001 * 10 + page_id % 10 END AS followers FROM pages""")
 def tx24_followers(spark, sf):
-    x = F.concat(F.lit('"follower_count_string": "'), (F.col("page_id") * 1001).cast("string"), F.lit('"'))
-    return table(spark, sf, "pages").select("page_id", follower_count(x).alias("followers"), x.alias("x"))
+    """Followers told in a page's source, by the most trusted way that it has, wherever that stands."""
+    x = F.concat("html", _filled(_FOLLOWER_FORMS, F.col("page_id") % len(_FOLLOWER_FORMS), n=F.col("page_id") * 1001, d=F.col("page_id") % 10))
+    return table(spark, sf, "pages").select("page_id", follower_count(x).alias("followers"))
 
 
 _SUM = "coalesce(sum(l_quantity) FILTER (WHERE l_linenumber = {}), 0)::BIGINT"
@@ -61,10 +81,11 @@ _SUM = "coalesce(sum(l_quantity) FILTER (WHERE l_linenumber = {}), 0)::BIGINT"
 @query(f"SELECT l_orderkey, {_SUM.format(1)} AS \"like\", {_SUM.format(2)} AS love, {_SUM.format(3)} AS haha, 0::BIGINT AS wow, 0::BIGINT AS sad, 0::BIGINT AS angry, 0::BIGINT AS care, CASE WHEN coalesce(sum(l_quantity) FILTER (WHERE l_linenumber <= 3), 0) > 0 THEN (sum(l_quantity) FILTER (WHERE l_linenumber <= 3))::BIGINT ELSE 9 END AS total FROM lineitem GROUP BY 1")
 def x3_x4_reaction_map(spark, sf):
     """A post's map of reactions to seven columns, and the checked total."""
-    per = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("bigint").alias("n"))
-    maps = per.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(F.array(F.lit("like"), F.lit("love"), F.lit("haha")), F.col("l_linenumber").cast("int")), "n"))).alias("m"))
-    every = table(spark, sf, "lineitem").select("l_orderkey").distinct().join(maps, "l_orderkey", "left")
-    return every.select("l_orderkey", *reaction_columns(F.col("m")), total_reactions(F.col("m"), F.lit(9)).alias("total"))
+    known = F.col("l_linenumber") <= 3
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey", F.when(known, F.col("l_linenumber")).alias("k")).agg(F.sum(F.when(known, F.col("l_quantity"))).cast("bigint").alias("n"))
+    pair = F.when(F.col("k").isNotNull(), F.struct(F.element_at(F.array(F.lit("like"), F.lit("love"), F.lit("haha")), F.col("k").cast("int")), "n"))
+    maps = per.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(pair)).alias("m"))  # three entries at most
+    return maps.select("l_orderkey", *reaction_columns(F.col("m")), total_reactions(F.col("m"), F.lit(9)).alias("total"))
 
 
 _NAMES = ["Thích", "yêu thích", "LOVE it", "haha", "phẫn nộ", "care", "other"]
@@ -73,7 +94,31 @@ _CANON = ["like", "like", "love", "haha", "angry", "care", None]
 
 @query("SELECT o_orderkey, [" + ", ".join(f"'{c}'" if c else "NULL" for c in _CANON) + f"][o_orderkey % {len(_NAMES)} + 1] AS reaction FROM orders")
 def x5_canonical_reaction(spark, sf):
-    return _samples(spark, sf, _NAMES).select("o_orderkey", canonical_reaction(F.col("x")).alias("reaction"))
+    return table(spark, sf, "orders").select("o_orderkey", canonical_reaction(_filled(_NAMES, F.col("o_orderkey") % len(_NAMES))).alias("reaction"))
+
+
+#: Names of an item's reaction by its line, and the texts of its label: only those that tell of people count, rounded ones end the reading.
+_REACTED = ["Thích", "LOVE", "Haha", "wow!", "Buồn", "Phẫn nộ", "Thương thương"]
+_LABEL_FORMS = ["{r}: {n} người", "{n} People reacted with {r}", "{r} {n}", "{n} {r}, {s} times", "reactions of people: {r}", "{n},{d} people: {r}", "{r}: {n} NGƯỜI and {s}"]
+_KEYS = "['like', 'love', 'haha', 'wow', 'sad', 'angry', 'care']"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber AS line, l_quantity::BIGINT AS n, l_suppkey AS s, l_partkey % 10 AS d, l_partkey % 29 AS form FROM lineitem),
+u AS (SELECT l_orderkey, {_KEYS}[line] AS key, n, form, line, s, d, form % 7 <> 2 AND form <> 28 AS told, form = 28 OR form % 7 = 3 AND line = 5 AS short FROM i),
+e AS (SELECT l_orderkey, min(struct_pack(line := line, n := n, s := s, form := form, d := d)) FILTER (WHERE short) AS cut FROM u GROUP BY 1),
+k AS (SELECT u.l_orderkey, key, n FROM u JOIN e ON u.l_orderkey = e.l_orderkey WHERE told AND form % 7 <> 4 AND (cut IS NULL OR struct_pack(line := line, n := n, s := s, form := form, d := d) < cut))
+SELECT e.l_orderkey, cut IS NOT NULL AS rounded, {", ".join(f"coalesce(max(n) FILTER (WHERE key = '{r}'), 0)::BIGINT AS {r}" for r in ("love", "haha", "wow", "sad", "angry", "care"))}, coalesce(max(n) FILTER (WHERE key = 'like'), 0)::BIGINT AS "like"
+FROM e LEFT JOIN k ON e.l_orderkey = k.l_orderkey GROUP BY ALL""")
+def x5_reaction_labels(spark, sf):
+    """The labels of a post's items, in their order, read into seven counts; whether a label is rounded, so that the counts after it are unknown.
+
+    A number before a word in k, m or b is taken as rounded, as '12 Buồn' is.
+    """
+    i = table(spark, sf, "lineitem").withColumns({"n": F.col("l_quantity").cast("bigint"), "d": F.col("l_partkey") % 10, "s": F.col("l_suppkey"), "form": F.col("l_partkey") % 29})
+    place = F.when(F.col("form") == 28, len(_LABEL_FORMS)).otherwise(F.col("form") % len(_LABEL_FORMS))
+    label = _filled([*_LABEL_FORMS, "{n},{d}K people reacted with {r}"], place, r=_filled(_REACTED, F.col("l_linenumber") - 1), n=F.col("n"), d=F.col("d"), s=F.col("s"))
+    posts = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "n", "s", "form", "d", label.alias("label")))).alias("items"))  # a dozen items a post
+    return posts.select("l_orderkey", labelled_reactions(F.col("items.label")).alias("r")).select("l_orderkey", "r.rounded", *reaction_columns(F.col("r.counts")))
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts, value < 20 AS old, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

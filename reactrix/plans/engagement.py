@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.numbers import half_even, ratio, rounded
 from ..functions.text import preview, topic_code, topic_name
-from ..operators.ranges import quantiles
+from ..operators.ranges import quantiles, stored
 from ..operators.ranking import best_in_group, rank_pct, top_k
 from .fixture import ENRICHED, POSTS, enriched, posts, reaction_posts, table
 from .catalog import query
@@ -128,8 +128,9 @@ def a1_topic_counts(spark, sf):
 
 @query(f"WITH {POSTS} SELECT page_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM posts GROUP BY 1")
 def a2_value_counts(spark, sf):
-    c = posts(spark, sf).groupBy(PAGE).agg(F.count("*").alias("n"))
-    return c.select(PAGE, "n", rounded(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("share"))
+    c = stored(posts(spark, sf).groupBy(PAGE).agg(F.count("*").alias("n")), "counts")
+    total = c.agg(F.sum("n")).first()[0] or 0
+    return c.select(PAGE, "n", rounded(F.col("n") * 100.0 / F.lit(total)).alias("share"))
 
 
 MEANS = ["controversy", "sarcasm", *SUBS]
@@ -223,10 +224,10 @@ def a16_m15_quadrant(spark, sf):
 @query(f"""WITH {ENRICHED}, a AS (SELECT page_name, avg(controversy) AS c, avg(sarcasm) AS s FROM r GROUP BY 1), q AS (SELECT greatest(quantile_cont(c, 0.75), 0.4) AS qc, greatest(quantile_cont(s, 0.75), 0.2) AS qs FROM a)
 SELECT page_name, CASE WHEN c >= qc AND s >= qs THEN 'both' WHEN c >= qc THEN 'controversy' WHEN s >= qs THEN 'sarcasm' ELSE 'normal' END AS anomaly FROM a, q""")
 def m16_bubble_anomaly(spark, sf):
-    a = reaction_posts(spark, sf).groupBy(PAGE).agg(F.avg("controversy").alias("c"), F.avg("sarcasm").alias("s"))
-    all_ = Window.partitionBy()
-    c = F.col("c") >= F.greatest(F.percentile("c", 0.75).over(all_), F.lit(0.4))
-    s = F.col("s") >= F.greatest(F.percentile("s", 0.75).over(all_), F.lit(0.2))
+    a = stored(reaction_posts(spark, sf).groupBy(PAGE).agg(F.avg("controversy").alias("c"), F.avg("sarcasm").alias("s")), "pages")
+    upper = {r.metric: r.q for r in quantiles(a.unpivot([], ["c", "s"], "metric", "value"), ["metric"], "value", q=0.75).collect()}  # two rows
+    c = F.col("c") >= F.greatest(F.lit(upper.get("c")).cast("double"), F.lit(0.4))
+    s = F.col("s") >= F.greatest(F.lit(upper.get("s")).cast("double"), F.lit(0.2))
     return a.select(PAGE, F.when(c & s, "both").when(c, "controversy").when(s, "sarcasm").otherwise("normal").alias("anomaly"))
 
 

@@ -112,12 +112,10 @@ def a31_majority_vote(spark, sf):
     return best_in_group(v, ["g"], F.col("n").desc(), F.col("y_pred"))
 
 
-@query("SELECT vec_id, [x.k FOR x IN list_slice(list_reverse_sort([{'v': embedding[i], 'k': -i} FOR i IN range(1, 11)]), 1, 3)]::INT[]::VARCHAR AS top3 FROM embeddings")
+@query("SELECT vec_id, [x.k FOR x IN list_slice(list_reverse_sort([{'v': embedding[i], 'k': -i} FOR i IN range(1, len(embedding) + 1)]), 1, 3)]::INT[]::VARCHAR AS top3 FROM embeddings")
 def w7_top3_labels(spark, sf):
-    """The three best of ten scores in a row, ties to the first."""
-    from .fixture import table
-
-    scored = F.transform(F.slice("embedding", 1, 10), lambda x, i: F.struct(x.alias("v"), (-i - 1).alias("k")))
+    """The three best of a row's scores, ties to the first."""
+    scored = F.transform("embedding", lambda x, i: F.struct(x.alias("v"), (-i - 1).alias("k")))
     best = F.slice(F.sort_array(scored, asc=False), 1, 3)
     return table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(F.transform(best, lambda x: x["k"].cast("string")), ", "), F.lit("]")).alias("top3"))
 
@@ -194,6 +192,16 @@ def a40_trial_diagnostics(spark, sf):
     return trials(spark, sf).agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.count_if(F.col("macro_f1_val").isNull()).alias("no_score"), part("M0", "M1").alias("linear"), part("M2", "M3").alias("tree"))
 
 
+@query(f"""WITH {TRIALS}, s AS (SELECT * FROM t WHERE status = 'success'), b AS (SELECT * FROM s WHERE macro_f1_val >= (SELECT max(macro_f1_val) FROM s) - 0.003 ORDER BY weighted_f1_val DESC, accuracy_val DESC, {_SIMPLE}, macro_f1_val DESC, trial_id LIMIT 1)
+SELECT count(*) AS total, count(*) FILTER (WHERE t.status = 'success') AS success, count(*) FILTER (WHERE t.status <> 'success') AS failed, count(*) FILTER (WHERE t.trial_id % 19 <> 0 AND t.trial_id % 13 = 0) AS fallback, count(t.macro_f1_val) AS scored,
+any_value(b.trial_id) AS best_trial_id, any_value(b.scenario) AS best_scenario, any_value(b.model_name) AS best_model, round(any_value(b.macro_f1_val), 6) AS best_macro_f1 FROM t, b""")
+def a40_diagnostics(spark, sf):
+    """The whole report of a search: counts, fallbacks, and the best within the tolerance. Whether a trial fell back isn't known of all."""
+    fell = F.when(F.col("trial_id") % 19 != 0, F.col("trial_id") % 13 == 0)
+    simple = [F.col("max_features"), F.col("ngram_max"), F.when(F.col("analyzer") == "word", 0).otherwise(1), F.col("train_time_sec")]
+    return E.diagnostics(trials(spark, sf), fell, simple).withColumn("best_macro_f1", rounded("best_macro_f1"))
+
+
 @query(f"WITH {TRIALS} SELECT trial_id, round(weighted_f1_val - accuracy_val, 6) AS gap, abs(weighted_f1_val - accuracy_val) > 0.04 AS flagged FROM t")
 def a36_gap(spark, sf):
     gap = F.col("weighted_f1_val") - F.col("accuracy_val")
@@ -242,6 +250,23 @@ def x12_flatten(spark, sf):
     return nested.select("trial_id", "metrics.val.*")
 
 
+_KNOWN = {"val": {"accuracy": "accuracy_val", "macro_f1": "macro_f1_val", "weighted_f1": "weighted_f1_val"}, "test": {"accuracy": "CASE WHEN status = 'success' THEN trial_id % 83 / 83.0::DOUBLE END", "micro_recall": "CASE WHEN status = 'success' THEN trial_id % 71 / 71.0::DOUBLE END"}}
+
+
+@query(f"""WITH {TRIALS} SELECT trial_id, scenario, model_name, status, '{{"analyzer":"' || analyzer || '","max_features":' || max_features || ',"ngram_range":[1,' || ngram_max || ']}}' AS tfidf_params_json, analyzer AS tfidf_analyzer, max_features AS tfidf_max_features,
+'(1, ' || ngram_max || ')' AS tfidf_ngram_range, NULL::VARCHAR AS tfidf_min_df, '{{' || concat_ws(',', '"C":' || c, '"n_estimators":' || n_estimators) || '}}' AS model_params_json, c AS "C", n_estimators, NULL::VARCHAR AS max_depth,
+{", ".join(f"{_KNOWN[s].get(m, 'NULL::DOUBLE')} AS {m}_{s}" for s in ("val", "test") for m in E.METRICS)} FROM t""")
+def x12_flat_results(spark, sf):
+    """Trials nested as a search gives them, settings and metrics of both splits inside, as flat rows again."""
+    metric = lambda **m: F.map_filter(F.create_map(*[x for n, v in m.items() for x in (F.lit(n), v.cast("double"))]), lambda k, v: v.isNotNull())
+    k = F.col("trial_id")
+    nested = trials(spark, sf).select(
+        "trial_id", "scenario", "model_name", "status", F.struct("analyzer", "max_features", F.array(F.lit(1).cast("bigint"), F.col("ngram_max")).alias("ngram_range")).alias("tfidf_params"), F.struct(F.col("c").alias("C"), "n_estimators").alias("model_params"),
+        metric(accuracy=F.col("accuracy_val"), macro_f1=F.col("macro_f1_val"), weighted_f1=F.col("weighted_f1_val")).alias("metrics_val"),
+        F.when(F.col("status") == "success", metric(accuracy=k % 83 / 83.0, micro_recall=k % 71 / 71.0)).alias("metrics_test"))
+    return E.flat_results(nested, {"metrics_val": "val", "metrics_test": "test"}, {"tfidf_params": ("tfidf_", ["analyzer", "max_features", "ngram_range", "min_df"]), "model_params": ("", ["C", "n_estimators", "max_depth"])})
+
+
 @query(f"WITH {TRIALS} SELECT trial_id, (macro_f1_val IS NOT NULL)::INT + 2 AS n_metrics, macro_f1_val AS macro_f1 FROM t")
 def x13_nest(spark, sf):
     names = ["macro_f1_val", "weighted_f1_val", "accuracy_val"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reactrix.functions import dates, metrics, numbers, text
+from reactrix.operators import crawl
 
 
 def column(spark, values, expr, kind="string"):
@@ -60,6 +61,44 @@ def test_relative_times_keep_the_order_of_marks(spark):
     assert got == [now - 300, now - 120, now - 3 * 3600, now, now - 2 * 86400, now, now, 1_600_000_000, now]
 
 
+def test_relative_times_by_a_plain_reader(spark):
+    """Random texts of marks, numbers and words in both languages, against the rule written out."""
+    rng = random.Random(7)
+    now = 1_700_000_000
+    words = ["phút", "min", "giờ", "hour", "ngày", "day", "hôm qua", "yesterday", "tháng", "month", "năm", "year", "vừa xong", "Just Now", "5", "12", "07", "tuần", "ago", "x", "  "]
+
+    def plain(t):
+        t = t.lower().strip()
+        digits = "".join(c if c.isdigit() else " " for c in t).split()
+        if not t or t.isdigit():
+            return int(t) if t else now
+        if "vừa xong" in t or "just now" in t:
+            return now
+        for marks, seconds in ((("phút", "m"), 60), (("giờ", "h"), 3600), (("ngày", "d"), 86400), (("hôm qua",), None), (("tháng",), 2592000), (("năm", "year"), 31536000)):
+            if any(m in t for m in marks):
+                return now - 86400 if seconds is None else now - int(digits[0]) * seconds if digits else now
+        return now
+
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))) for _ in range(500)]
+    assert column(spark, texts, dates.relative_time("x", F.lit(now).cast("bigint"))) == [plain(t) for t in texts]
+
+
+def test_labels_of_reactions(spark):
+    rows = [
+        (["Thích: 12 người", "3 people reacted with LOVE", "Yêu thích: 40 people", "haha 9", "people: wow"], "like=40 love=3", False),
+        (["5 people: sad", "1,2K người: haha", "7 people: angry"], "sad=5", True),
+        (["12 Buồn, 3 times"], "", True),
+        (["1,234 PEOPLE: care", "0 people: care", ". people: care", "8 NGƯỜI: nothing known"], "care=1", False),
+        ([None, "", "people"], "", False),
+        ([], "", False),
+        (None, "", False),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, x array<string>")
+    got = [r.r for r in df.select("k", crawl.labelled_reactions(F.col("x")).alias("r")).orderBy("k").collect()]
+    assert [(" ".join(f"{k}={g.counts[k]}" for k in metrics.REACTIONS if g.counts[k]), g.rounded) for g in got] == [r[1:] for r in rows]
+    assert all(set(g.counts) == set(metrics.REACTIONS) for g in got)
+
+
 def test_dates(spark):
     assert str(column(spark, [1767225600], dates.local_time("x"), "bigint")[0]) == "2026-01-01 07:00:00"
     assert [str(x) for x in column(spark, ["2024-02-03", "bad", None], dates.parsed_date("x"))] == ["2024-02-03", "None", "None"]

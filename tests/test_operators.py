@@ -297,3 +297,30 @@ def test_boosting_stops_early_on_the_validation_rows(spark):
     train, val = df.where("record_id < 40"), df.where("record_id >= 40")
     sizes = [learning.fit("GradientBoosting", train, v, n_estimators=12, max_depth=2)[0].models[0].getNumTrees for v in (None, val)]
     assert sizes[0] == 12 and sizes[1] < 12
+
+
+TRIAL = "trial_id int, scenario string, model_name string, status string, macro_f1_val double, weighted_f1_val double, accuracy_val double, size int, fell boolean"
+
+
+def test_diagnostics_of_a_search(spark):
+    rows = [
+        (1, "S", "A", "success", 0.900, 0.7, 0.5, 9, None), (2, "S", "B", "success", 0.898, 0.8, None, 9, True), (3, "S", "C", "success", 0.898, 0.8, 0.1, 9, False),
+        (4, "S", "D", "success", 0.898, 0.8, 0.1, 2, True), (5, "S", "E", "success", 0.880, 0.99, 0.9, 1, False), (6, "S", "F", "failed", 0.99, 0.99, 0.99, 1, None), (7, "S", "G", "failed", None, None, None, 1, True),
+    ]
+    got = evaluation.diagnostics(spark.createDataFrame(rows, TRIAL), F.col("fell"), [F.col("size")]).first()
+    assert (got.total, got.success, got.failed, got.fallback, got.scored) == (7, 5, 2, 3, 6)
+    assert (got.best_trial_id, got.best_model, got.best_macro_f1) == (4, "D", 0.898), "within the tolerance the weighted F1, the accuracy and the size decide"
+    for none in ([], [rows[6]]):
+        got = evaluation.diagnostics(spark.createDataFrame(none, TRIAL), F.col("fell"), [F.col("size")]).first()
+        assert got.total == len(none) and got.best_trial_id is None
+
+
+def test_nested_results_become_flat_rows(spark):
+    kind = "run string, texts struct<analyzer:string,ngram_range:array<int>>, own struct<C:double>, v map<string,double>, t map<string,double>"
+    rows = [("a", ("word", [1, 2]), (0.5,), {"accuracy": 0.5, "macro_f1": 0.25}, None), ("b", (None, None), (None,), {}, {"micro_f1": 1.0}), ("c", None, None, None, None)]
+    flat = evaluation.flat_results(spark.createDataFrame(rows, kind), {"v": "val", "t": "test"}, {"texts": ("text_", ["analyzer", "ngram_range"]), "own": ("", ["C", "depth"])})
+    assert flat.columns[:8] == ["run", "texts_json", "text_analyzer", "text_ngram_range", "own_json", "C", "depth", "accuracy_val"] and len(flat.columns) == 7 + 20
+    a, b, c = flat.orderBy("run").collect()
+    assert (a.text_ngram_range, a.own_json, a.C, a.depth, a.accuracy_val, a.macro_f1_val, a.accuracy_test) == ("(1, 2)", '{"C":0.5}', 0.5, None, 0.5, 0.25, None)
+    assert (b.texts_json, b.text_ngram_range, b.micro_f1_test, b.accuracy_val) == ("{}", None, 1.0, None)
+    assert c.texts_json is None and c.C is None and c.accuracy_val is None
