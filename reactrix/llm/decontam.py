@@ -16,6 +16,9 @@ these are the passage's anchors, and a place where two of them meet within the s
 lacks is one that is missing there. Shorter items have exact matches only.
 
 Texts go nowhere: what travels is anchors, postings of anchors, and the texts of documents that have candidates, if these are too many to broadcast.
+Items are named last: a document's distinct windows become distinct word sequences, and these become items, in rows of one each, so a window or a text
+that a third of all items share is no row of its own size. Only a document's own list of items is put together. Tables of the benchmark are broadcast if
+their measured bytes are within BROADCAST_BYTES; else frequencies are summed before terms meet them, and postings meet frequent anchors by a broadcast of these alone.
 
 Defined results: null and empty texts have no words; a null item_id is ignored; an item without words has no window; repeated document
 rows each get the same row of results; repeated items count once per item_id; of equally rare terms the first is taken; very long texts are read whole, and a window found many
@@ -27,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_TOKEN, bounded, clean_of, let, lower_ascii, materialize, meet, split_words, text_key
+from .common import NON_TOKEN, clean_of, let, lower_ascii, materialize, meet, split_words, spread_join, text_key
 
-#: Candidate places that may be broadcast with their documents' ids, and windows that may be.
-BROADCAST_PLACES, BROADCAST_WINDOWS = 1_000_000, 500_000
+#: Candidate places that may be broadcast with their documents' ids, and the bytes of a table of the benchmark that may be.
+BROADCAST_PLACES, BROADCAST_BYTES = 1_000_000, 128 << 20
 #: Windows of an item that share a set of anchors: two bits each at most, in 64.
 PIECE = 25
 
@@ -39,23 +42,34 @@ def contract_words(text):
     return split_words(lower_ascii(text), NON_TOKEN)
 
 
-def sequences(items: DataFrame) -> DataFrame:
-    """Distinct word sequences of the items: seq, words, ids (of all items that have them)."""
-    return (
+def is_light(df: DataFrame) -> bool:
+    """Whether all rows, each as JSON and 64 bytes more, are within BROADCAST_BYTES."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def light(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_light(df) else df
+
+
+def members(items: DataFrame) -> DataFrame:
+    """seq, words, item_id of each item that has words; items of one text share its sequence."""
+    rows = (
         clean_of(items, "item_id", "text").where("item_id is not null")
         .select(F.col("item_id").cast("string").alias("item_id"), contract_words(F.col("text")).alias("words"))
         .where(F.size("words") > 0)
-        .groupBy("words").agg(F.collect_set("item_id").alias("ids"))
-        .select(F.md5(F.array_join("words", " ")).alias("seq"), "words", "ids")
     )
+    return rows.select(F.md5(F.array_join("words", " ")).alias("seq"), "words", "item_id")
 
 
 def windows(seqs: DataFrame, starts: Column, width: int) -> DataFrame:
-    """window (its words joined), span, ids (of all items that have it), seq, start: the distinct windows, each with one place where it stands."""
-    rows = seqs.withColumn("span", F.least(F.size("words"), F.lit(width))).select("seq", "ids", "span", "words", F.explode(starts).alias("start"))
-    rows = rows.withColumn("window", F.array_join(F.slice("words", F.col("start") + 1, F.col("span")), " "))
-    one = rows.groupBy("window").agg(F.flatten(F.collect_set("ids")).alias("ids"), F.min(F.struct("seq", "start", "span")).alias("at"))
-    return one.select("window", F.array_distinct("ids").alias("ids"), "at.seq", "at.start", "at.span")
+    """window (a digest of its words), seq, start, span: every place where one stands."""
+    rows = seqs.withColumn("span", F.least(F.size("words"), F.lit(width))).select("seq", "span", "words", F.explode(starts).alias("start"))
+    return rows.select(F.md5(F.array_join(F.slice("words", F.col("start") + 1, F.col("span")), " ")).alias("window"), "seq", "start", "span")
+
+
+def distinct_windows(places: DataFrame) -> DataFrame:
+    """window, seq, start, span: each window with one place where it stands."""
+    return places.groupBy("window").agg(F.min(F.struct("seq", "start", "span")).alias("at")).select("window", "at.*")
 
 
 def every_start() -> Column:
@@ -69,9 +83,11 @@ def side_by_side(width: int) -> Column:
 
 def corpus_frequencies(docs: DataFrame, seqs: DataFrame) -> DataFrame:
     """term, freq over all documents, of the terms that items have."""
-    vocabulary = seqs.select(F.explode("words").alias("term")).distinct()
+    vocabulary = materialize(seqs.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     tokens = clean_of(docs, "text").select(F.explode(contract_words(F.col("text"))).alias("term"))
-    return tokens.join(bounded(vocabulary, vocabulary.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
+    if is_light(vocabulary):
+        return tokens.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
+    return tokens.groupBy("term").agg(F.count("*").alias("freq")).join(vocabulary, "term", "left_semi")  # summed where the texts are, so no term is hot
 
 
 def with_rarest(wins: DataFrame, seqs: DataFrame, freqs: DataFrame, n: int) -> DataFrame:
@@ -110,11 +126,15 @@ def marks(pieces: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index: doc_id, h, pos, term for the given distinct terms; and for each row of docs one row of pos -1 with n_words."""
+    """The positional index: doc_id, h, pos, term for the given distinct terms (term, freq); and for each row of docs one row of pos -1 with n_words."""
     words = clean_of(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("h"), contract_words(F.col("text")).alias("w"))
+    if not is_light(terms):
+        places = words.select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
+        found = spread_join(places, terms, "term", "freq", terms.agg(F.sum("freq")).first()[0] or 0).select("doc_id", "h", "pos", "term", F.lit(None).cast("long").alias("n_words"))
+        return found.unionByName(words.select("doc_id", "h", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("n_words")))
     # a first entry that is no word carries the length
     rows = words.select("doc_id", "h", F.posexplode(F.concat(F.array(F.concat(F.lit(" "), F.size("w").cast("string"))), F.col("w"))).alias("at", "term"))
-    rows = rows.join(bounded(terms.select(F.col("term").alias("of_term")), terms.count()), F.col("term") == F.col("of_term"), "left").where("at = 0 or of_term is not null")
+    rows = rows.join(F.broadcast(terms.select(F.col("term").alias("of_term"))), F.col("term") == F.col("of_term"), "left").where("at = 0 or of_term is not null")
     return rows.select("doc_id", "h", (F.col("at") - 1).alias("pos"), "term", F.when(F.col("at") == 0, F.trim("term").cast("long")).alias("n_words"))
 
 
@@ -122,11 +142,11 @@ def exact_places(index: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, h, found: the (span, start) where both anchors of a window meet at one shift."""
     anchors = marks(pieces)
     met = (
-        index.join(bounded(anchors, anchors.count()), "term")
+        index.join(light(anchors), "term")
         .groupBy("doc_id", "h", "piece", (F.col("pos") - F.col("place")).alias("shift")).agg(F.bit_or("bit").alias("met"))
     )
     wins = pieces.select("piece", "wins")
-    rows = met.join(bounded(wins, wins.count()), "piece").select("doc_id", "h", "met", "shift", F.explode("wins").alias("w")).where(F.col("met").bitwiseAND(F.col("w.need")) == F.col("w.need"))
+    rows = met.join(light(wins), "piece").select("doc_id", "h", "met", "shift", F.explode("wins").alias("w")).where(F.col("met").bitwiseAND(F.col("w.need")) == F.col("w.need"))
     return rows.select("doc_id", "h", F.struct(F.col("w.span").alias("span"), (F.col("shift") + F.col("w.start")).alias("start")).alias("x")).where("x.start >= 0").groupBy("doc_id", "h").agg(F.collect_set("x").alias("found"))
 
 
@@ -140,11 +160,11 @@ def near_places(index: DataFrame, passages: DataFrame, slop: int) -> DataFrame:
         F.get(F.col("words"), F.col("x.place") - F.col("start")).alias("term"), "passage", (F.col("x.place") - F.col("start")).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k")).alias("bit"))
     bucket = F.floor((F.col("pos") - F.col("place")) / wide).cast("int")
     met = (
-        index.join(bounded(anchors, anchors.count()), "term").select("doc_id", "h", "passage", "bit", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+        index.join(light(anchors), "term").select("doc_id", "h", "passage", "bit", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
         .groupBy("doc_id", "h", "passage", "bucket").agg(F.bit_or("bit").alias("met")).where(F.bit_count("met") >= 2)
     )
     words = passages.select("passage", "words")
-    by_passage = met.groupBy("doc_id", "h", "passage").agg(F.collect_list("bucket").alias("buckets")).join(bounded(words, words.count()), "passage")
+    by_passage = met.groupBy("doc_id", "h", "passage").agg(F.collect_list("bucket").alias("buckets")).join(light(words), "passage")
     return by_passage.groupBy("doc_id", "h").agg(F.collect_list(F.struct("passage", "words", "buckets")).alias("near"))
 
 
@@ -177,14 +197,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
 
     contaminated: n_hit > 0 and share * n_hit >= n_words. One row for each input row.
     """
-    seqs = materialize(sequences(items), "seqs")
+    listed = materialize(members(items), "items")
+    seqs = materialize(listed.select("seq", "words").dropDuplicates(["seq"]), "seqs")
     freqs = materialize(corpus_frequencies(docs, seqs), "frequencies")
-    wins = materialize(windows(seqs, every_start(), width), "windows")
-    pieces = materialize(anchored_pieces(with_rarest(wins, seqs, freqs, 2)), "pieces")
-    passages = with_rarest(windows(seqs, side_by_side(width), width), seqs, freqs, width - least + 2)
-    passages = materialize(passages.select(F.xxhash64("window").alias("passage"), "words", "ids", "start", "rare"), "passages")
+    stands = materialize(windows(seqs, every_start(), width), "windows")
+    pieces = materialize(anchored_pieces(with_rarest(distinct_windows(stands), seqs, freqs, 2)), "pieces")
+    near_stands = windows(seqs, side_by_side(width), width)
+    passages = with_rarest(distinct_windows(near_stands), seqs, freqs, width - least + 2)
+    passages = materialize(passages.select(F.col("window").alias("passage"), "words", "start", "rare"), "passages")
     near_terms = passages.select(F.explode("rare").alias("x"), "start", "words").where("x.freq > 0").select(F.get(F.col("words"), F.col("x.place") - F.col("start")).alias("term"))
-    terms = materialize(pieces.select(F.explode("terms").alias("term")).unionByName(near_terms).distinct(), "terms")
+    terms = materialize(pieces.select(F.explode("terms").alias("term")).unionByName(near_terms).distinct().join(freqs, "term"), "terms")
     index = materialize(postings(docs, terms), "postings")
     places = index.where("pos >= 0")
     same = ["doc_id", "h"]
@@ -199,20 +221,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     met = meet(texts, both, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_h")), "inner", n if n_places <= BROADCAST_PLACES else 1 << 62, F.xxhash64("doc_id", "h"), F.xxhash64("of_doc", "of_h"), 1 << 61)
 
     def compared(tokens):
-        stand = F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<span:int,start:int>>)")), lambda x: F.struct(x["start"].alias("start"), x["span"].alias("span"), F.array_join(F.slice(tokens, x["start"] + 1, x["span"]), " ").alias("window")))
+        stand = F.transform(F.coalesce("found", F.expr("cast(array() as array<struct<span:int,start:int>>)")), lambda x: F.struct(x["start"].alias("start"), x["span"].alias("span"), F.md5(F.array_join(F.slice(tokens, x["start"] + 1, x["span"]), " ")).alias("window")))
         close = F.transform(F.filter(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), lambda c: is_near(tokens, c, slop, least)), lambda c: c["passage"])
         return F.struct(stand.alias("stand"), close.alias("close"))
 
     met = materialize(met.select(*same, let(contract_words(F.col("text")), compared).alias("c")).select(*same, "c.*"), "compared")
-    n_wins = wins.count()
-    hits = met.select(*same, F.explode("stand").alias("x")).select(*same, "x.*").join(bounded(wins.select("window", "ids"), n_wins, BROADCAST_WINDOWS), "window")
-    exact = hits.groupBy(*same).agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("item_ids"))
-    close = met.select(*same, F.explode("close").alias("passage")).join(bounded(passages.select("passage", "ids"), passages.count(), BROADCAST_WINDOWS), "passage")
-    close = close.groupBy(*same).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("near_ids"))
-    exact = exact.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h"), covered(F.col("spans")).alias("n_hit"), F.sort_array("item_ids").alias("item_ids"), F.sort_array(F.array_distinct(F.transform("spans", lambda x: x["start"]))).alias("starts"))
-    close = close.select(F.col("doc_id").alias("at_doc"), F.col("h").alias("at_h"), "near_ids")
+    known = stands.select("window").distinct()
+    hits = met.select(*same, F.explode("stand").alias("x")).select(*same, "x.*").join(light(known), "window")
+    exact = hits.groupBy(*same).agg(F.collect_set(F.struct("start", "span")).alias("spans"))
+    close = met.select(*same, F.explode("close").alias("window"), F.lit(True).alias("close"))
+    told = hits.select(*same, "window", F.lit(False).alias("close")).unionByName(close).distinct()
+    standing = materialize(stands.select("window", "seq", F.lit(False).alias("close")).unionByName(near_stands.select("window", "seq", F.lit(True).alias("close"))).distinct(), "standing")
+    names = materialize(listed.select("seq", "item_id").distinct(), "names")
+    told = told.join(light(standing), ["window", "close"]).select(*same, "seq", "close").distinct().join(light(names), "seq")
+    told = told.groupBy(F.col("doc_id").alias("at_doc"), F.col("h").alias("at_h")).agg(*[F.sort_array(F.collect_set(F.when(of, F.col("item_id")))).alias(n) for n, of in (("item_ids", ~F.col("close")), ("near_ids", F.col("close")))])
+    exact = exact.select(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h"), covered(F.col("spans")).alias("n_hit"), F.sort_array(F.array_distinct(F.transform("spans", lambda x: x["start"]))).alias("starts"))
     rows = index.where("pos = -1").select(*same, "n_words")
-    rows = rows.join(exact, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_h")), "left").join(close, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")), "left")
+    rows = rows.join(exact, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_h")), "left").join(told, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")), "left")
     none = F.expr("cast(array() as array<string>)")
     rows = rows.select(*same, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("starts", F.expr("cast(array() as array<int>)")).alias("starts"), F.coalesce("near_ids", none).alias("near_ids"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -77,7 +77,7 @@ def test_matches_brute_force(spark):
 def test_candidates_beyond_the_broadcast(spark, monkeypatch):
     """Only texts with candidates are shuffled then: the others have no bit in the broadcast map."""
     monkeypatch.setattr(decontam, "BROADCAST_PLACES", -1)
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     seen = []
 
     def kept(rows, small, same, how, n, *more):
@@ -90,6 +90,25 @@ def test_candidates_beyond_the_broadcast(spark, monkeypatch):
     assert seen[0][0] < seen[0][2]
 
 
+def test_many_items_of_one_text(spark):
+    """Items that share a text, or one window, each count; a word of a third of the corpus as an anchor beyond the broadcast."""
+    p = prose(70, 40)
+    items = [(k, p) for k in range(300)] + [(k, prose(k, 20) + " " + " ".join(p.split()[:13])) for k in range(300, 400)]
+    rows = [(1, "so " + p, "en", "a", 1), (2, " ".join(p.split()[:13]), "en", "a", 1), (3, prose(71, 40), "en", "a", 1)]
+    got = sorted([tuple(r) for r in decontam.digest(frame(spark, rows), spark.createDataFrame(items, ITEM)).collect()], key=repr)
+    assert got == slow([r[:2] for r in rows], items) and [r[3] for r in got] == [400, 400, 0]
+
+
+def test_hot_anchors_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    rows = [(k, "the " * (k % 7) + prose(k, 15) + " the of the", "en", "a", 1) for k in range(60)]
+    items = [(1, "the of the"), (2, "the the the the"), (3, rows[5][1])]
+    got = decontam.digest(frame(spark, rows), spark.createDataFrame(items, ITEM)).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == slow([r[:2] for r in rows], items)
+
+
 def test_bitmaps_keep_rows_without_partner_in_place(spark):
     docs = spark.range(5000).selectExpr("if(id = 7, null, id) as doc_id", "id as v")
     keys = spark.range(0, 5000, 50).selectExpr("if(id = 0, null, id) as of_doc", "id * 2 as extra")

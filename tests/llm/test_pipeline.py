@@ -38,7 +38,7 @@ def test_stages_one_by_one(spark, tmp_path):
             assert len(after) == len(least) and not {701, 702} & {r[0] for r in after}
             assert sorted((r[0] is None, r[0] or 0) for r in after) == sorted(least.values()) and set(after) <= set(before)
         elif name == "decontamination":
-            bad = {x[0] for x in test_decontam.slow([r[:2] for r in before], items) if x[-1]}
+            bad = {x[0] for x in test_decontam.slow([r[:2] for r in before], items) if x[5]}
             assert bad == {703} and sorted(after, key=repr) == [r for r in before if r[0] != 703]
         elif name == "secrets":
             assert len(after) == len(before)
