@@ -204,7 +204,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     pieces = materialize(anchored_pieces(with_rarest(distinct_windows(stands), seqs, freqs, 2)), "pieces")
     near_stands = windows(seqs, side_by_side(width), width)
     passages = with_rarest(distinct_windows(near_stands), seqs, freqs, width - least + 2)
-    passages = materialize(passages.select(F.col("window").alias("passage"), "words", "start", "rare"), "passages")
+    passages = materialize(passages.select(F.xxhash64("window").alias("passage"), "words", "start", "rare"), "passages")
     near_terms = passages.select(F.explode("rare").alias("x"), "start", "words").where("x.freq > 0").select(F.get(F.col("words"), F.col("x.place") - F.col("start")).alias("term"))
     terms = materialize(pieces.select(F.explode("terms").alias("term")).unionByName(near_terms).distinct().join(freqs, "term"), "terms")
     index = materialize(postings(docs, terms), "postings")
@@ -229,9 +229,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     known = stands.select("window").distinct()
     hits = met.select(*same, F.explode("stand").alias("x")).select(*same, "x.*").join(light(known), "window")
     exact = hits.groupBy(*same).agg(F.collect_set(F.struct("start", "span")).alias("spans"))
-    close = met.select(*same, F.explode("close").alias("window"), F.lit(True).alias("close"))
+    close = met.select(*same, F.explode("close").alias("window"), F.lit(True).alias("close")).withColumn("window", F.col("window").cast("string"))
     told = hits.select(*same, "window", F.lit(False).alias("close")).unionByName(close).distinct()
-    standing = materialize(stands.select("window", "seq", F.lit(False).alias("close")).unionByName(near_stands.select("window", "seq", F.lit(True).alias("close"))).distinct(), "standing")
+    standing = materialize(stands.select("window", "seq", F.lit(False).alias("close")).unionByName(near_stands.select(F.xxhash64("window").cast("string").alias("window"), "seq", F.lit(True).alias("close"))).distinct(), "standing")
     names = materialize(listed.select("seq", "item_id").distinct(), "names")
     told = told.join(light(standing), ["window", "close"]).select(*same, "seq", "close").distinct().join(light(names), "seq")
     told = told.groupBy(F.col("doc_id").alias("at_doc"), F.col("h").alias("at_h")).agg(*[F.sort_array(F.collect_set(F.when(of, F.col("item_id")))).alias(n) for n, of in (("item_ids", ~F.col("close")), ("near_ids", F.col("close")))])
